@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, url_filter
+from weftline.llm import exact_dedup, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
