@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, simhash, url_filter
+from weftline.llm import decontaminate, exact_dedup, quality, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_simhash": simhash.op2_simhash,
+        "op3_quality": quality.op3_quality,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
