@@ -146,6 +146,7 @@ class Tokenizer:
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
+#: Tokenizers that this Python worker has built, by the checksum of the vocabulary.
 _ready: dict[int, Tokenizer] = {}
 
 
@@ -156,7 +157,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], described, capacity: int) -> Iterator[pa.RecordBatch]:
-    tokenize = _ready.get(described.id) or _ready.setdefault(described.id, Tokenizer(described.value))
+    key, vocabulary = described.value
+    tokenize = _ready.get(key) or _ready.setdefault(key, Tokenizer(vocabulary))
     part, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
     for batch in batches:
         rows = []
@@ -211,7 +213,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     staged = Staged(spark)
     with open(vocabulary, encoding="utf-8") as f:
-        described = spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    described = spark.sparkContext.broadcast((zlib.crc32(text.encode()), text))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
     pieces = staged.put(rows.mapInArrow(lambda batches: _pieces(batches, described, capacity), schema), "pieces")
