@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, exact_dedup, packing, quality, simhash, token_counts, toxicity, url_filter
+from weftline.llm import decontaminate, exact_dedup, packing, pii, quality, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op4_url_filter": url_filter.op4_url_filter,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_pii": pii.op8_pii,
         "op9_packing": packing.op9_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
