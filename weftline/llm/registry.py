@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, exact_dedup, packing, pii, quality, simhash, token_counts, toxicity, url_filter
+from weftline.llm import decontaminate, exact_dedup, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_pii": pii.op8_pii,
         "op9_packing": packing.op9_packing,
