@@ -7,7 +7,6 @@ touch an edge of a partition are joined afterwards: at most two for each partiti
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWER, UPPER, Staged, ascii_lower, shuffle_width, table
 
+#: Characters of the normalised text that open its sort key; its SHA-256 follows, so that sampled splitters stay short.
+HEAD = 64
+
 _RUN_SCHEMA = "id long, part int, run long, n long, first_id long, last_id long, at_first boolean, at_last boolean, text_sha256 string, edge_text string"
 _ARROW = pa.schema(
     [("id", pa.int64()), ("part", pa.int32()), ("run", pa.int64()), ("n", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]
@@ -26,10 +28,24 @@ _ARROW = pa.schema(
 )
 
 
+def _normal(text: str) -> str:
+    return text.translate(_TABLE)
+
+
+_TABLE = str.maketrans(UPPER, LOWER)
+
+
+def _cuts(digests: pa.Array, texts: list[str]) -> list[int]:
+    """Where neighbours of a batch differ: by digest, and where that agrees, by full comparison."""
+    same = pc.equal(digests[1:], digests[:-1]).to_pylist() if len(digests) > 1 else []
+    return [i + 1 for i, eq in enumerate(same) if not eq or texts[i] != texts[i + 1]]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (text, id) to one row each with its run's size and ends. Holds the ids of one run and one batch."""
+    """Sorted rows to one row each with its run's size and ends. Holds the ids of one run and one batch."""
     part = TaskContext.get().partitionId()
     text: str | None = None
+    digest = ""
     ids: list[pa.Array] = []
     run = 0
 
@@ -38,7 +54,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(every)
         edge = run == 0 or last
         where = np.arange(n)
-        digest = hashlib.sha256(text.encode()).hexdigest()
         return pa.record_batch(
             [
                 every,
@@ -58,16 +73,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts, found = batch.column("text"), batch.column("id")
-        changes = np.flatnonzero(pc.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)) + 1 if len(texts) > 1 else np.empty(0, int)
-        bounds = [0, *changes.tolist(), len(texts)]
+        texts, found = [_normal(t) for t in batch["text"].to_pylist()], batch["id"]
+        bounds = [0, *_cuts(batch["digest"], texts), len(texts)]
         out = []
         for a, b in zip(bounds, bounds[1:]):
-            here = texts[a].as_py()
-            if ids and here != text:
+            if ids and texts[a] != text:
                 out.append(closed(False))
                 ids, run = [], run + 1
-            text = here
+            text, digest = texts[a], batch["digest"][a].as_py()
             ids.append(found.slice(a, b - a))
         if out:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
@@ -75,6 +88,27 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed(True)
 
 
+def _sorted_by_content(rows: DataFrame, id_name: str, last: bool, partitions: int | None) -> DataFrame:
+    """``rows`` (with ``text``, ``head``, ``digest``) range-partitioned and sorted so that equal texts are neighbours.
+
+    The id is the last key: a text of very many rows spreads over several ranges.
+    """
+    by_id = F.col(id_name).asc_nulls_first() if last else F.col(id_name).asc_nulls_last()
+    n = partitions or shuffle_width(rows.sparkSession)
+    return rows.repartitionByRange(n, F.col("head"), F.col("digest"), by_id).sortWithinPartitions("head", "digest", by_id)
+
+
+def _with_keys(text: str) -> dict:
+    normal = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    return {"head": F.substring(normal, 1, HEAD), "digest": F.sha2(normal, 256)}
+
+
+def _check(keep: str) -> bool:
+    if keep not in ("min", "max"):
+        raise ValueError("keep: 'min' or 'max'")
+    return keep == "max"
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", partitions: int | None = None) -> DataFrame:
     """Group rows whose texts are equal after lower-casing A-Z.
 
@@ -85,14 +119,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if the group has no other. Of rows that repeat id and text, exactly one is kept. Extra columns are ignored. An empty
     table gives an empty result.
     """
-    if keep not in ("min", "max"):
-        raise ValueError("keep: 'min' or 'max'")
+    last = _check(keep)
     spark = docs.sparkSession
     staged = Staged(spark)
-    nulls_go = F.col("id").asc_nulls_first() if keep == "max" else F.col("id").asc_nulls_last()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    ordered = rows.repartitionByRange(partitions or shuffle_width(spark), F.col("text"), nulls_go).sortWithinPartitions(F.col("text"), nulls_go)
-    runs = staged.put(ordered.mapInArrow(_runs, _RUN_SCHEMA), "runs")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns(_with_keys("text"))
+    runs = staged.put(_sorted_by_content(rows, "id", last, partitions).mapInArrow(_runs, _RUN_SCHEMA), "runs")
     # At most two rows for each partition of the sort: small, whatever the input.
     same = Window.partitionBy("edge_text")
     edges = runs.where("edge_text IS NOT NULL").select(
@@ -104,7 +135,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("part") == F.min("part").over(same)).alias("is_first"),
         (F.col("part") == F.max("part").over(same)).alias("is_last"),
     )
-    end, flag, whole, holds = ("last_id", "at_last", "all_last", "is_last") if keep == "max" else ("first_id", "at_first", "all_first", "is_first")
+    end, flag, whole, holds = ("last_id", "at_last", "all_last", "is_last") if last else ("first_id", "at_first", "all_first", "is_first")
     return runs.drop("edge_text").join(F.broadcast(edges), ["part", "run"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("all_n").isNotNull(), F.col(whole)).otherwise(F.col(end)).alias("keep_id"),
@@ -114,6 +145,56 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", partitions: int | None = None) -> DataFrame:
+    """The rows of ``docs``, all their columns, that ``exact_dedup`` keeps, by the same sort and neighbour comparison.
+
+    Whole rows go through the sort once. Each partition gives out one row for each run; its first and last run are
+    settled against its neighbours' afterwards. Nulls, ties, repeated rows and empty tables: as in ``exact_dedup``.
+    """
+    last = _check(keep)
+    staged = Staged(docs.sparkSession)
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # the caller's names can't clash with the keys
+    schema = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(inner, docs.dtypes)) + ", part int, digest string, edge boolean"
+    text, id_ = inner[names.index(text_col)], inner[names.index(id_col)]
+    rows = docs.toDF(*inner).withColumns(_with_keys(text))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, before, held = TaskContext.get().partitionId(), True, None, None
+
+        def give(table_: pa.RecordBatch, digests: pa.Array, edges: list[bool]) -> pa.RecordBatch:
+            extra = [pa.repeat(pa.scalar(part, pa.int32()), len(digests)), digests, pa.array(edges)]
+            return pa.record_batch([*table_.columns, *extra], names=[*inner, "part", "digest", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = [_normal(t or "") for t in batch[text].to_pylist()]
+            own = batch.select(inner)
+            starts = _cuts(batch["digest"], texts)
+            if held is None or texts[0] != before:
+                starts = [0, *starts]
+            # The run that was open ends where the next one starts; ``held`` is the row that it would give out.
+            for k, at in enumerate(starts):
+                if held is not None:
+                    row = held if k == 0 and (not last or at == 0) else (own.slice(at - 1, 1), batch["digest"].slice(at - 1, 1)) if last else held
+                    yield give(*row, [first])
+                    first = False
+                held = (own.slice(at, 1), batch["digest"].slice(at, 1))
+            if last:
+                held = (own.slice(batch.num_rows - 1, 1), batch["digest"].slice(batch.num_rows - 1, 1))
+            before = texts[-1]
+        if held is not None:
+            yield give(*held, [True])
+
+    found = staged.put(_sorted_by_content(rows, id_, last, partitions).mapInArrow(kept, schema), "kept")
+    # The last (first) partition that a run at an edge reaches gives its row; two rows a partition at most.
+    best = F.max("part") if last else F.min("part")
+    wins = found.where("edge").groupBy("digest").agg(best.alias("part")).withColumn("wins", F.lit(True))
+    settled = found.join(F.broadcast(wins), ["digest", "part"], "left").where("NOT edge OR wins")
+    return settled.select(*[F.col(n).alias(name) for n, name in zip(inner, names)])
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
