@@ -224,5 +224,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, whose text overlaps no benchmark item.
+
+    Texts are judged one by one, so repeated or null ids don't matter; the rest is as in ``overlaps``.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # A text is known by its hash here; two texts of one hash would be judged alike.
+    keyed = docs.select(F.xxhash64(text).alias("k1"), F.col(text_col).alias("text"))
+    bad = overlaps(keyed, benchmark, "k1", "text", item_col, item_text_col).select(F.col("k1").alias("_bad")).distinct()
+    return docs.join(bad, F.xxhash64(text) == F.col("_bad"), "left_anti")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
