@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import table
-from weftline.llm.toxicity import MAX_TRAIN_ROWS, held_out, training_rows
+from weftline.llm.toxicity import held_out, training_rows
 
 BUCKETS = 1 << 16
+#: Labelled rows that training takes at most, those of smallest hash.
+MAX_TRAIN_ROWS = 6000
 STEPS, RATE, DECAY = 150, 0.1, 1e-4
 #: Scale of the mean feature counts.
 SCALE = 10.0

@@ -9,7 +9,6 @@ that of its highest window, and in training the same window carries the gradient
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +24,12 @@ WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, INPUT, STATE = 1 << 15, 1 << 15, 8, 8
 GRAM_SIZES = (3, 4)
 #: Labelled rows that training takes at most (those of smallest hash), and characters of text that they may hold together.
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 6000, 40_000_000
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 3000, 40_000_000
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 #: Documents that a bucket's first estimate is shrunk by.
 PRIOR = 20
 #: Windows that run at a time, and distinct words that a task remembers.
-LANES, REMEMBER = 2048, 100_000
+LANES, REMEMBER = 2048, 300_000
 _MARKS = ".,;:!?\"'()[]{}#$%&*|-_"
 
 
@@ -38,12 +37,36 @@ def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def word_inputs(token: str) -> tuple[int, list[int]]:
-    """Buckets of a token: its word's, and those of its character n-grams."""
-    word = token.strip(_MARKS) or token
-    marked = f"<{word}>"
-    found = [zlib.crc32(marked[i : i + n].encode()) % GRAMS for n in GRAM_SIZES for i in range(len(marked) - n + 1)]
-    return zlib.crc32(word.encode()) % WORDS, found or [0]
+class Lexicon:
+    """Buckets of distinct tokens: ``word`` has one each; ``grams`` of token i start at ``start[i]``, ``size[i]`` of them."""
+
+    def __init__(self, listed: list[str]):
+        bare = [t.strip(_MARKS) or t for t in listed]
+        self.word = np.fromiter((zlib.crc32(w.encode()) % WORDS for w in bare), np.int64, len(bare))
+        codes = np.frombuffer("".join(f"<{w}>" for w in bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        length = np.array([len(w) + 2 for w in bare], np.int64)
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters from here to the word's end
+        of = np.repeat(np.arange(len(bare)), length)
+        owners, grams = [], []
+        for n in GRAM_SIZES:
+            at = np.flatnonzero(left >= n)
+            h = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                h = (h ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            owners.append(of[at])
+            grams.append((h % np.uint64(GRAMS)).astype(np.int64))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        self.grams = np.concatenate(grams)[order]
+        self.size = np.bincount(owner, minlength=len(bare))
+        self.start = np.cumsum(self.size) - self.size
+
+    def take(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word buckets, gram buckets, grams of each) of some tokens."""
+        size = self.size[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.word[ids], self.grams[at], size
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -69,12 +92,11 @@ class Network:
             self.p |= {f"w{d}": draw(INPUT, 3 * STATE), f"u{d}": draw(STATE, 3 * STATE), f"c{d}": np.zeros(3 * STATE, np.float32)}
         self.p |= {"attend": draw(2 * STATE), "out": draw(2 * STATE), "bias": np.full(1, -1, np.float32)}
 
-    def inputs(self, buckets: list[tuple[int, list[int]]]) -> np.ndarray:
+    def inputs(self, word: np.ndarray, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The input vector of each distinct word."""
-        flat = np.fromiter((g for _, gs in buckets for g in gs), np.int64)
-        sizes = np.array([len(gs) for _, gs in buckets])
-        most = np.maximum.reduceat(self.p["grams"][flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
-        return self.p["words"][[w for w, _ in buckets]] + most
+        if not len(word):
+            return np.zeros((0, INPUT), np.float32)
+        return self.p["words"][word] + np.maximum.reduceat(self.p["grams"][grams], np.cumsum(size) - size, axis=0)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """What both directions' gates take from the inputs: (words, 6 states)."""
@@ -139,15 +161,16 @@ class Network:
         return g, dgates[:, : 3 * s] @ p["wf"].T + dgates[:, 3 * s :] @ p["wb"].T
 
 
-def _start_from_counts(net: Network, texts: list[set[int]], buckets: list[tuple[int, list[int]]], labels: np.ndarray) -> None:
-    """Put smoothed log-odds of each bucket's document counts into the first input, so that learning starts from evidence."""
-    for name, size, of in (("words", WORDS, lambda w: {buckets[w][0]}), ("grams", GRAMS, lambda w: set(buckets[w][1]))):
-        counts = [np.zeros(size), np.zeros(size)]
-        for words, y in zip(texts, labels):
-            seen = set().union(*map(of, words)) if words else set()
-            counts[int(y)][list(seen)] += 1
-        share = labels.mean()
-        rate = (counts[1] + PRIOR * share) / (counts[0] + counts[1] + PRIOR)
+def _start_from_counts(net: Network, texts: list[np.ndarray], lexicon: Lexicon, labels: np.ndarray) -> None:
+    """Put shrunk log-odds of each bucket's document counts into the first input, so that learning starts from evidence."""
+    counts = {"words": np.zeros((2, WORDS)), "grams": np.zeros((2, GRAMS))}
+    for ids, y in zip(texts, labels):
+        word, grams, _ = lexicon.take(np.unique(ids))
+        counts["words"][int(y)][np.unique(word)] += 1
+        counts["grams"][int(y)][np.unique(grams)] += 1
+    share = labels.mean()
+    for name, (no, yes) in counts.items():
+        rate = (yes + PRIOR * share) / (no + yes + PRIOR)
         net.p[name][:, 0] = np.log(rate / (1 - rate)) - np.log(share / (1 - share))
 
 
@@ -162,8 +185,8 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
         return net
     vocabulary: dict[str, int] = {}
     texts = [np.array([vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens(text)], np.int64) for text, _ in rows]
-    buckets = [(0, [0]), *map(word_inputs, vocabulary)]
-    _start_from_counts(net, [set(t.tolist()) for t in texts], buckets, labels)
+    lexicon = Lexicon(["", *vocabulary])  # place 0 fills windows up
+    _start_from_counts(net, texts, lexicon, labels)
     spans = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(len(t))]
     owner = np.array([i for i, _, _ in spans])
     index = np.zeros((WINDOW, len(spans)), np.int32)
@@ -177,12 +200,11 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
     step = 0
 
     def logits_of_all() -> np.ndarray:
-        gates = net.project(net.inputs(buckets))
+        gates = net.project(net.inputs(*lexicon.take(np.arange(len(lexicon.word)))))
         return np.concatenate([net.forward(gates, index[:, k : k + LANES], mask[:, k : k + LANES]) for k in range(0, len(spans), LANES)])
 
     for epoch in range(epochs):
         scores = logits_of_all()
-        best = np.maximum.reduceat(scores, firsts)
         top = firsts + np.array([int(np.argmax(scores[a:b])) for a, b in zip(firsts, [*firsts[1:], len(spans)])])
         # Besides each text's highest window, one at random from each negative text.
         negative = np.flatnonzero(labels == 0)
@@ -195,8 +217,8 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
             pick = order[k : k + BATCH]
             words, local = np.unique(index[:, chosen[pick]], return_inverse=True)
             local = local.reshape(WINDOW, -1)
-            here = [buckets[w] for w in words]
-            x = net.inputs(here)
+            word, flat, sizes = lexicon.take(words)
+            x = net.inputs(word, flat, sizes)
             g, dx = net.gradients(net.project(x), x, local, mask[:, chosen[pick]], targets[pick])
             step += 1
             rate = RATE * (1 - epoch / epochs) + RATE * 0.1
@@ -205,62 +227,67 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
                 net.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            sizes = np.array([len(gs) for _, gs in here])
-            flat = np.fromiter((b for _, gs in here for b in gs), np.int64)
             each = net.p["grams"][flat]
-            most = np.maximum.reduceat(each, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
+            most = np.maximum.reduceat(each, np.cumsum(sizes) - sizes, axis=0)
             dmost = np.repeat(dx, sizes, axis=0) * (each == np.repeat(most, sizes, axis=0))
-            for name, where, d in (("words", np.array([w for w, _ in here]), dx), ("grams", flat, dmost)):
+            for name, where, d in (("words", word, dx), ("grams", flat, dmost)):
                 rows_, inverse = np.unique(where, return_inverse=True)
                 total = np.zeros((len(rows_), INPUT), np.float32)
                 np.add.at(total, inverse, d)
                 m, v = memory[name]
                 v[rows_] += 0.1 * (total * total - v[rows_])
                 net.p[name][rows_] -= rate * total / (np.sqrt(v[rows_] / 0.1) + 1e-6) * 0.3
-        del best
     return net
 
 
 def score_batches(net: Network, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row columns..., text) batches to the row columns and the highest window's probability."""
     gates, known = np.zeros((1, 6 * STATE), np.float32), {}
+    within = np.arange(WINDOW)[:, None]
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
         best = np.full(len(texts), -np.inf, np.float32)
-        held: list[np.ndarray] = []
-        owners: list[int] = []
-        waiting = 0
+        waiting: list[tuple[np.ndarray, np.ndarray, int]] = []
+        lanes = 0
 
         def run() -> None:
-            nonlocal held, owners, waiting
-            index = np.zeros((WINDOW, waiting), np.int64)
-            length = np.empty(waiting, np.int64)
-            for k, ids in enumerate(held):
-                index[: len(ids), k] = ids
-                length[k] = len(ids)
-            logits = net.forward(gates, index, (np.arange(WINDOW)[:, None] < length).astype(np.float32))
-            np.maximum.at(best, owners, logits)
-            held, owners, waiting = [], [], 0
+            index = np.concatenate([ids for ids, _, _ in waiting], axis=1)
+            length = np.concatenate([n for _, n, _ in waiting])
+            owner = np.repeat([i for _, _, i in waiting], [len(n) for _, n, _ in waiting])
+            for k in range(0, len(owner), LANES):
+                part = slice(k, k + LANES)
+                logits = net.forward(gates, index[:, part], (within < length[part]).astype(np.float32))
+                np.maximum.at(best, owner[part], logits)
 
         for i, value in enumerate(texts):
             found = tokens(value.as_py())
-            if len(known) > REMEMBER and waiting:
-                run()
-            if len(known) > REMEMBER:
-                known, gates = {}, gates[:1]
-            new = list({t: None for t in found if t not in known})
+            new = list({*found}.difference(known))
             if new:
-                for t in new:
-                    known[t] = len(known) + 1
-                parts = [net.project(net.inputs([word_inputs(t) for t in new[k : k + 4096]])) for k in range(0, len(new), 4096)]
-                gates = np.concatenate([gates, *parts])
-            ids = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-            for a, b in windows(len(ids)):
-                held.append(ids[a:b])
-                owners.append(i)
-                waiting += 1
-                if waiting == LANES:
-                    run()
+                if len(known) + len(new) > REMEMBER and known:
+                    if waiting:
+                        run()
+                        waiting, lanes = [], 0
+                    known, gates = {}, gates[:1]
+                    new = list({*found})
+                known |= zip(new, range(len(known) + 1, len(known) + 1 + len(new)))
+                lexicon = Lexicon(new)
+                fresh = net.project(net.inputs(lexicon.word, lexicon.grams, lexicon.size))
+                if len(known) >= len(gates):
+                    gates = np.concatenate([gates, np.empty((max(len(known) + 1 - len(gates), len(gates)), gates.shape[1]), np.float32)])
+                gates[len(known) + 1 - len(new) : len(known) + 1] = fresh
+            n = len(found)
+            ids = np.fromiter(map(known.__getitem__, found), np.int32, n)
+            if n <= WINDOW:
+                block = np.zeros((WINDOW, 1), np.int32)
+                block[:n, 0] = ids
+                waiting.append((block, np.array([n]), i))
+            else:
+                starts = np.array([a for a, _ in windows(n)])
+                waiting.append((ids[starts[None, :] + within], np.full(len(starts), WINDOW), i))
+            lanes += len(waiting[-1][1])
+            if lanes >= LANES:
+                run()
+                waiting, lanes = [], 0
         if waiting:
             run()
         scores = _sigmoid(best.astype(np.float64))
