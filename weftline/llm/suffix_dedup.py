@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Staged, shuffle_width, table
+from weftline.llm.common import Staged, table
 
 LENGTH = 200
 #: Bytes of an anchor; places in a window where it may start.
@@ -37,8 +37,8 @@ GRAM = 64
 PLACES = LENGTH - GRAM + 1
 #: Windows of a text that are handled at a time, suffixes in a run, windows compared at a time.
 CHUNK, RUN, COMPARE = 1 << 20, 20_000, 1 << 20
-#: Sampled suffixes for each range.
-SAMPLE = 20
+#: Suffixes that a range is meant to hold, and sampled suffixes for each range.
+RANGE, SAMPLE = 50_000, 20
 _PLACE_BITS = np.uint64(28)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) | 1 for b in range(256)], np.uint64)
@@ -241,9 +241,18 @@ def _equal_windows(suffixes: list[bytes], rests: list[tuple]) -> tuple[np.ndarra
 _FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("gram", pa.int64()), ("window", pa.int64()), ("n", pa.int64())])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of one range's runs to repeated windows; windows of groups at its ends, where undecided, with their hash."""
-    pieces = [p for batch in batches for p in batch["piece"].to_pylist()]
+def _merged(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Pieces of runs to repeated windows; windows of groups at a range's ends, where undecided, with their hash."""
+    ranges: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for number, piece in zip(batch["range"].to_pylist(), batch["piece"].to_pylist()):
+            ranges.setdefault(number, []).append(piece)
+    for number in sorted(ranges):
+        yield from _merged_range(ranges.pop(number), splitters[max(0, number - 1) : number] + splitters[number : number + 1])
+
+
+def _merged_range(pieces: list[bytes], borders: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """``borders``: the splitters at the ends of the range."""
 
     def decided(suffixes: list[bytes], rests: list[tuple], edge: bool) -> Iterator[pa.RecordBatch]:
         window, owner, place = _equal_windows(suffixes, rests)
@@ -258,14 +267,20 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = hit[np.concatenate(([0], cuts))], hit[np.concatenate((cuts - 1, [len(hit) - 1]))]
             none = pa.nulls(len(a), pa.int64())
             yield pa.record_batch([pa.array(k1[owner[a]]), pa.array(k2[owner[a]]), pa.array(place[a].astype(np.int32)), pa.array(place[b].astype(np.int32)), none, none, none], schema=_FOUND)
-        if edge:
-            once = np.flatnonzero(~again)
+        if edge and borders:
+            # A suffix in another range shares no more with one here than the splitter between them does. Windows that
+            # reach farther beyond the anchor than that can't occur there.
+            reach = np.array([max(common_prefix(x, b) for b in borders) for x in suffixes])[owner]
+            before = np.array([r[0] for r in rests])[owner]
+            start = np.array([r[4] for r in rests], np.int64)[owner]
+            outside = LENGTH - before + (place - start) <= reach
+            once = np.flatnonzero(~again & outside)
             gram = xxhash.xxh64_intdigest(suffixes[0][:GRAM])
             gram -= (gram >> 63) << 64
             row = lambda n: pa.array(np.full(n, gram, np.int64))
             at = pa.array(place[once].astype(np.int32))
             yield pa.record_batch([pa.array(k1[owner[once]]), pa.array(k2[owner[once]]), at, at, row(len(once)), pa.array(window[once].view(np.int64)), pa.array(np.ones(len(once), np.int64))], schema=_FOUND)
-            more = values[counts > 1]
+            more = values[(counts > 1) & (np.bincount(back, outside, len(values)) > 0)]
             blank, no_place = pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int32())
             yield pa.record_batch([blank, blank, no_place, no_place, row(len(more)), pa.array(more.view(np.int64)), pa.array(np.full(len(more), 2, np.int64))], schema=_FOUND)
 
@@ -372,13 +387,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, staged: Staged, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, first, last): ranges of the repeated windows of every distinct text, maybe several times."""
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
     texts = _keyed(docs, id_col, text_col)
     every = staged.put(texts.select("k1", "k2", "text").mapInArrow(_block_rows, _BLOCKS), "blocks")
-    often = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that the join below shuffles both sides itself and may split a hot anchor.
+    often = staged.put(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     maybe = staged.put(every.join(often, "gram"), "maybe")
-    staged.drop("blocks")
+    staged.drop("blocks", "often")
     firsts = [F.first(c).alias(c) for c in ("k1", "k2", "first", "last", "anchor")]
     kinds = staged.put(maybe.groupBy("gram", "whole").agg(F.count("*").alias("n"), *firsts), "kinds")
     inside = maybe.join(kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("k1", "k2", "first", "last").distinct()
@@ -386,17 +400,18 @@ def repeated_windows(docs: DataFrame, staged: Staged, id_col: str = "doc_id", te
     wanted = kinds.join(mixed, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "anchor", "n")).alias("wanted"))
     # Of texts that occur several times, the row of smallest id is read.
     chosen = texts.groupBy("k1", "k2").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("chosen"))
-    asked = wanted.join(chosen, ["k1", "k2"])
+    asked = staged.put(wanted.join(chosen, ["k1", "k2"]), "asked")
     source = texts.join(asked, ["k1", "k2"]).where(F.coalesce("id", F.lit(-(1 << 63))) == F.col("chosen"))
     suffixes = staged.put(
         source.select("k1", "k2", "text", "wanted").mapInArrow(_fetched, "suffix binary, before int, repeated int, k1 long, k2 long, first int"), "suffixes"
     )
+    width = max(1, -(-suffixes.count() // RANGE))
     sample = suffixes.select("suffix", F.xxhash64("k1", "first").alias("at")).orderBy("at").limit(SAMPLE * width).collect()  # SAMPLE for each range
     ordered = sorted(bytes(r["suffix"]) for r in sample)
     splitters = sorted({ordered[i * len(ordered) // width] for i in range(1, width)}) if ordered else []
     runs = suffixes.mapInArrow(lambda batches: _runs(batches, splitters), "range int, piece binary")
     found = staged.put(
-        runs.repartitionById(width, F.col("range")).select("piece").mapInArrow(_merged, "k1 long, k2 long, first int, last int, gram long, window long, n long"), "found"
+        runs.repartitionById(width, F.col("range")).mapInArrow(lambda batches: _merged(batches, splitters), "k1 long, k2 long, first int, last int, gram long, window long, n long"), "found"
     )
     settled = found.where("window IS NULL").select("k1", "k2", "first", "last")
     open_ = found.where("window IS NOT NULL")
@@ -416,7 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     staged = Staged(docs.sparkSession)
     spans = repeated_windows(docs, staged, id_col, text_col).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = staged.put(spans, "spans")
-    staged.drop("maybe", "kinds", "suffixes", "found")
+    staged.drop("maybe", "kinds", "asked", "suffixes", "found")
     whole = _keyed(docs, id_col, text_col).join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
     kept = whole.mapInArrow(_rows_without, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return kept.withColumnRenamed("id", id_col)
