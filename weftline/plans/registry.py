@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weftline.plans import curves
+from weftline.plans.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "fn_05_day_score"
+_ALL = [curves.PLANS]
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for plans in _ALL for name, query in plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plans in _ALL for name, sql in plans.sql.items()}
