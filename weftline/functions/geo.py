@@ -17,7 +17,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     """Great-circle distance in the radius's unit."""
     half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.pow(F.sin(half_lat), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), F.lit(2))
-    return 2 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would skip a null
 
 
 def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:

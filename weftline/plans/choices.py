@@ -59,7 +59,8 @@ OPTIONS = {
 }
 _V, _R, _A = cte("v", "customer", VENUES), cte("r", "part", ROUTES), cte("a", "part", AREAS)
 _F = cte("f", "lineitem", OPTIONS).replace("`from`", '"from"').replace("AS STRING", "AS VARCHAR")
-_KM = lambda a, b, c, d: f"2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+_H = lambda a, b, c, d: f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"
+_KM = lambda *p: f"2 * 6371.0 * asin(sqrt(least(1.0, {_H(*p)}) + 0 * {_H(*p)}))"
 _RANK = "row_number() OVER (PARTITION BY nation ORDER BY score < 0, CASE WHEN score >= 0 THEN score END DESC NULLS LAST, CASE WHEN score >= 0 THEN id % 3 END NULLS LAST, id)"
 
 

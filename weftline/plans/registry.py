@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.plans import choices, curves, rollups
+from weftline.plans import choices, curves, rollups, rules
 from weftline.plans.common import Query
 
 FLAGSHIP = "fn_05_day_score"
-_ALL = [curves.PLANS, rollups.PLANS, choices.PLANS]
+_ALL = [curves.PLANS, rollups.PLANS, choices.PLANS, rules.PLANS]
 
 
 def queries() -> dict[str, Query]:

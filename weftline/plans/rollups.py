@@ -176,14 +176,14 @@ _LEVELS = "l AS (SELECT user_id % 50 AS venue, CAST(event_id AS BIGINT) AS ts, C
     "wn_03_extremes",
     f"""WITH {_LEVELS}, n AS (SELECT *, lag(level) OVER g AS v0, lead(level) OVER g AS v2 FROM l WINDOW g AS (PARTITION BY venue ORDER BY ts))
     SELECT venue, ts, {_Z('CASE WHEN v0 - 2 * level + v2 <> 0 THEN (v0 - v2) / (2 * (v0 - 2 * level + v2)) ELSE 0 END')} AS offset_h,
-    round(CASE WHEN v0 - 2 * level + v2 <> 0 THEN level - (v2 - v0) * (v2 - v0) / (8 * (v0 - 2 * level + v2)) ELSE level END, 9) AS height,
+    round(CASE WHEN v0 - 2 * level + v2 <> 0 THEN level - (v2 - v0) * (v2 - v0) / (8 * (v0 - 2 * level + v2)) ELSE level END, 9) + 0.0 AS height,
     CASE WHEN level >= v0 AND level > v2 THEN 'H' ELSE 'L' END AS kind
     FROM n WHERE v0 IS NOT NULL AND v2 IS NOT NULL AND ((level >= v0 AND level > v2) OR (level <= v0 AND level < v2))""",
 )
 def extremes(spark, sf_dir):
     levels = load(spark, sf_dir, "events").selectExpr("user_id % 50 AS venue", "event_id AS ts", "CAST((event_id * event_id) % 97 AS DOUBLE) / 10 AS level")
     found = r.extremes(levels)
-    return found.withColumns({"height": F.round("height", 9), "offset_h": six(F.col("offset_h"))})
+    return found.withColumns({"height": F.round("height", 9) + 0.0, "offset_h": six(F.col("offset_h"))})
 
 
 _ONCE = "first AS (SELECT venue, d, hr, max(t) AS t FROM h WHERE t IS NOT NULL GROUP BY ALL)"
