@@ -188,7 +188,7 @@ def difference(spark, sf_dir):
     return p.select("p_brand").distinct().join(p.where("p_size = 7"), "p_brand", "left_anti")
 
 
-@PLANS.plan("st_05_token_subset", "SELECT p_partkey, len(list_filter(string_split(lower(p_name), ' '), x -> x NOT IN ('red', 'green', 'blue', 'small', 'large'))) = 0 AS subset FROM part")
+@PLANS.plan("st_05_token_subset", "SELECT p_partkey, len(list_filter(string_split(lower(p_name), ' '), lambda x: x NOT IN ('red', 'green', 'blue', 'small', 'large'))) = 0 AS subset FROM part")
 def subset(spark, sf_dir):
     words = F.split(F.lower("p_name"), " ")
     return load(spark, sf_dir, "part").select("p_partkey", (F.size(F.array_except(words, F.array(*map(F.lit, ["red", "green", "blue", "small", "large"])))) == 0).alias("subset"))
