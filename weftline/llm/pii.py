@@ -154,7 +154,8 @@ def labelled(text: Column, spans: Column, base: bool) -> Column:
         )
         shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(s["value"], "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
         word = F.lower(F.regexp_extract(before, r"(\p{L}+)\P{L}*$", 1))
-        told = [("kind", F.lit("")), ("shape", shape), ("word", word), ("next", F.regexp_replace(after, r"\p{L}", "a")), ("size", F.length(s["value"]).cast("string")), ("digits", F.length(F.regexp_replace(s["value"], "[^0-9]", "")).cast("string"))]
+        # Length and digits follow from kind and shape: as features of their own they would count that evidence again.
+        told = [("kind", F.lit("")), ("shape", shape), ("word", word), ("next", F.regexp_replace(after, r"\p{L}", "a"))]
         buckets = F.array(*[F.pmod(F.xxhash64(F.lit(name), s["kind"], value), F.lit(BUCKETS)).cast("int") for name, value in told])
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes.alias("votes"), buckets.alias("features"))
 
