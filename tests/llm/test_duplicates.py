@@ -121,6 +121,46 @@ def test_similar_texts(spark):
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def linked_groups(sets):
+    """Groups of sets linked at 0.8 by comparing all pairs, as sorted lists of places."""
+    group = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = group[i], group[j]
+            group = [a if x == b else x for x in group]
+    return sorted([k for k in range(len(sets)) if group[k] == g] for g in set(group))
+
+
+def groups_found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for x in simhash.similar_texts(docs).collect():
+        found.setdefault(x.root, []).append(x.first_id)
+    return sorted(sorted(v) for v in found.values())
+
+
+def test_near_copies_in_a_template_family(spark):
+    """Strangers that share a long passage fill every bucket; the few true pairs among them must still be found."""
+    r = random.Random(7)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage, other, texts = some(420), some(420), []
+    for _ in range(300):
+        texts.append(" ".join(passage + some(56)))
+    for _ in range(20):
+        own = some(56)
+        texts += [" ".join(passage + own), " ".join(passage + own[:12] + some(44))]  # just above 0.8
+    for _ in range(30):  # the passage with a word changed
+        changed = list(passage)
+        changed[r.randrange(len(passage))] = "other"
+        texts.append(" ".join(changed + some(r.choice([53, 56]))))
+    for n in [46, 50, *range(53, 113)]:  # linked over the passage alone, and only by way of a shorter text
+        texts.append(" ".join(other + some(n)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    want = linked_groups(sets)
+    assert sum(len(g) == 2 for g in want) >= 15 and max(map(len, want)) > 5 and sum(len(g) == 1 for g in want) > 200
+    assert groups_found(spark, texts) == want
+
+
 def test_masks_hit_what_they_promise():
     def hit(n, bad):
         return any(all(o + x not in bad for x in m) for m in decontaminate.MASKS for o in range(n - m[-1]))

@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Bands of smallest shingle hashes that propose pairs by similarity, and the hashes in a band. Of pairs with a similarity of
 #: 0.8 they miss three in a million.
 BANDS, ROWS = 24, 4
-#: Texts in a band's bucket up to which all of its pairs are proposed.
+#: Texts in a band's bucket up to which all of its pairs are proposed, and that share a shingle up to which it is rare.
 SMALL = 32
 #: Differing bits above which a pair isn't compared: five standard deviations over what a similarity of 0.8 gives.
 FAR = 24
@@ -163,14 +163,69 @@ def _proposed(members: DataFrame, staged: Staged, name: str) -> tuple[DataFrame,
     return star.union(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), shared
 
 
+def _left_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, comp) of the members of large buckets whose links so far don't make the bucket one component."""
+    large = shared.where(F.col("n") > SMALL).select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    open_ = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return large.join(open_, "key", "left_semi").select("node", "comp").distinct()
+
+
+def _by_shingles(sets: DataFrame, staged: Staged, similarity: float) -> DataFrame:
+    """(a, b) that complete the links among ``sets`` (node, comp, hashes) between different ``comp``, none by chance.
+
+    A shingle is rare if at most SMALL sets hold it. Similar sets that share a rare shingle share one among the rarest
+    (1 - similarity) of both, so an equi-join on these proposes them. Without a shared rare shingle the similarity depends
+    on the common shingles of both and the two sizes alone. So sets of the same common shingles are a class, stood for by
+    its smallest: if two such sets link, each also links to the smallest of the other's class (or of its own, if it is one
+    class), and these link to each other. Classes meet on their rarest common shingles.
+    """
+    need = lambda size: F.ceil(similarity * F.col(size) - 1e-6).cast("int")
+    tokens = sets.select("node", "comp", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    known = tokens.join(often, "token").groupBy("node", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    # Shingles of one set alone would come first: they only shorten the prefix.
+    known = staged.put(known.where(F.size("all") >= need("size")), "ranked")
+
+    rarest = known.select("node", "comp", "size", F.explode(F.slice("all", F.lit(1), F.size("all") - need("size") + 1)).alias("t")).where(F.col("t.df") <= SMALL).select("node", "comp", "size", "t.token")
+    a, b = rarest.alias("a"), rarest.alias("b")
+    fits = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & fits)
+    found = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    common = known.select("node", "comp", "size", F.transform(F.filter("all", lambda t: t["df"] > SMALL), lambda t: t["token"]).alias("common"))
+    common = common.withColumn("n", F.size("common")).where((F.col("n") > 0) & (F.col("n") >= need("size"))).withColumn("class", F.xxhash64("common"))
+    members = staged.put(common.select("class", "node", "comp", "size", "n"), "members")
+    classes = common.groupBy("class").agg(F.min_by(F.struct("node", "comp", "size", "n", "common"), F.struct("size", "node")).alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    classes = staged.put(classes.select("class", "r.*", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("whole")), "classes")
+    # Two sets without a shared rare shingle link only if their sizes fit into what they may share.
+    room = lambda x, y: F.col(f"{x}.size") + F.col(f"{y}.size") <= (1 + 1 / similarity) * F.least(f"{x}.n", f"{y}.n") + 1e-6
+    m, r = members.alias("m"), classes.alias("r")
+    pair = [F.least("m.node", "r.node").alias("a"), F.greatest("m.node", "r.node").alias("b")]
+    own = m.join(r, (F.col("m.class") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & room("m", "r")).select(pair)
+
+    keyed = classes.select("class", "whole", "size", "n", F.explode(F.slice("common", F.lit(1), F.col("n") - need("size") + 1)).alias("token"))
+    # Classes within the component that most classes of a shingle are in needn't meet each other.
+    most = keyed.where("whole IS NOT NULL").groupBy("token", "whole").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("whole", F.struct("k", "whole")).alias("most"))
+    keyed = staged.put(keyed.join(most, "token", "left"), "keyed")
+    p, q = keyed.where("whole IS NULL OR whole <> most").alias("p"), keyed.alias("q")
+    differ = (F.col("p.token") == F.col("q.token")) & (F.col("p.class") != F.col("q.class")) & F.coalesce(F.col("p.whole") != F.col("q.whole"), F.lit(True)) & room("p", "q")
+    beside = staged.put(p.join(q, differ).select(F.least("p.class", "q.class").alias("x"), F.greatest("p.class", "q.class").alias("y")).distinct(), "beside")
+    ways = beside.union(beside.select("y", "x"))
+    across = m.join(ways, F.col("m.class") == F.col("x")).join(r, (F.col("y") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & room("m", "r")).select(pair)
+    out = staged.put(found.union(own).union(across).distinct(), "completing")
+    staged.drop("ranked", "members", "classes", "keyed", "beside")
+    return out
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(k1, k2, root, first_id) for every distinct text: texts of one root are linked by near copies.
 
     Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (0.8 or more: the
     bands are made for that). A band of smallest hashes proposes pairs by equi-join; buckets above SMALL propose their
-    members with the first of them and are split by a second band. The pivot table discards pairs by the largest difference
-    of their distances, then the fingerprints' own distance does; survivors are compared shingle by shingle. ``k1`` and
-    ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have it.
+    members with a first one, and what that leaves in several components is completed by joins on shingles, which lose
+    nothing. The pivot table discards pairs by the largest difference of their distances, then the fingerprints' own
+    distance does; survivors are compared shingle by shingle. ``k1`` and ``k2`` are the text's hash, ``first_id`` the
+    smallest id of the rows that have it.
 
     Fingerprints alone can't decide here: at this similarity they differ in about ten bits of 64, and so do unrelated
     texts of a large corpus. Null, empty and blank texts have no shingles and are one group.
@@ -191,17 +246,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = signed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = staged.put(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     staged.drop("signed")
-    banded = nodes.select("node", F.explode("keys").alias("key"))
-    once, shared = _proposed(banded, staged, "bands")
-    # Members of large buckets again, by pairs of bands.
-    again = shared.where(F.col("n") > SMALL).join(nodes.select("node", "keys"), "node").select("node", F.col("key").alias("outer"), F.explode("keys").alias("inner")).where("inner <> outer")
-    twice, _ = _proposed(again.select(F.xxhash64(F.least("outer", "inner"), F.greatest("outer", "inner")).alias("key"), "node").distinct(), staged, "bands2")
-    pairs = once.union(twice).distinct()
+    once, shared = _proposed(nodes.select("node", F.explode("keys").alias("key")), staged, "bands")
     table_of = nodes.select("node", "fp", *[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(PIVOTS)])
     a, b = (table_of.select([F.col(c).alias(f"{side}_{c}") for c in table_of.columns]) for side in "ab")
     near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= FAR
     apart = F.greatest(*[F.abs(F.col(f"a_d{i}") - F.col(f"b_d{i}")) for i in range(len(PIVOTS))]) <= FAR
-    left = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node")).where(apart & near)
+    left = once.distinct().join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node")).where(apart & near)
     left = staged.put(left.select("a", "b"), "pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +259,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch["text"].cast(pa.binary())]
             yield pa.record_batch([batch["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    asked = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "k1", "k2", "first_id"), "node")
+    large = shared.where(F.col("n") > SMALL).select("node")
+    asked = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).union(large).distinct().join(nodes.select("node", "k1", "k2", "first_id"), "node")
     source = texts.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("first_id")))
-    hashes = staged.put(source.select("node", "text").mapInArrow(sets, "node long, hashes array<long>"), "hashes")
+    hashes = staged.put(source.select("node", "text").mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "hashes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,10 +274,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 kept.append(fits and both >= similarity * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    x, y = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    links_ = staged.put(left.join(x, "a").join(y, "b").mapInArrow(verify, "a long, b long"), "verified")
-    staged.drop("bands", "bands2", "hashes", "pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        return staged.put(pairs.join(x, "a").join(y, "b").mapInArrow(verify, "a long, b long"), "verified")
+
+    links_ = verified(left)
     roots = connect(links_, staged)
+    still = staged.put(_left_open(shared, roots), "open")
+    if not still.isEmpty():
+        roots = connect(links_.union(verified(_by_shingles(hashes.join(still, "node"), staged, similarity))), staged)
+    staged.drop("bands", "hashes", "pairs", "open", "completing")
     return nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), "first_id")
 
 
