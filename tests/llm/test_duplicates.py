@@ -161,6 +161,22 @@ def test_near_copies_in_a_template_family(spark):
     assert groups_found(spark, texts) == want
 
 
+def test_near_copies_with_other_repetitions(spark):
+    """Sets decide: a line repeated hundreds of times in one text turns its fingerprint, but not its set of shingles."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(10**9)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join(base + base[:10] * 300), " ".join(base + base[200:210] * 300)]
+    short = "a b c d e f g h"
+    texts += [short, short + " i", "x y", "y x", "", " "]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    far = [bin((simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)) & ((1 << 64) - 1)).count("1") for a, b in zip(texts[1:36:3], texts[2:36:3])]
+    assert max(far) > 24
+    want = linked_groups(sets[:-2]) + [[len(texts) - 2, len(texts) - 1]]  # blank texts are one group
+    assert groups_found(spark, texts) == sorted(want)
+
+
 def test_masks_hit_what_they_promise():
     def hit(n, bad):
         return any(all(o + x not in bad for x in m) for m in decontaminate.MASKS for o in range(n - m[-1]))

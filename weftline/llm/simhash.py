@@ -138,18 +138,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BANDS, ROWS = 24, 4
 #: Texts in a band's bucket up to which all of its pairs are proposed, and that share a shingle up to which it is rare.
 SMALL = 32
-#: Differing bits above which a pair isn't compared: five standard deviations over what a similarity of 0.8 gives.
-FAR = 24
 _ODD = np.array([xxhash.xxh64_intdigest(f"row {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
 def _signature(h: np.ndarray) -> tuple[int, list[int]]:
-    """(fingerprint, band keys) of a text's shingle hashes."""
+    """(number, band keys) of a text's distinct shingle hashes."""
     if not len(h):
         return 0, list(range(BANDS))
     least = np.array([((x := h * odd) ^ (x >> np.uint64(32))).min() for odd in _ODD], np.uint64)
     keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)]
-    return simhash(h), keys
+    return len(h), keys
 
 
 def _proposed(members: DataFrame, staged: Staged, name: str) -> tuple[DataFrame, DataFrame]:
@@ -223,12 +221,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (0.8 or more: the
     bands are made for that). A band of smallest hashes proposes pairs by equi-join; buckets above SMALL propose their
     members with a first one, and what that leaves in several components is completed by joins on shingles, which lose
-    nothing. The pivot table discards pairs by the largest difference of their distances, then the fingerprints' own
-    distance does; survivors are compared shingle by shingle. ``k1`` and ``k2`` are the text's hash, ``first_id`` the
-    smallest id of the rows that have it.
+    nothing. Pairs whose numbers of distinct shingles rule the similarity out are discarded; all others are compared
+    shingle by shingle. ``k1`` and ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have it.
 
-    Fingerprints alone can't decide here: at this similarity they differ in about ten bits of 64, and so do unrelated
-    texts of a large corpus. Null, empty and blank texts have no shingles and are one group.
+    Fingerprints take no part here: they count repeated shingles, which sets don't, and at this similarity they differ in
+    about ten bits of 64, as those of unrelated texts do. Null, empty and blank texts have no shingles and are one group.
     """
     if similarity < 0.8:
         raise ValueError("similarity: at least 0.8")
@@ -238,20 +235,18 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signature(shingle_hashes(t.as_py(), shingle)) for t in batch["text"].cast(pa.binary())]
-            columns = [batch["id"], batch["k1"], batch["k2"], pa.array([f for f, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["id", "k1", "k2", "fp", "keys"])
+            found = [_signature(np.unique(shingle_hashes(t.as_py(), shingle))) for t in batch["text"].cast(pa.binary())]
+            columns = [batch["id"], batch["k1"], batch["k2"], pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["id", "k1", "k2", "size", "keys"])
 
-    signed = staged.put(texts.mapInArrow(sign, "id long, k1 long, k2 long, fp long, keys array<long>"), "signed")
-    distinct = signed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    signed = staged.put(texts.mapInArrow(sign, "id long, k1 long, k2 long, size long, keys array<long>"), "signed")
+    distinct = signed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = staged.put(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     staged.drop("signed")
     once, shared = _proposed(nodes.select("node", F.explode("keys").alias("key")), staged, "bands")
-    table_of = nodes.select("node", "fp", *[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(PIVOTS)])
-    a, b = (table_of.select([F.col(c).alias(f"{side}_{c}") for c in table_of.columns]) for side in "ab")
-    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= FAR
-    apart = F.greatest(*[F.abs(F.col(f"a_d{i}") - F.col(f"b_d{i}")) for i in range(len(PIVOTS))]) <= FAR
-    left = once.distinct().join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node")).where(apart & near)
+    a, b = (nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size")) for side in "ab")
+    fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
+    left = once.distinct().join(a, "a").join(b, "b").where(fits)
     left = staged.put(left.select("a", "b"), "pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
