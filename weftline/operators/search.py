@@ -35,6 +35,14 @@ def check_words(words: dict[str, list[str]], vocabulary: DataFrame) -> None:
             raise ValueError(f"{family}: {', '.join(odd)} not in {sorted(known.get(family, set()))}")
 
 
+def with_month(found: DataFrame, climate: DataFrame | None, month: int | None) -> DataFrame:
+    """Each row (id) with its month's ``month_rainy_days`` and ``month_temp_high``; null without a month or a climate."""
+    if climate is None or month is None:
+        return found.withColumns({"month_rainy_days": F.lit(None).cast("double"), "month_temp_high": F.lit(None).cast("double")})
+    of = climate.where(F.col("month") == month).select(F.col("route_id").alias("id"), F.col("rainy_days").alias("month_rainy_days"), F.col("temp_high").alias("month_temp_high"))
+    return found.join(of, "id", "left")
+
+
 def search(routes: DataFrame, facets: Facets, climate: DataFrame | None = None) -> DataFrame:
     """Published routes that fit all facets: by distance (if asked), grade and stars, nulls last, at most MOST.
 
@@ -65,9 +73,5 @@ def search(routes: DataFrame, facets: Facets, climate: DataFrame | None = None)
         distance = F.round(exact, 1)
         order = [F.col("distance_km").asc_nulls_last(), *order]
     found = found.withColumn("distance_km", distance)
-    if climate is not None and facets.month is not None:
-        month = climate.where(F.col("month") == facets.month).select(F.col("route_id").alias("id"), F.col("rainy_days").alias("month_rainy_days"), F.col("temp_high").alias("month_temp_high"))
-        found = found.join(month, "id", "left")
-    else:
-        found = found.withColumns({"month_rainy_days": F.lit(None).cast("double"), "month_temp_high": F.lit(None).cast("double")})
+    found = with_month(found, climate, facets.month)
     return found.orderBy(*order).limit(min(facets.limit or 10, MOST))

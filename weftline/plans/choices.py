@@ -120,6 +120,11 @@ def published(spark, sf_dir):
     return hierarchy.published_areas(made(spark, sf_dir, "part", AREAS), made(spark, sf_dir, "part", ROUTES).where("area_id < 20"))
 
 
+@PLANS.plan("ag_18_published_areas_all", f"{_TREE} SELECT DISTINCT ancestor AS id FROM up WHERE up.id IN (SELECT p_size FROM part WHERE p_partkey % 4 <> 0)")
+def published_all(spark, sf_dir):
+    return hierarchy.published_areas(made(spark, sf_dir, "part", AREAS), made(spark, sf_dir, "part", ROUTES))
+
+
 @PLANS.plan(
     "ag_19_merged_entities",
     """WITH m AS (SELECT c_nationkey AS grp, c_custkey AS ord, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS lat, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_acctbal END AS lon, c_mktsegment AS description FROM customer)
@@ -291,7 +296,16 @@ def tidal(spark, sf_dir):
 
 @PLANS.plan("jn_15_last_before", "SELECT o_orderkey, (SELECT max(e.ts) FROM events e WHERE e.user_id = o_custkey AND e.ts < o_orderdate + INTERVAL 10950 DAY) AS last_ts FROM orders WHERE o_custkey < 50")
 def last_before(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").where("o_custkey < 50").select("o_orderkey", "o_custkey", F.expr("o_orderdate + INTERVAL 10950 DAYS").alias("at"))
+    return _last_before(spark, sf_dir, load(spark, sf_dir, "orders").where("o_custkey < 50"))
+
+
+@PLANS.plan("jn_15_last_before_all", "SELECT o_orderkey, e.ts AS last_ts FROM orders ASOF LEFT JOIN (SELECT user_id, ts FROM events) e ON o_custkey = e.user_id AND o_orderdate + INTERVAL 10950 DAY > e.ts")
+def last_before_all(spark, sf_dir):
+    return _last_before(spark, sf_dir, load(spark, sf_dir, "orders"))
+
+
+def _last_before(spark, sf_dir, orders):
+    orders = orders.select("o_orderkey", "o_custkey", F.expr("o_orderdate + INTERVAL 10950 DAYS").alias("at"))
     events = load(spark, sf_dir, "events").select(F.col("user_id").alias("o_custkey"), F.col("ts").alias("at"))
     # As-of join without pairs: both sides in one ordered sequence for each key, the last event carried forward.
     both = orders.select("o_custkey", "at", "o_orderkey", F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("ts")).unionByName(

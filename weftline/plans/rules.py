@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import conditions, text
 from weftline.operators import mentions, ranking
+from weftline.operators.search import with_month
 from weftline.plans.choices import ROUTES, VENUES
 from weftline.plans.common import Plans, load
 from weftline.plans.rollups import cte, made, rounded
@@ -106,7 +107,13 @@ def has_all(spark, sf_dir):
 
 @PLANS.plan("jn_05_no_month", f"WITH {_R} SELECT r.id, o_totalprice AS rainy FROM r LEFT JOIN orders ON FALSE WHERE r.id < 100")
 def no_month(spark, sf_dir):
-    return made(spark, sf_dir, "part", ROUTES).where("id < 100").select("id", F.lit(None).cast("double").alias("rainy"))
+    return with_month(made(spark, sf_dir, "part", ROUTES).where("id < 100"), None, None).select("id", F.col("month_rainy_days").alias("rainy"))
+
+
+@PLANS.plan("jn_05_month", f"WITH {_R}, c AS (SELECT o_custkey AS route_id, CAST(count(*) AS DOUBLE) AS rainy, max(o_totalprice) AS high FROM orders WHERE month(o_orderdate) = 7 GROUP BY o_custkey) SELECT r.id, rainy, high FROM r LEFT JOIN c ON route_id = r.id")
+def month(spark, sf_dir):
+    climate = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("route_id"), F.month("o_orderdate").alias("month")).agg(F.count("*").cast("double").alias("rainy_days"), F.max("o_totalprice").alias("temp_high"))
+    return with_month(made(spark, sf_dir, "part", ROUTES), climate, 7).select("id", F.col("month_rainy_days").alias("rainy"), F.col("month_temp_high").alias("high"))
 
 
 @PLANS.plan("jn_10_chain", "SELECT c_custkey, coalesce(s_name, n_name) AS name FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON s_suppkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE coalesce(s_name, n_name) IS NOT NULL UNION ALL SELECT -s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0")
@@ -265,13 +272,22 @@ def windowed(spark, sf_dir):
     return queues.windowed_counts(load(spark, sf_dir, "events")).withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
 
+#: Places in rows of four of one name, 0.7 km from each to the next: the ends are one entity only by way of those between.
+PLACES = {
+    "id": "c_custkey",
+    "name": "concat('Rock ', CAST(floor(c_custkey / 4) AS STRING))",
+    "source": "CAST(c_custkey % 2 AS STRING)",
+    "lat": "CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE CAST(floor(c_custkey / 4) * 7919 % 120000 AS DOUBLE) / 1000 - 60 + c_custkey % 4 * 0.0063D END",
+    "lon": "CAST(floor(c_custkey / 4) * 104729 % 360000 AS DOUBLE) / 1000 - 180",
+}
+
+
 @PLANS.plan("gr_03_entity_groups", None)
 def entity_groups(spark, sf_dir):
-    """Customers that share a name's last two digits and a nation are one entity, found as connected components."""
+    """Places of several sources that are the same, directly or by way of others, are one entity: components of JN-17's pairs."""
     from weftline.operators.graph import connected
+    from weftline.operators.records import place_pairs
 
-    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws("/", F.substring("c_name", -2, 2), "c_nationkey").alias("key"))
-    first = c.groupBy("key").agg(F.min("id").alias("b"))
-    return connected(c.join(first, "key").select(F.col("id").alias("a"), "b"))
-
-
+    places = made(spark, sf_dir, "customer", PLACES)
+    same = place_pairs(places).where("verdict = 'same'").select("a", "b")
+    return connected(same.unionByName(places.select(F.col("id").alias("a"), F.col("id").alias("b"))))
