@@ -71,6 +71,13 @@ def test_fuzzy_matches_as_by_all_pairs(spark, sheet, venues):
     assert {r.venue: r.row for r in got.collect()} == want
 
 
+def test_fuzzy_matches_of_all_short_words(spark):
+    words = ["".join(w) for n in (1, 2, 3, 4) for w in itertools.product("abc", repeat=n)]
+    got = curation.fuzzy_matches(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "row long, name string").orderBy(F.desc("row")), spark.createDataFrame(list(enumerate(words)), "venue long, name string"))
+    want = {v: min(r for r, w in enumerate(words) if difflib.SequenceMatcher(None, w, venue).ratio() >= 0.8) for v, venue in enumerate(words)}
+    assert {r.venue: r.row for r in got.collect()} == want
+
+
 def test_fuzzy_refuses_a_looser_limit(spark):
     one = spark.createDataFrame([(1, "a")], "row long, name string")
     with pytest.raises(ValueError):

@@ -334,6 +334,14 @@ def fuzzy(spark, sf_dir):
     return curation.fuzzy_matches(sheet, n.select(F.col("n_nationkey").alias("venue"), F.col("n_name").alias("name")))
 
 
+@PLANS.plan("jn_11_fuzzy_parts", None)
+def fuzzy_parts(spark, sf_dir):
+    """Part names that lack their second letter against all parts."""
+    p = load(spark, sf_dir, "part")
+    sheet = p.select(F.col("p_partkey").alias("row"), F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)")).alias("name"))
+    return curation.fuzzy_matches(sheet, p.select(F.col("p_partkey").alias("venue"), F.col("p_name").alias("name")))
+
+
 @PLANS.plan("jn_21_external_id", "SELECT l_orderkey, l_linenumber, p_partkey AS route FROM lineitem JOIN part ON 'mp-' || p_partkey = 'mp-' || l_partkey")
 def external(spark, sf_dir):
     routes = load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("mp-"), F.col("p_partkey").cast("string")).alias("ext"))
