@@ -249,9 +249,11 @@ def plain_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("size", [50_000, 20])
-def test_removal_against_all_windows(spark, monkeypatch, size):
-    monkeypatch.setattr(suffix_dedup, "RANGE", size)  # small ranges cut groups apart
+@pytest.mark.parametrize("size, hot", [(50_000, 50_000), (20, 50_000), (2000, 1), (300, 3)])
+def test_removal_against_all_windows(spark, monkeypatch, size, hot):
+    monkeypatch.setattr(suffix_dedup, "RANGE", size)  # many small ranges
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # anchors of more blocks go window by window
+    monkeypatch.setattr(suffix_dedup, "COMPARE", size * 100)
     r = random.Random(size)
     base = ["".join(r.choice("abcdefgh ") for _ in range(1200)) for _ in range(5)]
     rows = []
@@ -268,5 +270,35 @@ def test_removal_against_all_windows(spark, monkeypatch, size):
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=key) == sorted(want, key=key)
 
 
+def test_windows_by_common_prefixes_alone():
+    """Blocks around one anchor, against every pair of windows."""
+    r = random.Random(1)
+    anchor = bytes(r.choice(b"xyz") for _ in range(suffix_dedup.GRAM))
+    for _ in range(20):
+        lefts = [bytes(r.choice(b"ab") for _ in range(136)) for _ in range(3)]
+        rights = [bytes(r.choice(b"ab") for _ in range(136)) for _ in range(3)]
+        items = []
+        for i in range(30):
+            x, y = bytearray(r.choice(lefts)), bytearray(r.choice(rights))
+            x[r.randrange(136)], y[r.randrange(136)] = b"cc"
+            n = r.randint(0, 136)
+            right = anchor + bytes(y)[: r.randint(136 - n, 136)]
+            items.append((right + bytes(x)[len(x) - n :][::-1], (n, int(r.random() < 0.1), i, 0, 1000)))
+        items.sort()
+        shared = np.array([-1] + [suffix_dedup.common_prefix(a[0], b[0]) for a, b in zip(items, items[1:])])
+        got = suffix_dedup.repeated_windows_of(shared, [s for s, _ in items], [x for _, x in items])
+        seen = {}
+        for i, (s, (n, twice, *_)) in enumerate(items):
+            block = s[len(s) - n :][::-1] + s[: len(s) - n]
+            for p in range(len(block) - 199):
+                seen.setdefault((n - p, block[p : p + 200]), []).append((i, twice))
+        want = np.zeros_like(got)
+        for (d, _), owners in seen.items():
+            if len(owners) + sum(t for _, t in owners) > 1:
+                for i, _ in owners:
+                    want[i, d] = True
+        assert (got == want).all()
+
+
 def test_removal_without_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -10,14 +10,15 @@ their anchors at equal places, and all windows of one anchor form a block of a t
    Tasks sort them into runs, cut the runs at sampled splitters, and exchange them front-coded, without the bytes that a
    suffix shares with the one before it.
 3. A loser tree merges the runs of a range. Every suffix carries its known common prefix with the last one given out, so bytes
-   known to be equal are never compared again; neighbours that share the anchor's bytes are a group, and within it equal
-   windows are found. Groups that a splitter cuts meet once more by window hash.
+   known to be equal are never compared again. These common prefixes decide: two blocks share a window if they agree far
+   enough to the right of the anchor, by the merge's prefixes, and to the left of it, by those of the parts before it,
+   sorted within the anchor's group. Splitters are anchors, so no group is cut; an anchor with more than HOT different
+   blocks enters window by window instead, and there a window is repeated if a neighbour shares all of its bytes.
 4. The repeated windows of each text are joined to it, and the bytes they cover go.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
@@ -37,8 +38,11 @@ GRAM = 64
 PLACES = LENGTH - GRAM + 1
 #: Windows of a text that are handled at a time, suffixes in a run, windows compared at a time.
 CHUNK, RUN, COMPARE = 1 << 20, 20_000, 1 << 20
-#: Suffixes that a range is meant to hold, and sampled suffixes for each range.
-RANGE, SAMPLE = 50_000, 20
+#: Suffixes that a range is meant to hold, sampled suffixes for each range, and ranges at most: the driver sees no more than
+#: SAMPLE * MOST_RANGES keys of GRAM bytes. Ranges grow only beyond RANGE * MOST_RANGES suffixes.
+RANGE, SAMPLE, MOST_RANGES = 50_000, 8, 50_000
+#: Different blocks around one anchor beyond which their windows are sorted one by one, so that they spread over ranges.
+HOT = 50_000
 _PLACE_BITS = np.uint64(28)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) | 1 for b in range(256)], np.uint64)
@@ -225,129 +229,199 @@ def merge(runs: list[Iterator[Item]]) -> Iterator[Item]:
             node //= 2
 
 
-def _equal_windows(suffixes: list[bytes], rests: list[tuple]) -> tuple[np.ndarray, ...]:
-    """(hash, owner, window) of every window of some blocks; the suffixes are turned back into blocks."""
-    texts = [s[len(s) - rest[0] :][::-1] + s[: len(s) - rest[0]] for s, rest in zip(suffixes, rests)]
-    size = np.array([len(t) for t in texts])
-    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    number = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts)), number)
-    place = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
-    prefix = _prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
-    at = starts[owner] + place
-    return _hash(prefix, at, at + LENGTH), owner, place + np.array([r[4] for r in rests], np.int64)[owner]
+def repeated_windows_of(right: np.ndarray, suffixes: list[bytes], rests: list[tuple]) -> np.ndarray:
+    """(suffixes, PLACES) flags: whether the window that starts d bytes before the anchor occurs in another block, too.
+
+    ``suffixes`` are whole groups in merged order and ``right`` their common prefixes with the one before, as the merge gave
+    them; borders of groups are below GRAM. Two blocks share the window at d if they share LENGTH - d bytes from the anchor
+    on and d bytes before it. To either side those are classes of neighbours in sorted order whose common prefixes reach
+    so far, and windows that agree in both classes are equal. A block marked as repeated counts twice.
+    """
+    n = len(suffixes)
+    before = np.array([r[0] for r in rests])
+    ahead = np.array([len(s) for s in suffixes]) - before
+    twice = np.array([r[1] for r in rests], np.int64)
+    group = np.cumsum(right < GRAM)
+    lefts = [s[len(s) - r[0] :] for s, r in zip(suffixes, rests)]
+    order = sorted(range(n), key=lambda i: (group[i], lefts[i]))
+    left = np.array([-1] + [common_prefix(lefts[a], lefts[b]) if group[a] == group[b] else -1 for a, b in zip(order, order[1:])])
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    out = np.zeros((n, PLACES), bool)
+    for d in range(PLACES):
+        at = np.flatnonzero((before >= d) & (ahead >= LENGTH - d))
+        if not len(at):
+            continue
+        same = np.cumsum(right < LENGTH - d)[at] * (n + 1) + np.cumsum(left < d)[back[at]]
+        _, which, counts = np.unique(same, return_inverse=True, return_counts=True)
+        out[at, d] = (counts + np.bincount(which, twice[at], len(counts)).astype(np.int64))[which] > 1
+    return out
 
 
-_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("gram", pa.int64()), ("window", pa.int64()), ("n", pa.int64())])
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_FOUND_DDL = "k1 long, k2 long, first int, last int"
 
 
-def _merged(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Pieces of runs to repeated windows; windows of groups at a range's ends, where undecided, with their hash."""
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The pieces of each range of a task."""
     ranges: dict[int, list[bytes]] = {}
     for batch in batches:
         for number, piece in zip(batch["range"].to_pylist(), batch["piece"].to_pylist()):
             ranges.setdefault(number, []).append(piece)
     for number in sorted(ranges):
-        yield from _merged_range(ranges.pop(number), splitters[max(0, number - 1) : number] + splitters[number : number + 1])
-
-
-def _merged_range(pieces: list[bytes], borders: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """``borders``: the splitters at the ends of the range."""
-
-    def decided(suffixes: list[bytes], rests: list[tuple], edge: bool) -> Iterator[pa.RecordBatch]:
-        window, owner, place = _equal_windows(suffixes, rests)
-        repeated = np.array([r[1] for r in rests], np.int64)
-        values, back, counts = np.unique(window, return_inverse=True, return_counts=True)
-        counts = counts + np.bincount(back, repeated[owner], len(values)).astype(np.int64)
-        again = counts[back] > 1
-        k1, k2 = np.array([r[2] for r in rests], np.int64), np.array([r[3] for r in rests], np.int64)
-        hit = np.flatnonzero(again & (repeated[owner] == 0))
-        if len(hit):
-            cuts = np.flatnonzero((np.diff(owner[hit]) != 0) | (np.diff(place[hit]) != 1)) + 1
-            a, b = hit[np.concatenate(([0], cuts))], hit[np.concatenate((cuts - 1, [len(hit) - 1]))]
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.record_batch([pa.array(k1[owner[a]]), pa.array(k2[owner[a]]), pa.array(place[a].astype(np.int32)), pa.array(place[b].astype(np.int32)), none, none, none], schema=_FOUND)
-        if edge and borders:
-            # A suffix in another range shares no more with one here than the splitter between them does. Windows that
-            # reach farther beyond the anchor than that can't occur there.
-            reach = np.array([max(common_prefix(x, b) for b in borders) for x in suffixes])[owner]
-            before = np.array([r[0] for r in rests])[owner]
-            start = np.array([r[4] for r in rests], np.int64)[owner]
-            outside = LENGTH - before + (place - start) <= reach
-            once = np.flatnonzero(~again & outside)
-            gram = xxhash.xxh64_intdigest(suffixes[0][:GRAM])
-            gram -= (gram >> 63) << 64
-            row = lambda n: pa.array(np.full(n, gram, np.int64))
-            at = pa.array(place[once].astype(np.int32))
-            yield pa.record_batch([pa.array(k1[owner[once]]), pa.array(k2[owner[once]]), at, at, row(len(once)), pa.array(window[once].view(np.int64)), pa.array(np.ones(len(once), np.int64))], schema=_FOUND)
-            more = values[(counts > 1) & (np.bincount(back, outside, len(values)) > 0)]
-            blank, no_place = pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int32())
-            yield pa.record_batch([blank, blank, no_place, no_place, row(len(more)), pa.array(more.view(np.int64)), pa.array(np.full(len(more), 2, np.int64))], schema=_FOUND)
-
-    held: tuple[list, list] = ([], [])  # whole groups that wait to be compared
-    group: tuple[list, list] = ([], [])
-    first = True
-    for suffix, n, rest in merge([front_decode(p) for p in pieces]):
-        if n < GRAM and group[0]:
-            if first:
-                yield from decided(*group, True)
+        yield ranges.pop(number)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of runs to the repeated windows of their blocks. Groups are never cut by a splitter."""
+
+    def decided(suffixes: list[bytes], right: list[int], rests: list[tuple]) -> pa.RecordBatch:
+        flags = repeated_windows_of(np.array(right), suffixes, rests) & ~np.array([r[1] > 0 for r in rests])[:, None]
+        edges = np.diff(np.pad(flags[:, ::-1], ((0, 0), (1, 1))).astype(np.int8), axis=1)  # by rising first byte
+        owner, begin = np.nonzero(edges == 1)
+        _, end = np.nonzero(edges == -1)
+        k1, k2 = (np.array([r[j] for r in rests], np.int64)[owner] for j in (2, 3))
+        anchor = np.array([r[4] + r[0] for r in rests], np.int64)[owner]
+        first, last = anchor - (PLACES - 1) + begin, anchor - (PLACES - 1) + end - 1
+        return pa.record_batch([pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], schema=_FOUND)
+
+    for pieces in _by_range(batches):
+        held: tuple[list, list, list] = ([], [], [])
+        for suffix, n, rest in merge([front_decode(p) for p in pieces]):
+            if n < GRAM and len(held[0]) * PLACES > COMPARE:
+                yield decided(*held)
+                held = ([], [], [])
+            for column, value in zip(held, (suffix, n if held[0] else -1, rest)):
+                column.append(value)
+        if held[0]:
+            yield decided(*held)
+
+
+def _merged_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of runs of single windows to those with a neighbour that shares all LENGTH bytes, or marked as repeated."""
+    for pieces in _by_range(batches):
+        rows: list[tuple] = []
+        before: tuple | None = None  # the first of a group, as long as it is alone
+
+        def hit(rest: tuple) -> None:
+            if not rest[1]:
+                rows.append((rest[2], rest[3], rest[4], rest[4]))
+
+        for _, n, rest in merge([front_decode(p) for p in pieces]):
+            if n >= LENGTH:
+                if before:
+                    hit(before)
+                hit(rest)
+                before = None
             else:
-                held[0].extend(group[0])
-                held[1].extend(group[1])
-                if len(held[0]) * PLACES > COMPARE:
-                    yield from decided(*held, False)
-                    held = ([], [])
-            group, first = ([], []), False
-        group[0].append(suffix)
-        group[1].append(rest)
-    if held[0]:
-        yield from decided(*held, False)
-    if group[0]:
-        yield from decided(*group, True)
+                before = rest
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types)], schema=_FOUND)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Suffix rows to sorted runs, cut at the splitters and front-coded."""
     held: list[tuple[bytes, tuple]] = []
-
-    def pieces() -> pa.RecordBatch:
-        held.sort()
-        ranges, out, at = [], [], 0
-        while at < len(held):
-            k = bisect_right(splitters, held[at][0])
-            # A suffix equal to a splitter goes to the range above it.
-            end = bisect_left(held, (splitters[k],), at) if k < len(splitters) else len(held)
-            ranges.append(k)
-            out.append(front_code(held[at:end]))
-            at = end
-        held.clear()
-        return pa.record_batch([pa.array(ranges, pa.int32()), pa.array(out, pa.binary())], names=["range", "piece"])
-
     for batch in batches:
         columns = [batch[c].to_pylist() for c in ("suffix", "before", "repeated", "k1", "k2", "first")]
         for suffix, *rest in zip(*columns):
             held.append((suffix, tuple(rest)))
             if len(held) == RUN:
-                yield pieces()
+                yield _pieces(sorted(held), splitters)
+                held = []
+    if held:
+        yield _pieces(sorted(held), splitters)
+
+
+def _pieces(run: list[tuple[bytes, tuple]], splitters: list[bytes]) -> pa.RecordBatch:
+    ranges, out, at = [], [], 0
+    while at < len(run):
+        k = bisect_right(splitters, run[at][0])
+        # A suffix equal to a splitter goes to the range above it.
+        end = bisect_left(run, (splitters[k],), at) if k < len(splitters) else len(run)
+        ranges.append(k)
+        out.append(front_code(run[at:end]))
+        at = end
+    return pa.record_batch([pa.array(ranges, pa.int32()), pa.array(out, pa.binary())], names=["range", "piece"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, tuple]]]:
+    """Suffix rows to sorted runs of all their windows, each with no bytes before its start."""
+    held: list[tuple[bytes, tuple]] = []
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in ("suffix", "before", "repeated", "k1", "k2", "first")]
+        for suffix, before, repeated, k1, k2, first in zip(*columns):
+            block = suffix[len(suffix) - before :][::-1] + suffix[: len(suffix) - before]
+            held.extend((block[p : p + LENGTH], (0, repeated, k1, k2, first + p)) for p in range(len(block) - LENGTH + 1))
+            if len(held) >= RUN:
+                yield sorted(held)
+                held = []
     if held:
-        yield pieces()
+        yield sorted(held)
+
+
+def _window_runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Runs of single windows. Equal ones in a run are settled here and go on as one, marked as repeated, so that a
+    window of very many blocks arrives once from each run: rows of (range, piece) and rows of (k1, k2, first, last)."""
+    for run in _windows(batches):
+        once, found, at = [], [], 0
+        while at < len(run):
+            end = at + 1
+            while end < len(run) and run[end][0] == run[at][0]:
+                end += 1
+            _, repeated, *rest = run[at][1]
+            if end - at > 1:
+                found.extend((r[2], r[3], r[4], r[4]) for _, r in run[at:end] if not r[1])
+                repeated = 1
+            once.append((run[at][0], (0, repeated, *rest)))
+            at = end
+        pieces = _pieces(once, splitters)
+        nothing = [pa.nulls(pieces.num_rows, t) for t in _FOUND.types]
+        yield pa.record_batch([*pieces.columns, *nothing], names=["range", "piece", *_FOUND.names])
+        if found:
+            spans = [pa.array(c, t) for c, t in zip(zip(*found), _FOUND.types)]
+            yield pa.record_batch([pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary()), *spans], names=["range", "piece", *_FOUND.names])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, k2, text, wanted blocks) to a suffix for each block."""
-    names = ["suffix", "before", "repeated", "k1", "k2", "first"]
-    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["suffix", "before", "repeated", "k1", "k2", "first", "hot"]
+    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
     for batch in batches:
         rows = []
         for k1, k2, text, wanted in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["text"], batch["wanted"].to_pylist()):
             data = text.as_py()
             for w in wanted:
                 before = data[w["first"] : w["anchor"]]
-                rows.append((data[w["anchor"] : w["last"] + LENGTH] + before[::-1], len(before), int(w["n"] > 1), k1, k2, w["first"]))
+                rows.append((data[w["anchor"] : w["last"] + LENGTH] + before[::-1], len(before), int(w["n"] > 1), k1, k2, w["first"], w["hot"]))
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
+def _one_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A window of each suffix row, any of them with the same chance, as (key, at)."""
+    for batch in batches:
+        keys, at = [], []
+        for suffix, before, k1, first in zip(*(batch[c].to_pylist() for c in ("suffix", "before", "k1", "first"))):
+            block = suffix[len(suffix) - before :][::-1] + suffix[: len(suffix) - before]
+            p = (k1 ^ first * _BASE) % (len(block) - LENGTH + 1)
+            keys.append(block[p : p + LENGTH])
+            at.append(k1 ^ first)
+        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(at, pa.int64())], names=["key", "at"])
+
+
+def _splitters(keys: DataFrame, weight: int = 1) -> tuple[int, list[bytes]]:
+    """Number of ranges and the keys between them for (key, at) rows; both bounded by MOST_RANGES, whatever the input."""
+    total = keys.count()
+    width = min(MOST_RANGES, max(1, -(-total * weight // RANGE)))
+    if width == 1:
+        return 1, []
+    share = min(1.0, SAMPLE * width / total)  # by hash, so that no task or driver sorts more than the sample
+    sample = keys.where(F.pmod(F.xxhash64("key", "at"), F.lit(1 << 31)) < int(share * (1 << 31))).select("key").collect()
+    ordered = sorted(bytes(r["key"]) for r in sample)
+    return width, sorted({ordered[i * len(ordered) // width] for i in range(1, width)}) if ordered else []
+
+
 def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """(bytes removed, maximal runs, the rest) for repeated windows given as (first, last), in any order, also repeated."""
     kept, removed, runs, at, end = [], 0, 0, 0, -1
@@ -396,28 +470,31 @@ def repeated_windows(docs: DataFrame, staged: Staged, id_col: str = "doc_id", te
     firsts = [F.first(c).alias(c) for c in ("k1", "k2", "first", "last", "anchor")]
     kinds = staged.put(maybe.groupBy("gram", "whole").agg(F.count("*").alias("n"), *firsts), "kinds")
     inside = maybe.join(kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("k1", "k2", "first", "last").distinct()
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("gram")
-    wanted = kinds.join(mixed, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "anchor", "n")).alias("wanted"))
+    # (kinds of a gram, whether any occurs once): only where one does is something open.
+    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
+    mixed = mixed.select("gram", (F.col("kinds") > HOT).alias("hot"))
+    wanted = kinds.join(mixed, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "anchor", "n", "hot")).alias("wanted"))
     # Of texts that occur several times, the row of smallest id is read.
     chosen = texts.groupBy("k1", "k2").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("chosen"))
     asked = staged.put(wanted.join(chosen, ["k1", "k2"]), "asked")
     source = texts.join(asked, ["k1", "k2"]).where(F.coalesce("id", F.lit(-(1 << 63))) == F.col("chosen"))
     suffixes = staged.put(
-        source.select("k1", "k2", "text", "wanted").mapInArrow(_fetched, "suffix binary, before int, repeated int, k1 long, k2 long, first int"), "suffixes"
-    )
-    width = max(1, -(-suffixes.count() // RANGE))
-    sample = suffixes.select("suffix", F.xxhash64("k1", "first").alias("at")).orderBy("at").limit(SAMPLE * width).collect()  # SAMPLE for each range
-    ordered = sorted(bytes(r["suffix"]) for r in sample)
-    splitters = sorted({ordered[i * len(ordered) // width] for i in range(1, width)}) if ordered else []
-    runs = suffixes.mapInArrow(lambda batches: _runs(batches, splitters), "range int, piece binary")
-    found = staged.put(
-        runs.repartitionById(width, F.col("range")).mapInArrow(lambda batches: _merged(batches, splitters), "k1 long, k2 long, first int, last int, gram long, window long, n long"), "found"
+        source.select("k1", "k2", "text", "wanted").mapInArrow(_fetched, "suffix binary, before int, repeated int, k1 long, k2 long, first int, hot boolean"), "suffixes"
     )
-    settled = found.where("window IS NULL").select("k1", "k2", "first", "last")
-    open_ = found.where("window IS NOT NULL")
-    shared = open_.groupBy("gram", "window").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "window")
-    late = open_.where("k1 IS NOT NULL").join(shared, ["gram", "window"]).select("k1", "k2", "first", "last")
-    return inside.unionByName(settled).unionByName(late)
+    # A splitter is an anchor's bytes, so the suffixes of one anchor lie in one range.
+    groups = suffixes.where("NOT hot")
+    width, splitters = _splitters(groups.select(F.substring("suffix", 1, GRAM).alias("key"), F.struct("k1", "first").alias("at")))
+    runs = groups.mapInArrow(lambda batches: _runs(batches, splitters), "range int, piece binary")
+    found = runs.repartitionById(width, F.col("range")).mapInArrow(_merged, _FOUND_DDL)
+    hot = suffixes.where("hot")
+    if not hot.isEmpty():
+        # An anchor of very many blocks: every window for itself, so that any splitter may part them.
+        keys = hot.mapInArrow(_one_window, "key binary, at long")
+        wide, cuts = _splitters(keys, PLACES)
+        single = staged.put(hot.mapInArrow(lambda batches: _window_runs(batches, cuts), f"range int, piece binary, {_FOUND_DDL}"), "windows")
+        merged = single.where("piece IS NOT NULL").select("range", "piece").repartitionById(wide, F.col("range")).mapInArrow(_merged_windows, _FOUND_DDL)
+        found = found.unionByName(merged).unionByName(single.where("piece IS NULL").select(*_FOUND.names))
+    return inside.unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,7 +508,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     staged = Staged(docs.sparkSession)
     spans = repeated_windows(docs, staged, id_col, text_col).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = staged.put(spans, "spans")
-    staged.drop("maybe", "kinds", "asked", "suffixes", "found")
+    staged.drop("maybe", "kinds", "asked", "suffixes", "windows")
     whole = _keyed(docs, id_col, text_col).join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
     kept = whole.mapInArrow(_rows_without, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return kept.withColumnRenamed("id", id_col)
