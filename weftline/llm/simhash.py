@@ -1,12 +1,18 @@
 """SimHash near-duplicates with a table of distances to reference fingerprints.
 
 1. One pass gives each text a 64-bit fingerprint; equal fingerprints are one node from then on.
-2. Fingerprints within two bits agree on at least two of four 16-bit blocks, so an equi-join on each pair of blocks finds
-   every candidate. Buckets above a fixed size go to a finer key instead: all but two of sixteen 4-bit blocks, where a
-   bucket can hold no more than 256 different fingerprints.
-3. For candidates a pivot table holds the Hamming distances to the reference fingerprints. By the triangle inequality a
-   pair whose distances to any pivot differ by more than the limit can't be linked; survivors are verified bit by bit.
-4. The links' connected components are found by contraction.
+2. The pivot table, written once for the distinct fingerprints, holds the Hamming distances of each quarter to the same
+   quarter of the reference fingerprints. A reference's four distances add up to the distance from it as a whole.
+3. Fingerprints within two bits leave at least two quarters alone, so they agree in all coordinates of those two: an equi-join
+   on the coordinates of each pair of quarters finds every candidate. Buckets above a fixed size go to a finer key instead:
+   all but two of sixteen 4-bit blocks, where a bucket can hold no more than 256 different fingerprints.
+4. By the triangle inequality a pair whose distances to any reference differ by more than the limit can't be linked: the
+   largest difference of coordinates discards it. Survivors are verified bit by bit.
+5. The links' connected components are found by contraction.
+
+For similar texts (``similar_texts``) the same table serves sets of shingles: a text's coordinate for a bit is the number of its
+distinct shingles whose hash has the bit less that of those without, which is the distance to the reference set of all hashes
+with that bit but for terms that two texts share. Its signs are the fingerprint; its differences bound the sets' difference.
 """
 
 from __future__ import annotations
@@ -20,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Staged, table
+from weftline.llm.common import Staged, pieces, table
 from weftline.llm.components import connect
 
 SEED = 42
-#: Reference fingerprints: the distance table has one column for each.
-PIVOTS = [xxhash.xxh64_intdigest(f"pivot {i}", seed=SEED) - (1 << 63) for i in range(16)]
+#: Reference fingerprints.
+PIVOTS = [xxhash.xxh64_intdigest(f"pivot {i}", seed=SEED) for i in range(8)]
+#: Bits of a quarter, and of a distance to a quarter (0 to 16) in a packed coordinate.
+QUARTER, _WIDE = 16, 5
 #: Fingerprints in a coarse bucket beyond which its members use the fine keys.
 COARSE_LIMIT = 64
 #: Shingles whose bits are counted at a time.
@@ -86,33 +94,48 @@ def _masks(block: int, free: int = 2) -> list[int]:
 
 def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     """A row for each fingerprint and mask: the mask's number and the bits that it keeps."""
-    keys = F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
-    return fps.select("fp", F.inline(keys))
+    keys = F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("x"), F.lit(0).cast("long").alias("y")) for i, m in enumerate(masks)])
+    return fps.select("*", F.inline(keys))
+
+
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """fp, q0..q3 (the distances of a quarter to that of each reference, packed), d0.. (the distance to each reference)."""
+    part = lambda v, q: F.shiftrightunsigned(v, q * QUARTER).bitwiseAND(F.lit((1 << QUARTER) - 1))
+    near = [[F.bit_count(part(F.col("fp"), q).bitwiseXOR(F.lit(p >> (q * QUARTER) & ((1 << QUARTER) - 1)))) for p in PIVOTS] for q in range(64 // QUARTER)]
+    packed = []
+    for coordinates in near:
+        value = F.lit(0).cast("long")
+        for c in coordinates:
+            value = F.shiftleft(value, _WIDE).bitwiseOR(c.cast("long"))
+        packed.append(value)
+    whole = [sum(near[q][j] for q in range(1, len(near))) + near[0][j] for j in range(len(PIVOTS))]
+    return fps.select("fp", *[v.alias(f"q{q}") for q, v in enumerate(packed)], *[d.cast("byte").alias(f"d{j}") for j, d in enumerate(whole)])
 
 
 def _pairs(keyed: DataFrame, distance: int) -> DataFrame:
-    """Linked pairs within buckets: pivot filter first, then the exact distance."""
-    known = keyed.select("mask", "bits", "fp", *[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(PIVOTS)])
+    """Linked pairs within buckets: discarded by the largest difference of coordinates, then by the exact distance."""
+    known = keyed.select("mask", "x", "y", "fp", *[f"d{j}" for j in range(len(PIVOTS))])
     a, b = known.alias("a"), known.alias("b")
-    same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp"))
-    for i in range(len(PIVOTS)):
-        same &= F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) <= distance
-    same &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    return a.join(b, same).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.fp") < F.col("b.fp"))
+    same &= F.greatest(*[F.abs(F.col(f"a.d{j}") - F.col(f"b.d{j}")) for j in range(len(PIVOTS))]) <= distance
+    left = a.join(b, same).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return left.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
 def links(fps: DataFrame, staged: Staged, distance: int = 2) -> DataFrame:
     """All pairs (a < b) of the distinct fingerprints ``fps`` (fp long) that differ in at most ``distance`` (<= 2) bits."""
     if not 0 <= distance <= 2:
-        raise ValueError("distance: 0 to 2, as two blocks are left free")
-    keyed = _keyed(fps, _masks(16))
-    sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged.put(keyed.join(sizes, ["mask", "bits"]), "buckets")
+        raise ValueError("distance: 0 to 2, as two quarters are left free")
+    known = staged.put(pivot_table(fps), "pivots")
+    pairs = F.array(*[F.struct(F.lit(4 * i + j).cast("short").alias("mask"), F.col(f"q{i}").alias("x"), F.col(f"q{j}").alias("y")) for i, j in combinations(range(4), 2)])
+    keyed = known.select("*", F.inline(pairs))
+    sizes = keyed.groupBy("mask", "x", "y").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged.put(keyed.join(sizes, ["mask", "x", "y"]), "buckets")
     coarse = _pairs(shared.where(F.col("n") <= COARSE_LIMIT), distance)
     hot = shared.where(F.col("n") > COARSE_LIMIT).select("fp").distinct()
-    fine = _keyed(hot, _masks(4))
-    sizes = fine.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    fine = staged.put(fine.join(sizes, ["mask", "bits"]).drop("n"), "fine")
+    fine = _keyed(hot.join(known, "fp"), _masks(4))
+    sizes = fine.groupBy("mask", "x").agg(F.count("*").alias("n")).where("n > 1")
+    fine = staged.put(fine.join(sizes, ["mask", "x"]).drop("n"), "fine")
     return staged.put(coarse.union(_pairs(fine, distance)).distinct(), "links")
 
 
@@ -127,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged.put(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     least = staged.put(rows.groupBy("fp").agg(F.min("id").alias("least")), "least")
     roots = connect(links(least.select("fp"), staged, distance), staged)
-    staged.drop("buckets", "fine", "links")
+    staged.drop("pivots", "buckets", "fine", "links")
     classes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = classes.select("fp", "root").join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -141,13 +164,16 @@ SMALL = 32
 _ODD = np.array([xxhash.xxh64_intdigest(f"row {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
-def _signature(h: np.ndarray) -> tuple[int, list[int]]:
-    """(number, band keys) of a text's distinct shingle hashes."""
+def _signature(h: np.ndarray) -> tuple[int, list[int], list[int]]:
+    """(number, band keys, coordinates of the pivot table) of a text's distinct shingle hashes."""
     if not len(h):
-        return 0, list(range(BANDS))
+        return 0, list(range(BANDS)), [0] * 64
     least = np.array([((x := h * odd) ^ (x >> np.uint64(32))).min() for odd in _ODD], np.uint64)
     keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)]
-    return len(h), keys
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), _CHUNK):
+        ones += np.unpackbits(h[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return len(h), keys, (2 * ones - len(h)).tolist()
 
 
 def _proposed(members: DataFrame, staged: Staged, name: str) -> tuple[DataFrame, DataFrame]:
@@ -221,11 +247,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (0.8 or more: the
     bands are made for that). A band of smallest hashes proposes pairs by equi-join; buckets above SMALL propose their
     members with a first one, and what that leaves in several components is completed by joins on shingles, which lose
-    nothing. Pairs whose numbers of distinct shingles rule the similarity out are discarded; all others are compared
-    shingle by shingle. ``k1`` and ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have it.
+    nothing. The pivot table discards pairs: similar sets of sizes m and n differ in at most (m + n) (1 - s) / (1 + s)
+    shingles, and no coordinate differs by more than the sets do. Survivors are compared shingle by shingle. ``k1`` and
+    ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have it.
 
-    Fingerprints take no part here: they count repeated shingles, which sets don't, and at this similarity they differ in
-    about ten bits of 64, as those of unrelated texts do. Null, empty and blank texts have no shingles and are one group.
+    The coordinates stand here instead of their signs, the fingerprint, as at this similarity fingerprints differ in about
+    ten bits of 64, as those of unrelated texts do. Null, empty and blank texts have no shingles and are one group.
     """
     if similarity < 0.8:
         raise ValueError("similarity: at least 0.8")
@@ -235,18 +262,119 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signature(np.unique(shingle_hashes(t.as_py(), shingle))) for t in batch["text"].cast(pa.binary())]
-            columns = [batch["id"], batch["k1"], batch["k2"], pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["id", "k1", "k2", "size", "keys"])
+            for part in pieces(batch):
+                found = [_signature(np.unique(shingle_hashes(t.as_py(), shingle))) for t in part["text"].cast(pa.binary())]
+                size, keys, table_ = zip(*found)
+                columns = [part["id"], part["k1"], part["k2"], pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(table_, pa.list_(pa.int32()))]
+                yield pa.record_batch(columns, names=["id", "k1", "k2", "size", "keys", "pivots"])
+
+    signed = staged.put(texts.mapInArrow(sign, "id long, k1 long, k2 long, size long, keys array<long>, pivots array<int>"), "signed")
+    distinct = signed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "keys", "pivots")])
+    nodes = staged.put(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    staged.drop("signed")
+    once, shared = _proposed(nodes.select("node", F.explode("keys").alias("key")), staged, "bands")
+    a, b = (nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("pivots").alias(f"{side}_pivots")) for side in "ab")
+    fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
+    apart = F.array_max(F.zip_with("a_pivots", "b_pivots", lambda x, y: F.abs(x - y)))
+    near = apart <= (F.col("a_size") + F.col("b_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    left = once.distinct().join(a, "a").join(b, "b").where(fits & near)
+    left = staged.put(left.select("a", "b"), "pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part["text"].cast(pa.binary())]
+                yield pa.record_batch([part["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    signed = staged.put(texts.mapInArrow(sign, "id long, k1 long, k2 long, size long, keys array<long>"), "signed")
-    distinct = signed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    large = shared.where(F.col("n") > SMALL).select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    open_ = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return large.join(open_, "key", "left_semi").select("node", "comp").distinct()
+
+
+def _by_shingles(sets: DataFrame, staged: Staged, similarity: float) -> DataFrame:
+    """(a, b) that complete the links among ``sets`` (node, comp, hashes) between different ``comp``, none by chance.
+
+    A shingle is rare if at most SMALL sets hold it. Similar sets that share a rare shingle share one among the rarest
+    (1 - similarity) of both, so an equi-join on these proposes them. Without a shared rare shingle the similarity depends
+    on the common shingles of both and the two sizes alone. So sets of the same common shingles are a class, stood for by
+    its smallest: if two such sets link, each also links to the smallest of the other's class (or of its own, if it is one
+    class), and these link to each other. Classes meet on their rarest common shingles.
+    """
+    need = lambda size: F.ceil(similarity * F.col(size) - 1e-6).cast("int")
+    tokens = sets.select("node", "comp", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    known = tokens.join(often, "token").groupBy("node", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    # Shingles of one set alone would come first: they only shorten the prefix.
+    known = staged.put(known.where(F.size("all") >= need("size")), "ranked")
+
+    rarest = known.select("node", "comp", "size", F.explode(F.slice("all", F.lit(1), F.size("all") - need("size") + 1)).alias("t")).where(F.col("t.df") <= SMALL).select("node", "comp", "size", "t.token")
+    a, b = rarest.alias("a"), rarest.alias("b")
+    fits = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & fits)
+    found = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    common = known.select("node", "comp", "size", F.transform(F.filter("all", lambda t: t["df"] > SMALL), lambda t: t["token"]).alias("common"))
+    common = common.withColumn("n", F.size("common")).where((F.col("n") > 0) & (F.col("n") >= need("size"))).withColumn("class", F.xxhash64("common"))
+    members = staged.put(common.select("class", "node", "comp", "size", "n"), "members")
+    classes = common.groupBy("class").agg(F.min_by(F.struct("node", "comp", "size", "n", "common"), F.struct("size", "node")).alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    classes = staged.put(classes.select("class", "r.*", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("whole")), "classes")
+    # Two sets without a shared rare shingle link only if their sizes fit into what they may share.
+    room = lambda x, y: F.col(f"{x}.size") + F.col(f"{y}.size") <= (1 + 1 / similarity) * F.least(f"{x}.n", f"{y}.n") + 1e-6
+    m, r = members.alias("m"), classes.alias("r")
+    pair = [F.least("m.node", "r.node").alias("a"), F.greatest("m.node", "r.node").alias("b")]
+    own = m.join(r, (F.col("m.class") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & room("m", "r")).select(pair)
+
+    keyed = classes.select("class", "whole", "size", "n", F.explode(F.slice("common", F.lit(1), F.col("n") - need("size") + 1)).alias("token"))
+    # Classes within the component that most classes of a shingle are in needn't meet each other.
+    most = keyed.where("whole IS NOT NULL").groupBy("token", "whole").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("whole", F.struct("k", "whole")).alias("most"))
+    keyed = staged.put(keyed.join(most, "token", "left"), "keyed")
+    p, q = keyed.where("whole IS NULL OR whole <> most").alias("p"), keyed.alias("q")
+    differ = (F.col("p.token") == F.col("q.token")) & (F.col("p.class") != F.col("q.class")) & F.coalesce(F.col("p.whole") != F.col("q.whole"), F.lit(True)) & room("p", "q")
+    beside = staged.put(p.join(q, differ).select(F.least("p.class", "q.class").alias("x"), F.greatest("p.class", "q.class").alias("y")).distinct(), "beside")
+    ways = beside.union(beside.select("y", "x"))
+    across = m.join(ways, F.col("m.class") == F.col("x")).join(r, (F.col("y") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & room("m", "r")).select(pair)
+    out = staged.put(found.union(own).union(across).distinct(), "completing")
+    staged.drop("ranked", "members", "classes", "keyed", "beside")
+    return out
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(k1, k2, root, first_id) for every distinct text: texts of one root are linked by near copies.
+
+    Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (0.8 or more: the
+    bands are made for that). A band of smallest hashes proposes pairs by equi-join; buckets above SMALL propose their
+    members with a first one, and what that leaves in several components is completed by joins on shingles, which lose
+    nothing. The pivot table discards pairs: similar sets of sizes m and n differ in at most (m + n) (1 - s) / (1 + s)
+    shingles, and no coordinate differs by more than the sets do. Survivors are compared shingle by shingle. ``k1`` and
+    ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have it.
+
+    The coordinates stand here instead of their signs, the fingerprint, as at this similarity fingerprints differ in about
+    ten bits of 64, as those of unrelated texts do. Null, empty and blank texts have no shingles and are one group.
+    """
+    if similarity < 0.8:
+        raise ValueError("similarity: at least 0.8")
+    staged = Staged(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                found = [_signature(np.unique(shingle_hashes(t.as_py(), shingle))) for t in part["text"].cast(pa.binary())]
+                size, keys, table_ = zip(*found)
+                columns = [part["id"], part["k1"], part["k2"], pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(table_, pa.list_(pa.int32()))]
+                yield pa.record_batch(columns, names=["id", "k1", "k2", "size", "keys", "pivots"])
+
+    signed = staged.put(texts.mapInArrow(sign, "id long, k1 long, k2 long, size long, keys array<long>, pivots array<int>"), "signed")
+    distinct = signed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "keys", "pivots")])
     nodes = staged.put(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     staged.drop("signed")
     once, shared = _proposed(nodes.select("node", F.explode("keys").alias("key")), staged, "bands")
-    a, b = (nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size")) for side in "ab")
+    a, b = (nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("pivots").alias(f"{side}_pivots")) for side in "ab")
     fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
-    left = once.distinct().join(a, "a").join(b, "b").where(fits)
+    apart = F.array_max(F.zip_with("a_pivots", "b_pivots", lambda x, y: F.abs(x - y)))
+    near = apart <= (F.col("a_size") + F.col("b_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    left = once.distinct().join(a, "a").join(b, "b").where(fits & near)
     left = staged.put(left.select("a", "b"), "pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,19 +387,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = texts.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("first_id")))
     hashes = staged.put(source.select("node", "text").mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "hashes")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch["x"], batch["y"]):
-                p, q = x.values.to_numpy(), y.values.to_numpy()
-                fits = min(len(p), len(q)) >= similarity * max(len(p), len(q))
-                both = len(np.intersect1d(p, q, assume_unique=True)) if fits else 0
-                kept.append(fits and both >= similarity * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
     def verified(pairs: DataFrame) -> DataFrame:
+        """Compared in the JVM, a pair at a time: no batch holds the sets of many."""
         x, y = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        return staged.put(pairs.join(x, "a").join(y, "b").mapInArrow(verify, "a long, b long"), "verified")
+        both = F.size(F.array_intersect("x", "y"))
+        sizes = F.size("x") + F.size("y")
+        return staged.put(pairs.join(x, "a").join(y, "b").where(both >= similarity * (sizes - both) - 1e-6).select("a", "b"), "verified")
 
     links_ = verified(left)
     roots = connect(links_, staged)
