@@ -102,6 +102,42 @@ def test_bin_completion_is_near_the_best():
     assert fits(solution, counts, 1024) and sum(t for _, t in solution) <= packing.lower_bound(counts, 1024) * 1.005
 
 
+def plain_best_fit(items, capacity):
+    rooms = []
+    for n in sorted(items, reverse=True):
+        fitting = [(r, i) for i, r in enumerate(rooms) if r >= n]
+        if fitting:
+            rooms[min(fitting)[1]] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_bin_completion_is_never_worse_than_best_fit():
+    r, better = random.Random(1), 0
+    for _ in range(300):
+        items = [r.randint(15, 60) for _ in range(r.randint(20, 60))]
+        counts = [items.count(n) for n in range(101)]
+        first, solution = packing.best_fit(counts, 100), packing.complete_bins(counts, 100)
+        assert fits(first, counts, 100) and fits(solution, counts, 100)
+        bins = sum(t for _, t in solution)
+        assert sum(t for _, t in first) == plain_best_fit(items, 100) and packing.lower_bound(counts, 100) <= bins <= plain_best_fit(items, 100)
+        better += bins < plain_best_fit(items, 100)
+    assert better > 100
+
+
+def test_bin_completion_finds_the_fewest_bins_of_small_instances():
+    r = random.Random(2)
+    for _ in range(200):
+        items = [r.randint(3, 25) for _ in range(r.randint(1, 10))]
+        assert sum(t for _, t in packing.complete_bins([items.count(n) for n in range(31)], 30)) == fewest(items, 30)
+
+
+def test_dominated_fillings_are_left_out():
+    found, _ = packing.fillings([0, 0, 1, 1, 0, 1, 0, 0, 0, 0], 7, 7, 7)
+    assert found == [(0, ((5, 1), (2, 1)))]  # 3 + 2 wastes two, and 5 could stand for 3
+
+
 def test_packing_holds_every_token(spark):
     r = random.Random(1)
     texts = [None, "", "x", "<|endoftext|> is text", "word " * 5000, "naïve 𝒳 " * 600, *(" ".join(r.choice(["alpha", "beta", "gamma,", "\n"]) for _ in range(r.randint(0, 900))) for _ in range(60))]

@@ -1,16 +1,18 @@
 """Best-fit packing of token sequences by bin completion.
 
 Documents are tokenised and cut into pieces in one pass. What packing needs of them is the number of pieces of each length,
-a table no longer than a sequence; over it a branch-and-bound search completes one bin after the other: around the longest
-piece left it enumerates fillings that no other dominates, prunes by waste and keeps the best solution so far, the first of
-which is the plain best-fit one. A filling is applied to as many bins at once as the counts allow. Tasks then look up each
-piece's place by its length and its rank among the pieces of that length.
+a table no longer than a sequence. Over it best-fit decreasing gives the first solution, and unless that meets the lower
+bound, a branch-and-bound search completes one bin after the other: around the longest piece left it enumerates the fillings
+that no other dominates, branches over them, and turns back where the waste so far rules out a bin less than the best
+solution. A filling is applied to as many bins at once as the counts allow. Tasks then look up each piece's place by its
+length and its rank among the pieces of that length.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,100 +27,170 @@ from weftline.llm.token_counts import byte_alphabet
 CAPACITY = 1024
 #: Token that ends every document.
 END = 2
-#: Fillings looked at for one bin, and solutions tried after the first, before the search settles for the best so far.
-FILLING_NODES, DIVES = 400, 12
+#: Steps of the enumeration for one bin and of the whole search after which it settles for the best solution so far. The
+#: problem is NP-hard, so some bound there must be; best-fit stands below it.
+FILLING_NODES, SEARCH_NODES = 5_000, 100_000
 
 Filling = tuple[tuple[int, int], ...]
 
 
-def fillings(counts: list[int], room: int, largest: int, nodes: int = FILLING_NODES) -> list[tuple[int, Filling]]:
-    """(waste, ((length, number), ...)) by falling waste: each wastes less than those before it.
+def _dominated(counts: list[int], chosen: list[tuple[int, int]], waste: int) -> bool:
+    """Whether a piece left out could stand for some pieces of the filling: for two or more of its size, or for smaller ones.
 
-    Lengths are tried from the largest down, so a filling of few large pieces comes before those that it dominates, in
-    which smaller pieces stand for a larger one. Ends at a filling without waste or after ``nodes`` steps.
+    ``counts``: pieces left beside the chosen. Sums of subsets are the bits of whole numbers. The empty subset has sum 0, so
+    a piece that still fits dominates, too.
     """
-    out: list[tuple[int, Filling]] = []
-    best = room + 1
+    sums, several = 1, 0  # of any subset; of subsets of several pieces
+    for n, k in chosen:
+        for _ in range(k):
+            several |= (several << n) | ((sums & ~1) << n)
+            sums |= sums << n
+    above, width = (sums << 1, 1) if waste else (0, 0)  # sums moved up by 1 .. waste
+    while width < waste:
+        step = min(width, waste - width)
+        above |= above << step
+        width += step
+    return any(c and (above | several) >> n & 1 for n, c in enumerate(counts))
+
+
+def fillings(counts: list[int], room: int, largest: int, most_waste: int, nodes: int = FILLING_NODES) -> tuple[list[tuple[int, Filling]], int]:
+    """((waste, ((length, number), ...)) by rising waste, steps taken): the undominated fillings of ``room``.
+
+    None of them wastes more than ``most_waste``. A piece that fills the room alone dominates everything else.
+    """
+    if not room:
+        return [(0, ())], 1
+    if room <= largest and counts[room]:
+        return [(0, ((room, 1),))], 1
+    below = [0] * (largest + 1)
+    for n in range(1, largest + 1):
+        below[n] = below[n - 1] + n * counts[n]
+    lengths = [n for n in range(min(room, largest), 0, -1) if counts[n]]
+    smallest = lengths[-1] if lengths else room + 1
+    left = list(counts)
     chosen: list[tuple[int, int]] = []
-    smallest = next((n for n, c in enumerate(counts) if c and n), room + 1)
-    left = nodes
-
-    def extend(room: int, top: int) -> None:
-        nonlocal best, left
-        n = min(top, room)
-        any_fits = False
-        while n >= smallest and left > 0 and best > 0:
-            if counts[n]:
-                any_fits = True
-                left -= 1
-                for k in range(min(counts[n], room // n), 0, -1):
-                    chosen.append((n, k))
-                    extend(room - n * k, n - 1)
-                    chosen.pop()
-                    if left <= 0 or best == 0:
-                        return
-            n -= 1
-        if not any_fits and room < best:
-            best = room
-            out.append((room, tuple(chosen)))
-
-    extend(room, largest)
-    return out
+    out: list[tuple[int, Filling]] = []
+    steps = 0
+
+    def extend(room: int, at: int) -> None:
+        nonlocal steps
+        steps += 1
+        while at < len(lengths) and lengths[at] > room:
+            at += 1
+        if at == len(lengths) or room < smallest:
+            if room <= most_waste and not _dominated(left, chosen, room):
+                out.append((room, tuple(chosen)))
+            return
+        n = lengths[at]
+        if steps >= nodes or room - below[n] > most_waste:
+            return
+        for k in range(min(left[n], room // n), 0, -1):
+            chosen.append((n, k))
+            left[n] -= k
+            extend(room - n * k, at + 1)
+            left[n] += k
+            chosen.pop()
+            if steps >= nodes:
+                return
+        extend(room, at + 1)
+
+    extend(room, 0)
+    return sorted(out, key=lambda f: (f[0], sum(k for _, k in f[1]))), steps
 
 
 def lower_bound(counts: list[int], capacity: int) -> int:
     """Bins that any packing needs: by volume, and by pieces of which no two fit together plus what can't join them."""
-    best = -(-sum(n * c for n, c in enumerate(counts)) // capacity)
+    number = np.array(counts[: capacity + 1], np.int64)
+    n = np.arange(capacity + 1)
+    many, volume = np.concatenate(([0], np.cumsum(number))), np.concatenate(([0], np.cumsum(n * number)))  # of lengths below
+    best = -(-int(volume[-1]) // capacity)
+    half = capacity // 2 + 1
     for k in range(0, capacity // 2 + 1):
-        alone = sum(counts[capacity - k + 1 :])
-        halves = range(capacity // 2 + 1, capacity - k + 1)
-        middle = sum(counts[n] for n in halves)
-        space = sum((capacity - n) * counts[n] for n in halves)
-        small = sum(n * counts[n] for n in range(max(k, 1), capacity // 2 + 1))
-        best = max(best, alone + middle + max(0, -(-(small - space) // capacity)))
+        big = capacity - k + 1  # from here on nothing of k or more fits beside
+        alone, middle = many[-1] - many[big], many[big] - many[half]
+        space = capacity * middle - (volume[big] - volume[half])
+        small = volume[half] - volume[max(k, 1)]
+        best = max(best, int(alone + middle + max(0, -(-(small - space) // capacity))))
     return best
 
 
-def _dive(counts: list[int], capacity: int, skips: dict[int, int], bins_allowed: float) -> tuple[int, list[tuple[Filling, int]]] | None:
-    """One solution: at step i the filling that is skips[i] from the best. None once it can't be below ``bins_allowed``."""
-    left = list(counts)
+def best_fit(counts: list[int], capacity: int) -> list[tuple[Filling, int]]:
+    """Best-fit decreasing: each piece, longest first, goes to the fullest bin that takes it. Equal bins are kept as one."""
+    by_room: dict[int, list[tuple[Filling, int]]] = {capacity: []}
+    for n in range(capacity, 0, -1):
+        left = counts[n] if n < len(counts) else 0
+        while left:
+            room = next((r for r in range(n, capacity) if by_room.get(r)), capacity)
+            # A bin that took one is then the fullest that takes the next, so each takes all it can.
+            each = room // n
+            filling, bins = by_room[room].pop() if room < capacity else ((), -(-left // each))
+            full = min(bins, left // each)
+            last = min(left - full * each, each) if full < bins else 0
+            for number, k in ((full, each), (1 if last else 0, last), (bins - full - (1 if last else 0), 0)):
+                if number:
+                    by_room.setdefault(room - k * n, []).append(((*filling, (n, k)) if k else filling, number))
+            left -= full * each + last
+    return [group for groups in by_room.values() for group in groups]
+
+
+def complete_bins(counts: list[int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[Filling, int]]:
+    """(filling, number of bins) that hold ``counts[n]`` pieces of every length n <= capacity; never more bins than best-fit.
+
+    Depth first: the choices of a bin are its undominated fillings by rising waste. A branch ends where its waste exceeds
+    what a solution of one bin less than the best may waste in all.
+    """
+    left = list(counts[: capacity + 1]) + [0] * (capacity + 1 - len(counts))
     volume = sum(n * c for n, c in enumerate(left))
-    out, bins, step, top = [], 0, 0, capacity
-    while True:
-        while top and not left[top]:
-            top -= 1
-        if not top:
-            return bins, out
-        if bins + -(-volume // capacity) >= bins_allowed:
-            return None
+    best = best_fit(left, capacity)
+    bins, bound = sum(times for _, times in best), lower_bound(left, capacity)
+    waste = used = 0
+
+    def options() -> list[tuple[int, Filling]]:
+        """Undominated fillings around the longest piece left, the least wasteful at the end."""
+        nonlocal nodes
+        top = longest()
         left[top] -= 1
-        found = fillings(left, capacity - top, top)
+        found, steps = fillings(left, capacity - top, min(top, capacity - top), (bins - 1) * capacity - volume - waste, min(nodes, FILLING_NODES))
         left[top] += 1
-        _, rest = found[max(0, len(found) - 1 - skips.get(step, 0))]
-        need: dict[int, int] = {top: 1}
-        for n, k in rest:
-            need[n] = need.get(n, 0) + k
-        times = min(left[n] // k for n, k in need.items())
+        nodes -= steps
+        return found[::-1]
+
+    def longest() -> int:
+        return next((n for n in range(capacity, 0, -1) if left[n]), 0)
+
+    def change(need: Counter, times: int, lost: int) -> None:
+        nonlocal waste, used
         for n, k in need.items():
             left[n] -= k * times
-            volume -= n * k * times
-        out.append((tuple(sorted(need.items(), reverse=True)), times))
-        bins += times
-        step += 1
-
-
-def complete_bins(counts: list[int], capacity: int = CAPACITY, dives: int = DIVES) -> list[tuple[Filling, int]]:
-    """(filling, number of bins) that hold ``counts[n]`` pieces of every length n <= capacity."""
-    counts = list(counts) + [0] * (capacity + 1 - len(counts))
-    bins, best = _dive(counts, capacity, {}, float("inf"))
-    bound = lower_bound(counts, capacity)
-    for k in range(dives):
-        if bins <= bound:
-            break
-        # Branch late first: near the end few fillings are left and a wrong early choice shows.
-        step = max(0, len(best) - 1 - (k * len(best)) // max(1, dives))
-        if found := _dive(counts, capacity, {step: 1}, bins):
-            bins, best = found
+        waste += lost * times
+        used += times
+
+    # For each depth the fillings not yet tried, and the one that is applied.
+    stack: list[list] = [[options(), None]] if bins > bound else []
+    while stack and bins > bound:
+        untried, applied = stack[-1]
+        if applied:
+            need, times, lost = applied
+            change(need, -times, lost)
+            stack[-1][1] = None
+        if not untried or nodes <= 0:
+            stack.pop()
+            continue
+        lost, rest = untried.pop()
+        need = Counter(dict(rest))
+        need[longest()] += 1
+        spare = (bins - 1) * capacity - volume - waste
+        times = min(left[n] // k for n, k in need.items())
+        times = min(times, spare // lost) if lost else times
+        if spare < 0 or times < 1:
+            continue
+        change(need, times, lost)
+        stack[-1][1] = (need, times, lost)
+        if longest():
+            stack.append([options(), None])
+        elif used < bins:
+            bins = used
+            best = [(tuple(sorted(n.items(), reverse=True)), t) for n, t, _ in (frame[1] for frame in stack)]
     return best
 
 
