@@ -36,6 +36,14 @@ def test_url_rules(spark):
     assert all(by_id[i] == (v, rule) for i, (_, v, rule) in enumerate(urls)) and by_id[None] == ("block", "example.org/es/")
 
 
+def test_url_rules_of_equal_length(spark):
+    """Block wins, then the smaller text; rules of one text and different verdicts are a tie, too."""
+    ties = [("org", "/aaaaaaaaa/", "allow"), ("a.example.org", "/", "allow"), ("com", "/xx/", "allow"), ("x.com", "/x", "block"), ("net", "/", "allow"), ("net", "/", "block"), (None, "/", "block"), ("de", None, "block")]
+    urls = ["http://a.example.org/aaaaaaaaa/b", "http://x.com/xx/y", "http://a.net/", "http://b.de", "http://" + "a." * 20000 + "net/"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(ties, url_filter.RULE_SCHEMA)).orderBy("page_id").collect()
+    assert [(x.rule, x.verdict) for x in got] == [("a.example.org/", "allow"), ("x.com/x", "block"), ("net/", "block"), ("de", "block"), ("net/", "block")]
+
+
 def test_url_rules_without_rows(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(empty, rules(spark)).count() == 0
@@ -184,3 +192,74 @@ def test_estimation_separates_reliable_labelers():
     counts = [(0, (1, 1, 1, 1), 80), (0, (1, 1, 0, 1), 40), (0, (-1, 0, -1, -1), 90), (0, (-1, 1, 0, -1), 30), (0, (1, 0, 0, 1), 20)]
     belief = pii.estimate(counts)
     assert belief[0, (1, 1, 1, 1)] > 0.95 and belief[0, (-1, 0, -1, -1)] < 0.05
+
+
+def plain_labels(text, kind, a, b):
+    """(votes, features) of a span by plain search."""
+    value, before, after = text[a:b], text[max(0, a - 30) : a], text[b : b + 1]
+    votes = (
+        1 if re.search(pii.FORMATS[kind], value) else -1,
+        1 if re.search(pii.GAZETTEERS[kind], value) else 0,
+        1 if re.search(pii.ABOUT, before) else -1 if re.search(pii.AGAINST, before) else 0,
+        1 if not re.search("[A-Za-z0-9]$", before) and not re.search("^[A-Za-z0-9]", after) else -1,
+    )
+    shape = re.sub("[0-9]+", "0", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", value)))
+    word = re.search(r"([^\W\d_]+)[\W\d_]*$", before)
+    near = re.sub("[0-9]", "0", re.sub(r"[^\W\d_]", "a", before[-2:]))
+    told = [("kind", ""), ("shape", shape), ("word", word.group(1).lower() if word else ""), ("next", re.sub(r"[^\W\d_]", "a", after)), ("near", near), ("size", len(value)), ("first", value[:2])]
+    return votes, frozenset((name, kind, v) for name, v in told)
+
+
+def plain_belief(votes):
+    """Expectation-maximisation written out over single spans."""
+    belief = [1 / (1 + np.exp(-1.5 * sum(v))) for _, v in votes]
+    for _ in range(pii.ROUNDS):
+        share = {k: (1 + sum(p for (j, _), p in zip(votes, belief) if j == k), 2 + sum(j == k for j, _ in votes)) for k, _ in votes}
+        rate = {}
+        for j in range(pii.LABELERS):
+            for truth in (0, 1):
+                table = {v: 1.0 + (2.0 if v == (1 if truth else -1) else 0) for v in (-1, 0, 1)}
+                for (_, v), p in zip(votes, belief):
+                    table[v[j]] += p if truth else 1 - p
+                for v, n in table.items():
+                    rate[j, truth, v] = n / sum(table.values())
+        odds = [np.log(share[k][0] / (share[k][1] - share[k][0])) + sum(np.log(rate[j, 1, x] / rate[j, 0, x]) for j, x in enumerate(v)) for k, v in votes]
+        belief = [1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in odds]
+    return np.array(belief)
+
+
+def test_added_spans_against_plain_votes_estimation_and_regression(spark):
+    r = random.Random(6)
+    parts = ["call {0} now", "version {0}", "tel: {0}.", "hash {0}x", "Dr. Maria Lopez said", "ssn 123-45-67{1}", "page 123-45-67{1}", "api_key = 'a8f{1}b2c3d4e5f6'", "token: build", "john(at)mail.com", "mail me: a{1}@b.com", "id=AKIAABCDEFGH1234567{1}"]
+    texts = [" ".join(r.choice(parts).format(f"555-{r.randint(200, 999)}-{r.randint(1000, 9999)}", r.randint(10, 99)) for _ in range(r.randint(1, 4))) for _ in range(120)]
+    spans, votes, features = [], [], []
+    for i, t in enumerate(texts):
+        found = base(t)
+        wide = [(k, m.start(), m.end()) for k, p in pii.WIDER.items() for m in re.finditer(p, t)]
+        for here, spans_ in ((True, found), (False, [w for w in wide if not any(a < w[2] and w[1] < b for _, a, b in found)])):
+            for k, a, b in spans_:
+                v, f = plain_labels(t, k, a, b)
+                spans.append((i, here, f"{k}:{a}:{b}"))
+                votes.append((k, v))
+                features.append(f)
+    p = plain_belief(votes)
+    names = sorted({f for fs in features for f in fs}, key=str)
+    x = np.array([[1.0] + [n in fs for n in names] for fs in features], float)
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-12] + [pii.RIDGE] * len(names))
+    for _ in range(60):  # Newton's steps
+        q = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) / len(x) + ridge + 1e-9 * np.eye(len(w)), x.T @ (q - p) / len(x) + ridge @ w)
+    q = 1 / (1 + np.exp(-x @ w))
+    sure = np.abs(q - pii.ACCEPT) > 0.03
+    got = {g.doc_id: g for g in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for (i, here, span), s, chance in zip(spans, sure, q):
+        if here or s:
+            assert (span in got[i].spans.split(",")) == (here or chance > pii.ACCEPT), (texts[i], span, chance)
+    assert sum(sure) > 0.9 * len(sure) and 20 < sum(g.n_added for g in got.values()) < len(spans) - 20
+    assert all(g.n_spans == len([s for s in g.spans.split(",") if s]) for g in got.values())
+
+
+def test_very_many_spans_take_linear_time(spark):
+    text = " ".join(f"a{i}@mail.example.com" for i in range(20_000))
+    got = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert got.n_email == 20_000 and got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(text)).encode()).hexdigest()

@@ -25,8 +25,6 @@ MASKS = [(0, 1, 2, 4, 5), (0, 1, 4, 6, 7)]
 SPAN = max(m[-1] for m in MASKS) + 1
 #: Words of an aligned stretch that decide, and the share of them that must agree.
 STRETCH, SIMILARITY = 12, 0.8
-#: Items of fewer words than this can't be told from chance; those up to SPAN words must occur whole.
-LEAST_WORDS = 5
 #: Bits of the table that tasks filter with: 2**26 is 8 MB, whatever the benchmark's size.
 TABLE_BITS = 26
 #: Distinct words that a task remembers.
@@ -71,7 +69,8 @@ def seeds(words: np.ndarray, whole: tuple[int, ...] = ()) -> list[tuple[int, np.
 
 
 def _whole_lengths(n: int) -> tuple[int, ...]:
-    return (n,) if LEAST_WORDS <= n < SPAN else ()
+    """Items of fewer words than the masks' span must occur whole."""
+    return (n,) if 0 < n < SPAN else ()
 
 
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +85,7 @@ def _bench_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             w = words(text)
-            if len(w) < LEAST_WORDS:
+            if not len(w):
                 continue
             hashes, first = w.view(np.int64).tolist(), True
             for n, h in seeds(w, _whole_lengths(len(w))) if len(w) >= SPAN else seeds(w, _whole_lengths(len(w)))[len(MASKS) :]:
@@ -185,7 +184,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     least SIMILARITY of their places: ten of twelve. Returns id, item, matched_words and aligned_words of the longest such
     overlap, and similarity, the best stretch's share. Words are compared in lower case without marks at their ends.
 
-    Items of 5 to 7 words must occur in full, those of fewer (null and empty ones, too) never match; in items of 8 to 11
+    Items of 1 to 7 words must occur in full, those without words (null and empty ones, too) never match; in items of 8 to 11
     words one word may differ. Null or empty documents match nothing. Repeated ids are judged together, null ids are
     one group. Extra columns are ignored. Empty tables give an empty result.
     """
@@ -197,7 +196,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         ),
         "bench",
     )
-    whole = tuple(sorted(r[0] for r in bench.where(F.col("size") < SPAN).select("size").distinct().collect()))  # 5, 6, 7 at most
+    whole = tuple(sorted(r[0] for r in bench.where(F.col("size") < SPAN).select("size").distinct().collect()))  # 1 to 7 at most
     bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
     for r in bench.select("key").mapInArrow(_bits, "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(r[0]), np.uint8)

@@ -2,11 +2,12 @@
 
 Four kinds have exact base rules. Besides, a wider set of candidate spans gets votes from four labelers: the format of the
 span, gazetteers, the words before it, and its boundaries. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is and how likely each pattern is personal data; these soft labels train a classifier
-over features of the span and its surroundings (log-odds of feature counts), which decides the candidates. Base spans always
-stay, and accepted candidates that overlap none of them are added.
+estimates how reliable each labeler is and how likely each pattern is personal data; these soft labels train a classifier, a
+logistic regression over features of the span and its surroundings, which decides the candidates. Base spans always stay, and
+accepted candidates that overlap none of them are added.
 
-One pass over the texts makes each document's spans and candidates; everything after reads only these.
+One pass over the texts makes each document's spans and candidates; everything after reads only these. The regression is
+Spark's own, over the distinct feature patterns with their summed labels as weights, so its input doesn't grow with repeats.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import json
 import math
 from collections.abc import Callable
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +38,20 @@ BASE = {
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"\+[0-9]"}
 
 #: Gazetteers and context words of the labelers. Fixed values.
-GIVEN_NAMES = "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Maria|Anna|Peter|Hans|Pierre|Jean|Carlos|Jose|Luis|Sofia|Laura|Paul|Julia|Martin|Daniel|Emma|Lucas|Marie|Klaus|Ana"
+GIVEN_NAMES = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|"
+    "Christopher|Lisa|Daniel|Nancy|Matthew|Betty|Anthony|Sandra|Mark|Margaret|Donald|Ashley|Steven|Kimberly|Andrew|Emily|Paul|Donna|Joshua|Michelle|"
+    "Kenneth|Carol|Kevin|Amanda|Brian|Melissa|George|Deborah|Timothy|Stephanie|Ronald|Rebecca|Jason|Laura|Edward|Helen|Jeffrey|Sharon|Ryan|Cynthia|"
+    "Anna|Peter|Hans|Klaus|Stefan|Andreas|Wolfgang|Ursula|Monika|Petra|Sabine|Renate|Heike|Martin|Lukas|Leon|Lena|Mia|Julia|Katharina|"
+    "Pierre|Jean|Marie|Jacques|Michel|Camille|Louis|Nathalie|Isabelle|Sylvie|Nicolas|Julien|Claire|Lucas|Emma|Chantal|Antoine|Philippe|Monique|Alain|"
+    "Carlos|Jose|Luis|Sofia|Maria|Ana|Juan|Carmen|Pedro|Lucia|Miguel|Javier|Elena|Pablo|Isabel|Manuel|Francisco|Rosa|Diego|Teresa"
+)
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Don|Sr|Sra"
-DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ch|at|it"
-ABOUT = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|telephone|mobile|fax|reach|ssn|social security|iban|account|konto|cuenta|compte|card|name|named|dear|signed|address)\b[^\n]{0,20}$"
+DOMAINS = "com|org|net|edu|gov|info|io|co|biz|dev|app|de|fr|es|uk|eu|us|ca|au|ch|at|it|nl|be|pl|se|pt|ie|dk|no|fi|br|mx|in|jp"
+#: Openings of issued keys, and names under which secrets are assigned.
+ISSUED = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk-|sk_live_|pk_live_|AIza|eyJ"
+ASSIGNED = "pass(?:word|wd|phrase)|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token|credential"
+ABOUT = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|telephone|mobile|fax|reach|ssn|social security|iban|account|konto|cuenta|compte|card|name|named|dear|signed|address|password|secret|credential|login)\b[^\n]{0,20}$"
 AGAINST = r"(?i)(?:\b(?:token|hash|sha|md5|uuid|version|isbn|issn|build|commit|figure|table|page|key)\b|[$€£=\"])[^\n]{0,10}$"
 #: Wider candidates by kind: spelled-out addresses, national phone numbers, and kinds that have no base rule.
 WIDER = {
@@ -46,6 +59,7 @@ WIDER = {
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z0-9])(?:(?:{ISSUED})[A-Za-z0-9_./+-]{{12,}}+|(?i:{ASSIGNED})[\"']?\x20?[=:]\x20?[\"']?[A-Za-z0-9_./+-]{{8,}}+)",
     "name": rf"(?<![A-Za-z])(?:(?:{TITLES})\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?|(?:{GIVEN_NAMES})\x20[A-Z][a-z]+)(?![A-Za-z])",
 }
 WIDER_GUARDS = {
@@ -53,6 +67,7 @@ WIDER_GUARDS = {
     "phone": r"[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+    "secret": rf"(?:{ISSUED})[A-Za-z0-9_./+-]{{12}}|(?i:{ASSIGNED})[\"']?\x20?[=:]",
     "name": rf"(?:{TITLES}|{GIVEN_NAMES})\.?\x20[A-Z][a-z]",
 }
 FORMATS = {
@@ -62,6 +77,7 @@ FORMATS = {
     "phone": r"[\x20().-]",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "iban": r"^[A-Z]{2}(?!00)[0-9]{2}",
+    "secret": r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_./+-]{12,}$",
     "name": rf"^(?:{TITLES})\b|\x20[A-Z][a-z]{{2,}}$",
 }
 GAZETTEERS = {
@@ -71,27 +87,52 @@ GAZETTEERS = {
     "phone": r"^(?:\+[1-9]|\(?[2-9])",
     "ssn": r"^[0-8]",
     "iban": r"^(?:DE|FR|ES|GB|IT|NL|BE|CH|AT|PT|PL|SE|DK|NO|FI|IE)",
+    "secret": rf"^(?:{ISSUED})|^(?i:{ASSIGNED})",
     "name": rf"\b(?:{GIVEN_NAMES})\b",
 }
 ALL_KINDS = [*KINDS, *(k for k in WIDER if k not in KINDS)]
 #: Buckets of the classifier's features, rounds of expectation-maximisation, and the probability that adds a span.
-BUCKETS, ROUNDS, ACCEPT = 512, 30, 0.9
+BUCKETS, ROUNDS, ACCEPT = 4096, 30, 0.9
+#: Ridge and steps of the regression; slots that its buckets are hashed into.
+RIDGE, STEPS, SLOTS = 1e-4, 40, 1 << 16
+#: Parts of a text that are numbered together (even, as matches are every other one).
+PARTS = 128
 LABELERS = 4
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _found(text: Column, pattern: str, guard: str) -> Column:
-    """Leftmost non-overlapping matches with their code-point positions."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{_SIGN}$0{_SIGN}"), _SIGN)
+    """Leftmost non-overlapping matches with their code-point positions.
+
+    Every other part of the marked text is a match. Parts are numbered in stretches of PARTS, so that arrays which grow by
+    one element at a time stay short however many matches there are.
+    """
 
     def step(acc: Column, part: Column) -> Column:
         to = acc["at"] + F.length(part)
         span = F.struct(acc["at"].alias("start"), to.alias("end"), part.alias("value"))
         return F.struct(to.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    empty = F.array().cast(_SPANS)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
-    return F.when(text.rlike(guard), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def begins(stretches: Column) -> Column:
+        """Where each stretch begins."""
+        lengths = F.transform(stretches, lambda s: F.aggregate(s, F.lit(0), lambda n, part: n + F.length(part)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def spans(stretches: Column) -> Column:
+        empty = F.array().cast(_SPANS)
+        start = lambda at: F.struct(at.alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
+        one = lambda both: F.aggregate(both["parts"], start(both["at"]), step, lambda acc: acc["out"])
+        return F.flatten(F.transform(F.arrays_zip(stretches.alias("parts"), begins(stretches).alias("at")), one))
+
+    marked = F.split(F.regexp_replace(text, pattern, f"{_SIGN}$0{_SIGN}"), _SIGN)
+    stretches = _let(marked, lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(PARTS)), lambda i: F.slice(parts, i, PARTS)))
+    return F.when(text.rlike(guard), _let(stretches, spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _luhn(digits: Column) -> Column:
@@ -154,8 +195,15 @@ def labelled(text: Column, spans: Column, base: bool) -> Column:
         )
         shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(s["value"], "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
         word = F.lower(F.regexp_extract(before, r"(\p{L}+)\P{L}*$", 1))
-        # Length and digits follow from kind and shape: as features of their own they would count that evidence again.
-        told = [("kind", F.lit("")), ("shape", shape), ("word", word), ("next", F.regexp_replace(after, r"\p{L}", "a"))]
+        told = [
+            ("kind", F.lit("")),
+            ("shape", shape),
+            ("word", word),
+            ("next", F.regexp_replace(after, r"\p{L}", "a")),
+            ("near", F.regexp_replace(F.regexp_replace(F.regexp_extract(before, "(.{0,2})$", 1), r"\p{L}", "a"), "[0-9]", "0")),
+            ("size", F.length(s["value"]).cast("string")),
+            ("first", F.substring(s["value"], 1, 2)),
+        ]
         buckets = F.array(*[F.pmod(F.xxhash64(F.lit(name), s["kind"], value), F.lit(BUCKETS)).cast("int") for name, value in told])
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes.alias("votes"), buckets.alias("features"))
 
@@ -190,18 +238,35 @@ def estimate(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = ROUND
     return belief
 
 
+def classifier(each: DataFrame, p: Column, staged: Staged) -> tuple[float, list[float]]:
+    """(intercept, weight of each bucket) of a logistic regression of the soft labels ``p`` on the features of (features) rows.
+
+    Rows of equal features are one, with the sums of p and 1 - p as the weights of its two labels. The driver sees SLOTS
+    coefficients. Without rows everything is zero.
+    """
+    sums = staged.put(each.groupBy("features").agg(F.sum(p).alias("yes"), F.sum(1 - p).alias("no")), "patterns")
+    both = F.inline(F.array(F.struct(F.lit(1.0).alias("label"), F.col("yes").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("no").alias("weight"))))
+    rows = sums.select("features", both).where("weight > 0")
+    if sums.isEmpty():
+        return 0.0, [0.0] * BUCKETS
+    hashing = HashingTF(numFeatures=SLOTS, binary=True, inputCol="features", outputCol="vector")
+    model = LogisticRegression(featuresCol="vector", weightCol="weight", regParam=RIDGE, maxIter=STEPS, standardization=False).fit(hashing.transform(rows))
+    coefficients = model.coefficients.toArray()
+    return float(model.intercept), [float(coefficients[hashing.indexOf(b)]) for b in range(BUCKETS)]
+
+
 def _is(kind: int) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """One row for each document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (base and added).
 
     The counts and base_sha256 are of the base spans (``kind:start:end``, in code points, comma-joined by kind, then
     start); ``spans`` lists the base spans and those that the classifier adds, kinds with base rules first.
 
     Null and empty texts have no spans. Repeated rows and null ids give a result each; extra columns are ignored; an empty
-    table gives an empty result. The driver sees one count for each vote pattern and kind and two sums for each feature
+    table gives an empty result. The driver sees one count for each vote pattern and kind and one weight for each feature
     bucket, both bounded by parameters.
     """
     spark = docs.sparkSession
@@ -222,12 +287,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     belief = estimate([(r["kind"], tuple(r["votes"]), r["count"]) for r in votes])
     told = json.dumps({f"{k}:{','.join(map(str, v))}": p for (k, v), p in belief.items()} or {"": 0.5})
     p = F.coalesce(F.from_json(F.lit(told), "map<string,double>")[F.concat_ws(":", F.col("kind").cast("string"), F.array_join(F.col("votes").cast("array<string>"), ","))], F.lit(0.5))
-    sums = each.select(p.alias("p"), F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # at most BUCKETS rows
-    yes, no = sum(r["yes"] for r in sums) / 6, sum(r["no"] for r in sums) / 6
-    prior = math.log((yes + 1) / (no + 1))
-    weights = [0.0] * BUCKETS
-    for r in sums:
-        weights[r["feature"]] = math.log((r["yes"] + 1) / (yes + 2)) - math.log((r["no"] + 1) / (no + 2))
+    prior, weights = classifier(each, p, staged)
     weight = F.from_json(F.lit(json.dumps(weights)), "array<double>")
     decided = lambda c: F.aggregate(c["features"], F.lit(prior), lambda acc, f: acc + F.get(weight, f)) > math.log(ACCEPT / (1 - ACCEPT))
     added = F.filter("candidates", lambda c: ~c["base"] & decided(c))
@@ -240,6 +300,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(every).alias("spans"),
         F.size("added").alias("n_added"),
+        (F.size("base") + F.size("added")).alias("n_spans"),
     )
 
 

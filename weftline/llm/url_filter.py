@@ -36,13 +36,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     wins, then the smaller text. Other columns of ``pages`` are ignored, so their names can't clash. Empty tables give an
     empty result, or the default for all.
 
-    The prefix lengths tried are those that occur among the rules' paths, a set no larger than the longest rule. The rules
+    The prefix lengths and numbers of host labels tried are those that occur among the rules, sets no larger than the longest
+    rule, so that a host of very many labels costs no more than its length. The rules
     are never broadcast by hint: Spark does so by their size, and beyond it joins by shuffle, splitting hot expressions.
     """
     rules = rules.select(ascii_lower("rule_host").alias("rule_host"), F.coalesce("rule_path", F.lit("")).alias("rule_path"), "verdict").where("rule_host <> ''")
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect())
+    dots = F.length("host") - F.length(F.translate("host", ".", ""))
+    suffixes = F.array_compact(F.array(*[F.when(dots >= k - 1, F.substring_index("host", ".", -k)) for k in depths or [1]]))
     prefixes = F.transform(F.filter(F.lit(lengths or [0]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     expressions = F.flatten(F.transform("suffixes", lambda h: F.transform("prefixes", lambda p: F.concat(h, F.lit("\n"), p))))
     host, path = split_url(F.col(url_col))
@@ -60,12 +62,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         F.concat("rule_host", "rule_path").alias("rule"),
         F.col("verdict").alias("rule_verdict"),
     )
-    best = F.struct(F.length("rule").alias("n"), (F.col("rule_verdict") == "block").alias("block"), (-F.xxhash64("rule")).alias("tie"), "rule", "rule_verdict")
+    best = F.struct((-F.length("rule")).alias("n"), (F.col("rule_verdict") != "block").alias("allow"), "rule", "rule_verdict")
     judged = (
         tried.join(known, (F.col("short") == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest")), "left")
         .withColumn("best", F.when(F.col("rule").isNotNull(), best))
         .groupBy("row", "id", "host", "path")
-        .agg(F.max("best").alias("best"))
+        .agg(F.min("best").alias("best"))
     )
     return judged.select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
