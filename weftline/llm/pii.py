@@ -50,7 +50,7 @@ TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Don|Sr|Sra"
 DOMAINS = "com|org|net|edu|gov|info|io|co|biz|dev|app|de|fr|es|uk|eu|us|ca|au|ch|at|it|nl|be|pl|se|pt|ie|dk|no|fi|br|mx|in|jp"
 #: Openings of issued keys, and names under which secrets are assigned.
 ISSUED = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk-|sk_live_|pk_live_|AIza|eyJ"
-ASSIGNED = "pass(?:word|wd|phrase)|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token|credential"
+ASSIGNED = "pass(?:word|wd|phrase)|secret|api[_-]?key|access[_-]?key|(?:auth|access)[_-]?token|credential"
 ABOUT = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|telephone|mobile|fax|reach|ssn|social security|iban|account|konto|cuenta|compte|card|name|named|dear|signed|address|password|secret|credential|login)\b[^\n]{0,20}$"
 AGAINST = r"(?i)(?:\b(?:token|hash|sha|md5|uuid|version|isbn|issn|build|commit|figure|table|page|key)\b|[$€£=\"])[^\n]{0,10}$"
 #: Wider candidates by kind: spelled-out addresses, national phone numbers, and kinds that have no base rule.
@@ -98,7 +98,9 @@ RIDGE, STEPS, SLOTS = 1e-4, 40, 1 << 16
 #: Parts of a text that are numbered together (even, as matches are every other one).
 PARTS = 128
 LABELERS = 4
-_SPANS = "array<struct<start:int,end:int,value:string>>"
+#: ``before``: up to CONTEXT characters before the span; ``after``: the character that follows.
+_SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+CONTEXT = 30
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -113,26 +115,42 @@ def _found(text: Column, pattern: str, guard: str) -> Column:
     one element at a time stay short however many matches there are.
     """
 
-    def step(acc: Column, part: Column) -> Column:
-        to = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), to.alias("end"), part.alias("value"))
-        return F.struct(to.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    last = lambda c: F.substring(c, -CONTEXT, CONTEXT)
+    joined = lambda s: F.array_join(F.transform(s, lambda x: x["part"]), "")
+
+    def step(acc: Column, x: Column) -> Column:
+        to = acc["at"] + F.length(x["part"])
+        span = F.struct(acc["at"].alias("start"), to.alias("end"), x["part"].alias("value"), acc["tail"].alias("before"), x["after"].alias("after"))
+        out = F.when(acc["inside"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(to.alias("at"), last(F.concat(acc["tail"], x["part"])).alias("tail"), (~acc["inside"]).alias("inside"), out.alias("out"))
 
     def begins(stretches: Column) -> Column:
-        """Where each stretch begins."""
-        lengths = F.transform(stretches, lambda s: F.aggregate(s, F.lit(0), lambda n, part: n + F.length(part)))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        """(place, what stands before) of each stretch."""
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<at:int,tail:string>>").alias("out"))
+
+        def on(acc: Column, text_: Column) -> Column:
+            here = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"))
+            return F.struct((acc["at"] + F.length(text_)).alias("at"), last(F.concat(acc["tail"], text_)).alias("tail"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+        return F.aggregate(F.transform(stretches, joined), start, on, lambda acc: acc["out"])
 
     def spans(stretches: Column) -> Column:
         empty = F.array().cast(_SPANS)
-        start = lambda at: F.struct(at.alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
-        one = lambda both: F.aggregate(both["parts"], start(both["at"]), step, lambda acc: acc["out"])
-        return F.flatten(F.transform(F.arrays_zip(stretches.alias("parts"), begins(stretches).alias("at")), one))
+
+        def one(both: Column) -> Column:
+            start = F.struct(both["from"]["at"].alias("at"), both["from"]["tail"].alias("tail"), F.lit(False).alias("inside"), empty.alias("out"))
+            return F.aggregate(both["parts"], start, step, lambda acc: acc["out"])
+
+        return F.flatten(F.transform(F.arrays_zip(stretches.alias("parts"), begins(stretches).alias("from")), one))
+
+    def stretched(parts: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        # Between two matches side by side stands an empty part.
+        known = F.transform(parts, lambda part, i: F.struct(part.alias("part"), F.substring(F.concat(F.substring(at(i + 1), 1, 1), F.substring(at(i + 2), 1, 1)), 1, 1).alias("after")))
+        return _let(known, lambda every: F.transform(F.sequence(F.lit(1), F.size(every), F.lit(PARTS)), lambda i: F.slice(every, i, PARTS)))
 
     marked = F.split(F.regexp_replace(text, pattern, f"{_SIGN}$0{_SIGN}"), _SIGN)
-    stretches = _let(marked, lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(PARTS)), lambda i: F.slice(parts, i, PARTS)))
-    return F.when(text.rlike(guard), _let(stretches, spans)).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(guard), _let(_let(marked, stretched), spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _luhn(digits: Column) -> Column:
@@ -160,11 +178,11 @@ def _check(kind: str) -> Callable[[Column], Column]:
 
 def _of_kind(kind: str, spans: Column) -> Column:
     number = F.lit(ALL_KINDS.index(kind))
-    return F.transform(spans, lambda s: F.struct(number.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.transform(spans, lambda s: F.struct(number.alias("kind"), *[s[f].alias(f) for f in ("start", "end", "value", "before", "after")]))
 
 
 def base_spans(text: Column) -> Column:
-    """The four kinds' spans in order: array of (kind, start, end, value); kind is a place in ALL_KINDS."""
+    """The four kinds' spans in order: array of (kind, start, end, value, before, after); kind is a place in ALL_KINDS."""
     return F.concat(*[_of_kind(kind, F.filter(_found(text, BASE[kind], GUARDS[kind]), _check(kind))) for kind in KINDS])
 
 
@@ -180,12 +198,11 @@ def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
     return out
 
 
-def labelled(text: Column, spans: Column, base: bool) -> Column:
+def labelled(spans: Column, base: bool) -> Column:
     """Spans with their votes (1, 0, -1 by labeler) and the classifier's feature buckets."""
 
     def look(s: Column) -> Column:
-        before = text.substr(F.greatest(s["start"] - 29, F.lit(1)), F.least(s["start"], F.lit(30)))
-        after = text.substr(s["end"] + 1, F.lit(1))
+        before, after = s["before"], s["after"]
         yes_no = lambda c: F.when(c, 1).otherwise(-1)
         votes = F.array(
             yes_no(_by_kind(s["kind"], {k: s["value"].rlike(p) for k, p in FORMATS.items()})),
@@ -252,7 +269,11 @@ def classifier(each: DataFrame, p: Column, staged: Staged) -> tuple[float, list[
     hashing = HashingTF(numFeatures=SLOTS, binary=True, inputCol="features", outputCol="vector")
     model = LogisticRegression(featuresCol="vector", weightCol="weight", regParam=RIDGE, maxIter=STEPS, standardization=False).fit(hashing.transform(rows))
     coefficients = model.coefficients.toArray()
-    return float(model.intercept), [float(coefficients[hashing.indexOf(b)]) for b in range(BUCKETS)]
+    slots = hashing.transform(each.sparkSession.range(BUCKETS).select("id", F.array(F.col("id").cast("int")).alias("features"))).collect()
+    weights = [0.0] * BUCKETS
+    for r in slots:
+        weights[r["id"]] = float(coefficients[r["vector"].indices[0]])
+    return float(model.intercept), weights
 
 
 def _is(kind: int) -> Callable[[Column], Column]:
@@ -277,8 +298,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = staged.put(
         read.withColumn("apart", apart).select(
             "id",
-            F.transform("base", lambda s: s.dropFields("value")).alias("base"),
-            F.concat(labelled(F.col("text"), F.col("base"), True), labelled(F.col("text"), F.col("apart"), False)).alias("candidates"),
+            F.transform("base", lambda s: s.dropFields("value", "before", "after")).alias("base"),
+            F.concat(labelled(F.col("base"), True), labelled(F.col("apart"), False)).alias("candidates"),
         ),
         "spans",
     )
