@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.functions.text import similarity
+from weftline.operators.lineage import numbered
 
 # Grade syntax by system.
 GRADES = {
@@ -109,10 +110,9 @@ def guidebook_ids(known: DataFrame, new: DataFrame) -> DataFrame:
     by_title = known.where(key("title").isNotNull()).groupBy(key("title").alias("title")).agg(F.min("id").alias("of_title"))
     found = rows.join(by_isbn, "isbn", "left").join(by_title, "title", "left").select("ord", "isbn", "title", F.coalesce("of_isbn", "of_title").alias("id"))
     fresh = found.where("id IS NULL").groupBy(F.coalesce("isbn", "title").alias("book")).agg(F.min("ord").alias("at"))
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # Books new to the registry are few: their numbers are one sequence.
-    numbered = fresh.select("book", F.row_number().over(Window.orderBy("at")).alias("k")).join(F.broadcast(top), F.lit(True)).select("book", (F.col("top") + F.col("k")).alias("new_id"))
-    return found.join(numbered, F.coalesce("isbn", "title") == F.col("book"), "left").select("ord", F.coalesce("id", "new_id").alias("id"), F.col("id").isNull().alias("is_new"))
+    top = known.agg(F.max("id")).scalar()
+    new_ids = numbered(fresh, "at", "new_id", top).select("book", "new_id")
+    return found.join(new_ids, F.coalesce("isbn", "title") == F.col("book"), "left").select("ord", F.coalesce("id", "new_id").alias("id"), F.col("id").isNull().alias("is_new"))
 
 
 def add_references(current: DataFrame, new: DataFrame) -> DataFrame:

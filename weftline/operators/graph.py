@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds after which something must be wrong: nodes at least halve in expectation each time.
-MOST_ROUNDS = 100
+from weftline.operators.lineage import written
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in (a, b): nodes of one component share a root, the smallest of their ids.
 
     Each round maps every node to its neighbour (or itself) of smallest pseudo-random rank and contracts the edges along
-    that map. Lineage is cut by checkpoint() where a checkpoint folder is set.
+    that map, until none is left: nodes fall by a constant factor in expectation. Each round is written to the shared folder.
     """
-    cut = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
-    left = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    left = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
     nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    roots = cut(nodes.select("node", F.col("node").alias("root")))
+    roots = written(nodes.select("node", F.col("node").alias("root")))
     left = left.where("a <> b")
-    for k in range(1, MOST_ROUNDS):
-        if left.isEmpty():
-            break
+    k = 0
+    while not left.isEmpty():
+        k += 1
         both = left.union(left.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
-        to = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(rank("a"), F.col("m"))["node"].alias("to")))
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("rank"), F.col(c).alias("node"))
+        to = written(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(rank("a"), F.col("m"))["node"].alias("to")))
         ta, tb = to.withColumnRenamed("to", "ta"), to.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         moved = left.join(ta, "a").join(tb, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        roots = cut(roots.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        left = cut(moved.distinct())
+        roots = written(roots.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        left = written(moved.distinct())
     least = roots.groupBy("root").agg(F.min("node").alias("least"))
     return roots.join(least, "root").select("node", F.col("least").alias("root"))

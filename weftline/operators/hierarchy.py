@@ -1,49 +1,76 @@
-"""Trees of areas: paths, inherited values, nearest ancestors."""
+"""Trees of areas: paths, inherited values, nearest ancestors.
+
+Chains are followed by doubling: after k rounds every area knows its next 2**k ancestors, so a chain of a million levels takes
+twenty joins. Each round is written to the shared folder; there is no limit on the depth.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels after which a chain is taken for a cycle.
-DEEPEST = 32
+from weftline.operators.lineage import written
+
+
+def _rounds(areas: DataFrame) -> int:
+    """Rounds after which every chain without a cycle has ended."""
+    return areas.count().bit_length() + 1
+
+
+def rooted(areas: DataFrame) -> DataFrame:
+    """(id) of the areas whose chain ends at a root: neither in or under a cycle nor under a missing parent."""
+    jump = written(areas.select("id", F.col("parent_id").alias("up"), F.lit(True).alias("proper")))
+    for _ in range(_rounds(areas)):
+        if jump.where("up IS NOT NULL").isEmpty():
+            break
+        to = jump.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("proper").alias("_proper"), F.lit(True).alias("_there"))
+        moved = jump.where("up IS NOT NULL").join(to, "up", "left").select("id", F.col("_up").alias("up"), (F.col("proper") & F.coalesce("_proper", F.lit(False)) & F.col("_there").isNotNull()).alias("proper"))
+        jump = written(jump.where("up IS NULL").unionByName(moved))
+    return jump.where("up IS NULL AND proper").select("id")
 
 
 def resolve(areas: DataFrame, inherited: list[str], keep_detached: bool = False) -> DataFrame:
     """(id, parent_id, name, values...) to path_tokens, depth, and each value from the nearest ancestor that has it.
 
-    Goes down from the roots a level at a time, one equi-join each, until a level is empty. Areas in a cycle or under a
-    missing parent are left out, or with ``keep_detached`` stand for themselves.
+    Areas in or under a cycle or under a missing parent are left out, or with ``keep_detached`` stand for themselves. Ids
+    must not repeat.
     """
-    start = areas.where("parent_id IS NULL")
-    level = start.select("id", "parent_id", "name", F.array("name").alias("path_tokens"), F.lit(0).alias("depth"), *[F.col(c).alias(f"eff_{c}") for c in inherited]).cache()
-    found = level
-    for _ in range(DEEPEST):
-        if level.isEmpty():
+    proper = written(areas.join(rooted(areas), "id", "left_semi"))
+    effective = [f"eff_{c}" for c in inherited]
+    state = proper.select("id", "parent_id", "name", F.array("name").alias("path_tokens"), F.lit(0).alias("depth"), *[F.col(c).alias(e) for c, e in zip(inherited, effective)], F.col("parent_id").alias("up"))
+    for _ in range(_rounds(proper)):
+        if state.where("up IS NOT NULL").isEmpty():
             break
-        up = level.select(F.col("id").alias("parent_id"), F.col("path_tokens").alias("_path"), F.col("depth").alias("_depth"), *[F.col(f"eff_{c}").alias(f"_{c}") for c in inherited])
-        below = areas.join(up, "parent_id")
-        level = below.select(
-            "id", "parent_id", "name", F.concat("_path", F.array("name")).alias("path_tokens"), (F.col("_depth") + 1).alias("depth"), *[F.coalesce(c, f"_{c}").alias(f"eff_{c}") for c in inherited]
-        ).cache()
-        found = found.unionByName(level)
+        to = state.select(F.col("id").alias("up"), F.col("path_tokens").alias("_path"), F.col("depth").alias("_depth"), *[F.col(e).alias(f"_{e}") for e in effective], F.col("up").alias("_up"))
+        moved = state.where("up IS NOT NULL").join(to, "up").select(
+            "id", "parent_id", "name", F.concat("_path", "path_tokens").alias("path_tokens"), (F.col("depth") + F.col("_depth") + 1).alias("depth"), *[F.coalesce(e, f"_{e}").alias(e) for e in effective], F.col("_up").alias("up")
+        )
+        state = written(state.where("up IS NULL").unionByName(moved))
+    found = state.drop("up")
     if keep_detached:
         lone = areas.join(found.select("id"), "id", "left_anti")
-        found = found.unionByName(lone.select("id", "parent_id", "name", F.array("name").alias("path_tokens"), F.lit(0).alias("depth"), *[F.col(c).alias(f"eff_{c}") for c in inherited]))
+        found = found.unionByName(lone.select("id", "parent_id", "name", F.array("name").alias("path_tokens"), F.lit(0).alias("depth"), *[F.col(c).alias(e) for c, e in zip(inherited, effective)]))
     return found
 
 
 def ancestors(areas: DataFrame) -> DataFrame:
-    """(id, ancestor, distance) with each area its own ancestor at 0; cycles end at DEEPEST."""
-    step = areas.where("parent_id IS NOT NULL").select(F.col("id").alias("ancestor"), "parent_id")
-    level = areas.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).cache()
-    found = level
-    for _ in range(DEEPEST):
-        level = level.join(step, "ancestor").select("id", F.col("parent_id").alias("ancestor"), (F.col("distance") + 1).alias("distance")).cache()
-        if level.isEmpty():
+    """(id, ancestor, distance) with each area its own ancestor at 0; a parent that is missing counts as an ancestor, too.
+
+    In and under a cycle every ancestor stands once, at its smallest distance.
+    """
+    ids = areas.select("id")
+    missing = areas.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct().join(ids, "id", "left_anti")
+    jump = areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up"))
+    pairs = ids.unionByName(missing).select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    for k in range(_rounds(areas)):
+        if jump.isEmpty():
             break
-        found = found.unionByName(level)
-    return found
+        beyond = pairs.select(F.col("id").alias("up"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
+        pairs = written(pairs.unionByName(jump.join(beyond, "up").select("id", "ancestor", "distance")))
+        jump = written(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")))
+    if not jump.isEmpty():  # only a cycle has an ancestor so far away
+        pairs = pairs.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+    return pairs.join(missing, "id", "left_anti")
 
 
 def nearest_with(areas: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import conditions, text
 from weftline.operators import mentions, ranking
+from weftline.operators.graph import connected
+from weftline.operators.lineage import numbered
+from weftline.operators.records import place_pairs
 from weftline.operators.search import with_month
+from weftline.plans.choices import _KM as KM_SQL
 from weftline.plans.choices import ROUTES, VENUES
 from weftline.plans.common import Plans, load
 from weftline.plans.rollups import cte, made, rounded
@@ -105,9 +109,9 @@ def has_all(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey").join(tags, "o_orderkey", "left_semi")
 
 
-@PLANS.plan("jn_05_no_month", f"WITH {_R} SELECT r.id, o_totalprice AS rainy FROM r LEFT JOIN orders ON FALSE WHERE r.id < 100")
+@PLANS.plan("jn_05_no_month", f"WITH {_R} SELECT r.id, o_totalprice AS rainy FROM r LEFT JOIN orders ON FALSE")
 def no_month(spark, sf_dir):
-    return with_month(made(spark, sf_dir, "part", ROUTES).where("id < 100"), None, None).select("id", F.col("month_rainy_days").alias("rainy"))
+    return with_month(made(spark, sf_dir, "part", ROUTES), None, None).select("id", F.col("month_rainy_days").alias("rainy"))
 
 
 @PLANS.plan("jn_05_month", f"WITH {_R}, c AS (SELECT o_custkey AS route_id, CAST(count(*) AS DOUBLE) AS rainy, max(o_totalprice) AS high FROM orders WHERE month(o_orderdate) = 7 GROUP BY o_custkey) SELECT r.id, rainy, high FROM r LEFT JOIN c ON route_id = r.id")
@@ -244,19 +248,24 @@ def health(spark, sf_dir):
     return mentions.link_health(daily).select("url", "status", "day", "dead")
 
 
-@PLANS.plan("pj_21_next_ids", "SELECT o_orderkey, (SELECT max(c_custkey) FROM customer) + row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS id FROM orders")
+@PLANS.plan("pj_21_next_ids", "SELECT o_orderkey, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders")
 def next_ids(spark, sf_dir):
-    top = load(spark, sf_dir, "customer").agg(F.max("c_custkey")).collect()[0][0] or 0
-    return load(spark, sf_dir, "orders").select("o_orderkey", (F.row_number().over(Window.partitionBy(F.col("o_custkey") % 7).orderBy("o_orderkey")) + top).alias("id"))
+    top = load(spark, sf_dir, "customer").agg(F.max("c_custkey")).scalar()
+    return numbered(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "id", top)
 
 
-@PLANS.plan("dm_05_queue_state", """WITH g AS (SELECT user_id AS id, count(*) FILTER (event_type = 'click') AS attempts, bool_or(event_type = 'purchase') AS done FROM events GROUP BY user_id)
-SELECT id, attempts, CASE WHEN done THEN 'done' WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status FROM g""")
+@PLANS.plan("dm_05_queue_state", """WITH n AS (SELECT max(ts) AS now FROM events),
+g AS (SELECT user_id AS id, count(*) FILTER (event_type = 'click') AS attempts, coalesce(bool_or(event_type = 'purchase' AND value > 80), false) AS done,
+max(ts) FILTER (event_type = 'click') AS claimed, max(ts) FILTER (event_type = 'error') AS failed FROM events WHERE user_id % 3 <> 0 OR event_type <> 'click' GROUP BY user_id)
+SELECT id, attempts, CASE WHEN done THEN 'done' WHEN claimed > now - INTERVAL 30 MINUTE AND coalesce(failed < claimed, true) THEN 'claimed'
+WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status FROM g, n""")
 def queue_state(spark, sf_dir):
+    """As of the last event, so that the latest claims are still held."""
     e = load(spark, sf_dir, "events")
-    what = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "done").otherwise("seen")
-    log = e.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), what.alias("what"))
-    return queues.queue_state(e.select(F.col("user_id").alias("id")).distinct(), log, "2100-01-01 00:00:00").select("id", "attempts", "status")
+    what = F.when(F.col("event_type") == "click", "claim").when((F.col("event_type") == "purchase") & (F.col("value") > 80), "done").when(F.col("event_type") == "error", "error").otherwise("seen")
+    log = e.where("user_id % 3 <> 0 OR event_type <> 'click'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), what.alias("what"))
+    now = e.agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return queues.queue_state(e.select(F.col("user_id").alias("id")).distinct(), log, now).select("id", "attempts", "status")
 
 
 @PLANS.plan("dm_11_keep_evidence", "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'new' END, CASE WHEN p_partkey % 2 = 0 THEN p_type END) AS evidence FROM part WHERE p_partkey % 5 <> 0")
@@ -277,17 +286,23 @@ PLACES = {
     "id": "c_custkey",
     "name": "concat('Rock ', CAST(floor(c_custkey / 4) AS STRING))",
     "source": "CAST(c_custkey % 2 AS STRING)",
-    "lat": "CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE CAST(floor(c_custkey / 4) * 7919 % 120000 AS DOUBLE) / 1000 - 60 + c_custkey % 4 * 0.0063D END",
+    "lat": "CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE CAST(floor(c_custkey / 4) * 7919 % 120000 AS DOUBLE) / 1000 - 60 + c_custkey % 4 * CAST(0.0063 AS DOUBLE) END",
     "lon": "CAST(floor(c_custkey / 4) * 104729 % 360000 AS DOUBLE) / 1000 - 180",
 }
 
 
-@PLANS.plan("gr_03_entity_groups", None)
+_P = cte("p", "customer", PLACES)
+_DIRECT = f"e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.name = b.name AND a.source <> b.source AND a.id <> b.id AND (a.lat IS NULL OR b.lat IS NULL OR {KM_SQL('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 1.0))"
+
+
+@PLANS.plan("gr_03_entity_groups", f"WITH RECURSIVE {_P}, {_DIRECT}, w(node, root) AS (SELECT id, id FROM p UNION SELECT w.node, e.b FROM w JOIN e ON w.root = e.a) SELECT node, min(root) AS root FROM w GROUP BY node")
 def entity_groups(spark, sf_dir):
     """Places of several sources that are the same, directly or by way of others, are one entity: components of JN-17's pairs."""
-    from weftline.operators.graph import connected
-    from weftline.operators.records import place_pairs
-
     places = made(spark, sf_dir, "customer", PLACES)
     same = place_pairs(places).where("verdict = 'same'").select("a", "b")
     return connected(same.unionByName(places.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+
+
+@PLANS.plan("jn_17_place_pairs", f"WITH {_P}, {_DIRECT} SELECT a, b, 'same' AS verdict FROM e WHERE a < b")
+def same_places(spark, sf_dir):
+    return place_pairs(made(spark, sf_dir, "customer", PLACES)).where("verdict = 'same'")

@@ -6,7 +6,7 @@ stream of it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 LEASE_MINUTES, ATTEMPTS = 30, 3
 
 
-def queue_state(items: DataFrame, log: DataFrame, now: str) -> DataFrame:
+def queue_state(items: DataFrame, log: DataFrame, now: str | Column) -> DataFrame:
     """(id) items and their (id, ts, what: claim, done, error) log to status, attempts and whether they can be claimed now.
 
     done is final. After ATTEMPTS claims without success an item has failed. A claim younger than the lease holds the item.
@@ -25,7 +25,7 @@ def queue_state(items: DataFrame, log: DataFrame, now: str) -> DataFrame:
         F.max(F.when(F.col("what") == "claim", F.col("ts"))).alias("claimed_at"),
         F.max(F.when(F.col("what") == "error", F.col("ts"))).alias("error_at"),
     )
-    at = F.to_timestamp(F.lit(now))
+    at = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
     held = (F.col("claimed_at") > at - F.make_interval(mins=F.lit(LEASE_MINUTES))) & F.coalesce(F.col("error_at") < F.col("claimed_at"), F.lit(True))
     status = F.when(F.col("done"), "done").when(held, "claimed").when(F.col("attempts") >= ATTEMPTS, "failed").otherwise("pending")
     joined = items.join(told, "id", "left").withColumns({"attempts": F.coalesce("attempts", F.lit(0)), "done": F.coalesce("done", F.lit(False))})
