@@ -159,8 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Bands of smallest shingle hashes that propose pairs by similarity, and the hashes in a band. Of pairs with a similarity of
 #: 0.8 they miss three in a million.
 BANDS, ROWS = 24, 4
-#: Bands that are settled first: what they link needn't be proposed by the others again.
-AHEAD = 4
+#: Bands up to which a step goes: what earlier steps link needn't be proposed by later ones again.
+AHEAD = (2, 8, BANDS)
 #: Texts in a band's bucket up to which all of its pairs are proposed, and that share a shingle up to which it is rare.
 SMALL = 32
 _ODD = np.array([xxhash.xxh64_intdigest(f"row {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
@@ -312,13 +312,20 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sizes = F.size("x") + F.size("y")
         return staged.put(left.join(x, "a").join(y, "b").where(both >= similarity * (sizes - both) - 1e-6).select("a", "b"), "verified")
 
-    links_ = verified(_proposed(shared.where(F.col("band") < AHEAD)))
-    roots = connect(links_, staged)
-    links_ = links_.union(verified(_proposed(shared.where(F.col("band") >= AHEAD), roots)))
-    roots = connect(links_, staged)
+    def with_links(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """``roots`` (node, root) once ``more`` links are known: components are contracted, so only links between them count."""
+        ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        between = more.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        above = connect(between, staged).withColumnRenamed("root", "top")
+        return staged.put(roots.join(above, F.col("root") == above["node"], "left").select(roots["node"], F.coalesce("top", "root").alias("root")), "roots")
+
+    roots = staged.put(shared.select("node").distinct().withColumn("root", F.col("node")), "roots")
+    for begin, end in zip((0, *AHEAD), AHEAD):
+        some = shared.where((F.col("band") >= begin) & (F.col("band") < end))
+        roots = with_links(roots, verified(_proposed(some, roots if begin else None)))
     still = staged.put(_left_open(shared, roots), "open")
     if not still.isEmpty():
-        roots = connect(links_.union(verified(_by_shingles(hashes.join(still, "node"), staged, similarity))), staged)
+        roots = with_links(roots, verified(_by_shingles(hashes.join(still, "node"), staged, similarity)))
     staged.drop("bands", "hashes", "pairs", "open", "completing")
     return nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), "first_id")
 
