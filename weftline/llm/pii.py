@@ -59,16 +59,16 @@ WIDER = {
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z0-9])(?:(?:{ISSUED})[A-Za-z0-9_./+-]{{12,}}+|(?i:{ASSIGNED})[\"']?\x20?[=:]\x20?[\"']?[A-Za-z0-9_./+-]{{8,}}+)",
-    "name": rf"(?<![A-Za-z])(?:(?:{TITLES})\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?|(?:{GIVEN_NAMES})\x20[A-Z][a-z]+)(?![A-Za-z])",
+    "secret": rf"(?=[acegpsxACPS])(?<![A-Za-z0-9])(?:(?:{ISSUED})[A-Za-z0-9_./+-]{{12,}}+|(?i:{ASSIGNED})[\"']?\x20?[=:]\x20?[\"']?[A-Za-z0-9_./+-]{{8,}}+)",
+    "name": rf"(?=[A-Z])(?<![A-Za-z])(?:(?:{TITLES})\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?|(?:{GIVEN_NAMES})\x20[A-Z][a-z]+)(?![A-Za-z])",
 }
 WIDER_GUARDS = {
     "email": r"(?:\(at\)|\[at\]|\x20at\x20)[^\n]{2,42}(?:dot|\.)",
     "phone": r"[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
-    "secret": rf"(?:{ISSUED})[A-Za-z0-9_./+-]{{12}}|(?i:{ASSIGNED})[\"']?\x20?[=:]",
-    "name": rf"(?:{TITLES}|{GIVEN_NAMES})\.?\x20[A-Z][a-z]",
+    "secret": rf"(?=[AgxspPe])(?:{ISSUED})[A-Za-z0-9_./+-]{{12}}|(?=[acpsACPS])(?i:{ASSIGNED})[\"']?\x20?[=:]",
+    "name": rf"(?=[A-Z])(?:{TITLES}|{GIVEN_NAMES})\.?\x20[A-Z][a-z]",
 }
 FORMATS = {
     "email": rf"(?i)(?:@|at\W).*(?:\.|dot\W?\s?)(?:{DOMAINS})\s*$",

@@ -159,8 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Bands of smallest shingle hashes that propose pairs by similarity, and the hashes in a band. Of pairs with a similarity of
 #: 0.8 they miss three in a million.
 BANDS, ROWS = 24, 4
-#: Bands up to which a step goes: what earlier steps link needn't be proposed by later ones again.
-AHEAD = (2, 8, BANDS)
+#: Bands up to which a step goes: what earlier steps link needn't be proposed by later ones again, and large buckets propose
+#: in the first step alone, as what that leaves of them in several components is completed without loss.
+AHEAD = (4, BANDS)
 #: Texts in a band's bucket up to which all of its pairs are proposed, and that share a shingle up to which it is rare.
 SMALL = 32
 _ODD = np.array([xxhash.xxh64_intdigest(f"row {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
@@ -188,11 +189,11 @@ def _buckets(members: DataFrame) -> DataFrame:
 def _proposed(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(a, b) from buckets: each member with its bucket's first, and all pairs of small buckets.
 
-    With ``roots`` (node, root) only pairs of nodes that these links don't connect already.
+    With ``roots`` (node, root) only small buckets, and pairs of nodes that these links don't connect already.
     """
     known = shared.select("key", "node", "n", "first")
     if roots is not None:
-        known = known.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        known = known.where(F.col("n") <= SMALL).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         known = known.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").withColumn("first_comp", F.coalesce("root", "first")).drop("root")
     else:
         known = known.withColumns({"comp": F.col("node"), "first_comp": F.col("first")})
@@ -248,9 +249,14 @@ def _by_shingles(sets: DataFrame, staged: Staged, similarity: float) -> DataFram
     keyed = staged.put(keyed.join(most, "token", "left"), "keyed")
     p, q = keyed.where("whole IS NULL OR whole <> most").alias("p"), keyed.alias("q")
     differ = (F.col("p.token") == F.col("q.token")) & (F.col("p.class") != F.col("q.class")) & F.coalesce(F.col("p.whole") != F.col("q.whole"), F.lit(True)) & room("p", "q")
-    beside = staged.put(p.join(q, differ).select(F.least("p.class", "q.class").alias("x"), F.greatest("p.class", "q.class").alias("y")).distinct(), "beside")
-    ways = beside.union(beside.select("y", "x"))
-    across = m.join(ways, F.col("m.class") == F.col("x")).join(r, (F.col("y") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & room("m", "r")).select(pair)
+    beside = p.join(q, differ).select(F.least("p.class", "q.class").alias("x"), F.greatest("p.class", "q.class").alias("y")).distinct()
+    # Without a shared rare shingle two sets share what their classes share, so that number decides already here.
+    cx, cy = classes.select(F.col("class").alias("x"), F.col("size").alias("sx"), F.col("common").alias("cx")), classes.select(F.col("class").alias("y"), F.col("size").alias("sy"), F.col("common").alias("cy"))
+    beside = beside.join(cx, "x").join(cy, "y").withColumn("both", F.size(F.array_intersect("cx", "cy")))
+    beside = staged.put(beside.where((1 + similarity) * F.col("both") >= similarity * (F.col("sx") + F.col("sy")) - 1e-6).select("x", "y", "both"), "beside")
+    ways = beside.union(beside.select("y", "x", "both"))
+    enough = (1 + similarity) * F.col("both") >= similarity * (F.col("m.size") + F.col("r.size")) - 1e-6
+    across = m.join(ways, F.col("m.class") == F.col("x")).join(r, (F.col("y") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & enough).select(pair)
     out = staged.put(found.union(own).union(across).distinct(), "completing")
     staged.drop("ranked", "members", "classes", "keyed", "beside")
     return out
@@ -261,8 +267,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (0.8 or more: the
     bands are made for that). A band of smallest hashes proposes pairs by equi-join; buckets above SMALL propose their
-    members with a first one, and what that leaves in several components is completed by joins on shingles, which lose
-    nothing. The pivot table discards pairs: similar sets of sizes m and n differ in at most (m + n) (1 - s) / (1 + s)
+    members with a first one in the first bands, and what that leaves in several components is completed by joins on
+    shingles, which lose nothing. The pivot table discards pairs: similar sets of sizes m and n differ in at most (m + n) (1 - s) / (1 + s)
     shingles, and no coordinate differs by more than the sets do. Survivors are compared shingle by shingle. ``k1`` and
     ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have it.
 
