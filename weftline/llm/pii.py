@@ -55,7 +55,7 @@ ABOUT = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|telephone|mobile|fax|reac
 AGAINST = r"(?i)(?:\b(?:token|hash|sha|md5|uuid|version|isbn|issn|build|commit|figure|table|page|key)\b|[$€£=\"])[^\n]{0,10}$"
 #: Wider candidates by kind: spelled-out addresses, national phone numbers, and kinds that have no base rule.
 WIDER = {
-    "email": r"[A-Za-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,40}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z]{2,12}){1,3}+",
+    "email": r"[A-Za-z0-9._%+-]{2,40}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,40}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z]{2,12}){1,3}+",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
