@@ -26,12 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own
 
 
+def own_path(spark: SparkSession, what: str = "round") -> str:
+    """A path of its own in the shared folder; what is written there goes when Python ends."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; the files go when Python ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    path = own_path(spark)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

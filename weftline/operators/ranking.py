@@ -65,6 +65,13 @@ def flex_saving(alternatives: DataFrame, base: DataFrame) -> DataFrame:
     return joined.where("b.price < base_price").select("venue", "traveller", F.col("b.shift").alias("shift"), F.col("b.price").alias("price"), (F.col("base_price") - F.col("b.price")).alias("saving"))
 
 
+def flex_line(savings: DataFrame) -> DataFrame:
+    """A line for each traveller with a saving: the venue where other days save most (ties: the first venue) and how much."""
+    best = savings.groupBy("traveller").agg(F.min_by(F.struct("venue", "shift", "price", "saving"), F.struct(-F.col("saving"), "venue")).alias("b"))
+    days = F.format_string("%+d", F.col("b.shift").cast("int"))
+    return best.select("traveller", F.concat_ws("", F.col("traveller"), F.lit(": "), days, F.lit(" days to "), F.col("b.venue").cast("string"), F.lit(" saves "), F.bround("b.saving").cast("int").cast("string")).alias("line"))
+
+
 def capped_picks(rows: DataFrame, key: list[str], order: list[Column], group: str, group_cap: dict[str, int], cap: int) -> DataFrame:
     """The first ``cap`` rows of each key after at most ``group_cap`` rows of some groups; order must have no ties."""
     within = F.row_number().over(Window.partitionBy(*key, group).orderBy(*order))

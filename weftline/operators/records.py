@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import strip_tags
+
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], preserve: list[str] = (), guard: Column | None = None, sticky: dict[str, Column] | None = None) -> DataFrame:
     """The table after an upsert, as a full outer join.
@@ -102,3 +104,29 @@ def place_pairs(places: DataFrame, near_m: float = 1000, close_m: float = 500, l
     near = within_km(named, named, close_m / 1000, 0.05).where("id < b_id AND source <> b_source AND norm <> b_norm AND km * 1000 < " + str(close_m))
     alike = near.withColumn("sim", similarity("norm", "b_norm")).where((F.col("sim") >= least) & (F.col("sim") < 1))
     return same.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit("same").alias("verdict")).unionByName(alike.select(F.col("id").alias("a"), F.col("b_id").alias("b"), F.lit("ambiguous").alias("verdict")))
+
+
+def with_lookups(rows: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows with a column ``name`` from each table (key, value), by the exact key in the given column; null where it has none.
+
+    Of several values of a key the smallest counts, so no row comes twice.
+    """
+    for name, (known, column) in tables.items():
+        once = known.groupBy(F.col("key").alias(f"_{name}")).agg(F.min("value").alias(name))
+        rows = rows.join(once, F.col(column) == F.col(f"_{name}"), "left").drop(f"_{name}")
+    return rows
+
+
+def travellers(registered: DataFrame, configured: DataFrame) -> DataFrame:
+    """(trip, key, name, airports): the registry's travellers, or for trips without any those of the flight configuration.
+
+    Configured keys that begin with ``_`` are notes, not travellers; their names are the keys with a capital.
+    """
+    made_up = configured.where(~F.col("key").startswith("_")).select("trip", "key", F.initcap("key").alias("name"), "airports")
+    return registered.select("trip", "key", "name", "airports").unionByName(made_up.join(registered.select("trip").distinct(), "trip", "left_anti"))
+
+
+def feed_snapshot(feed: DataFrame, base: list[str], flags: dict[str, str], prose: list[str]) -> DataFrame:
+    """Base columns as they are, the words of the flags that are set as an array ``hazards``, prose without markup."""
+    hazards = F.array_compact(F.array(*[F.when(F.col(c), F.lit(word)) for c, word in flags.items()]))
+    return feed.select(*base, hazards.alias("hazards"), *[strip_tags(F.col(c)).alias(c) for c in prose])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.plans import choices, curation, curves, rollups, rules
+from weftline.plans import choices, curation, curves, landed, rollups, rules
 from weftline.plans.common import Query
 
 FLAGSHIP = "fn_05_day_score"
-_ALL = [curves.PLANS, rollups.PLANS, choices.PLANS, rules.PLANS, curation.PLANS]
+_ALL = [curves.PLANS, rollups.PLANS, choices.PLANS, rules.PLANS, curation.PLANS, landed.PLANS]
 
 
 def queries() -> dict[str, Query]:

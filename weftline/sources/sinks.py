@@ -21,6 +21,15 @@ def write_tree(rows: DataFrame, path: str, levels: list[str]) -> None:
     rows.repartition(*levels).write.partitionBy(*levels).mode("overwrite").json(path)
 
 
+def write_keyed(rows: DataFrame, path: str, levels: list[str], flagged: Column) -> None:
+    """Rows as trees below ``kept`` and ``flagged``, and a ``report``: how many went where for each value of the levels."""
+    marked = rows.withColumn("_flag", F.coalesce(flagged, F.lit(False)))
+    write_tree(marked.where(~F.col("_flag")).drop("_flag"), f"{path}/kept", levels)
+    write_tree(marked.where("_flag").drop("_flag"), f"{path}/flagged", levels)
+    counts = marked.groupBy(*levels).agg(F.count_if(~F.col("_flag")).alias("n_kept"), F.count_if("_flag").alias("n_flagged"))
+    counts.write.mode("overwrite").json(f"{path}/report")
+
+
 def write_days(rows: DataFrame, path: str, run_date: str = "run_date") -> None:
     """Parquet by run date; only the dates at hand are replaced."""
     rows.write.partitionBy(run_date).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
