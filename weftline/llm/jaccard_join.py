@@ -37,6 +37,8 @@ LEVELS = 8
 THIN = 10
 #: Cost of verifying a pair for each of a text's shingles, in meetings of a shingle.
 VERIFY = 0.05
+#: Shingles before one in a text's prefix by which a pair is known to have met already.
+BEFORE = 16
 #: Bits of the table that says which texts are read again (8 MB, whatever the input).
 BITS = 1 << 26
 
@@ -167,9 +169,12 @@ def _levels(percent: int):
 
 
 def _can_link(a: str, b: str, percent: int) -> Column:
-    """By sizes, and by the shingles before, at and after one that both have: whether so much can be shared."""
+    """By sizes, and by how many shingles of each are left from one that both have, if it is the first that they share.
+
+    A pair that can link passes at its first shared shingle, so it may fail at others.
+    """
     col = lambda side, c: F.col(f"{side}.{c}")
-    most = F.least(col(a, "at"), col(b, "at")) + F.least(col(a, "shared") - col(a, "at"), col(b, "shared") - col(b, "at"))
+    most = F.least(col(a, "shared") - col(a, "at"), col(b, "shared") - col(b, "at"))
     return (100 + percent) * most >= percent * (col(a, "size") + col(b, "size"))
 
 
@@ -192,6 +197,15 @@ def linked(sets: DataFrame, percent: int, staged: Staged) -> DataFrame:
         enough = 100 * both >= percent * (F.col("a_size") + F.col("b_size") - both)
         return staged.put(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"), name)
 
+    prefix = ranked.select("node", (F.size("tokens") - _ceil(F.col("size"), percent)).alias("base"), "tokens")
+
+    def often_met(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b, level) that share ``level`` shingles within the prefixes for it: the others can't link."""
+        first = F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.col("base") + F.col("level")).cast("int"))
+        one = pairs.join(prefix.withColumnRenamed("node", "a"), "a").select("a", "b", "level", first.alias("x"))
+        both = one.join(prefix.withColumnRenamed("node", "b"), "b").select("a", "b", "level", "x", first.alias("y"))
+        return both.where(F.size(F.array_intersect("x", "y")) >= F.col("level")).select("a", "b")
+
     # Each shingle's texts meet the one that has the fewest shingles of its own, in proportion.
     centre = keyed.groupBy("token").agg(F.max_by(F.struct("node", "size", "shared", "at"), F.struct(F.col("shared") / F.col("size"), "size", "node")).alias("centre"), F.count("*").alias("n"))
     centre = centre.where("n > 1").select("token", "centre.*")
@@ -201,18 +215,21 @@ def linked(sets: DataFrame, percent: int, staged: Staged) -> DataFrame:
     roots = connect(verified(star, "star"), staged)
     staged.drop("star")
 
-    # What is left: texts of different components that share a shingle of both prefixes.
+    # What is left: texts of different components that share a shingle of both prefixes. A pair is told at its first such shingle;
+    # that one shared shingle is among the last BEFORE of both keeps most of its further ones out.
     comp = F.coalesce("root", "node")
     placed = staged.put(keyed.join(roots, "node", "left").withColumn("comp", comp).drop("root"), "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    placed = staged.put(placed.join(mixed, "token", "left_semi"), "mixed")
+    start = F.greatest(F.lit(1), F.col("at") + 1 - BEFORE).cast("int")
+    before = F.slice("tokens", start, F.least(F.col("at"), F.lit(BEFORE)).cast("int"))
+    placed = staged.put(placed.join(mixed, "token", "left_semi").join(known.select("node", "tokens"), "node").withColumn("before", before).drop("tokens"), "mixed")
     a, b = placed.alias("a"), placed.alias("b")
     level = F.least("a.level", "b.level")
     meets = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp"))
-    meets &= (F.greatest("a.from", "b.from") <= level) & _can_link("a", "b", percent)
-    met = a.join(b, meets).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"), level.alias("level"))
-    pairs = met.groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("n"), F.first("level").alias("level")).where("n >= level")
-    more = verified(pairs.select("a", "b"), "more")
+    meets &= (F.greatest("a.from", "b.from") <= level) & _can_link("a", "b", percent) & ~F.arrays_overlap("a.before", "b.before")
+    met = a.join(b, meets).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), level.alias("level"))
+    pairs = staged.put(met.groupBy("a", "b").agg(F.first("level").alias("level")), "met")
+    more = verified(often_met(pairs), "more")
     names = placed.select("node", "comp").distinct()
     between = more.join(names.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(names.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
     above = connect(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")), staged).select(F.col("node").alias("comp"), F.col("root").alias("top"))
