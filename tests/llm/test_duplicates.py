@@ -223,6 +223,18 @@ def test_contaminated_rows_go(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 3 and decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+INTERNAL = ["_bad", "_k1", "_k2", "_id", "k1", "k2", "t1", "t2", "row", "id", "item", "node", "root", "size", "first_id", "c0", "c1", "words", "hits", "start"]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    rows = [(1, "one two three four five six seven eight nine"), (2, "one two three four five six seven eight nine"), (3, "quite another text of more than five words"), (4, None)]
+    docs = spark.createDataFrame([(*r, *range(len(INTERNAL))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in INTERNAL))
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight", 5)], "item_id long, text string, id long")
+    for left, want in ((simhash.drop_near_copies(docs), [1, 3, 4]), (decontaminate.drop_contaminated(docs, bench), [3, 4]), (exact_dedup.drop_copies(docs, keep="min"), [1, 3, 4])):
+        assert left.columns == docs.columns
+        assert sorted(map(tuple, left.collect())) == [(*rows[i - 1], *range(len(INTERNAL))) for i in want]
+
+
 def test_merge_is_sorted_and_knows_prefixes():
     r = random.Random(0)
     for _ in range(200):

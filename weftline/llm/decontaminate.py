@@ -226,13 +226,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, whose text overlaps no benchmark item.
 
-    Texts are judged one by one, so repeated or null ids don't matter; the rest is as in ``overlaps``.
+    Rows are judged one by one (each has a number of its own, written with the table), so repeated or null ids and clashing
+    column names don't matter. A text of any length is held whole by one task. The rest is as in ``overlaps``.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # A text is known by its hash here; two texts of one hash would be judged alike.
-    keyed = docs.select(F.xxhash64(text).alias("k1"), F.col(text_col).alias("text"))
-    bad = overlaps(keyed, benchmark, "k1", "text", item_col, item_text_col).select(F.col("k1").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(text) == F.col("_bad"), "left_anti")
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = Staged(docs.sparkSession).put(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    asked = rows.select("row", F.col(inner[names.index(text_col)]).alias("text"))
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    bad = overlaps(asked, items, "row", "text", "item", "text").select("row").distinct()
+    return rows.join(bad, "row", "left_anti").select(*[F.col(n).alias(name) for n, name in zip(inner, names)])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWER, UPPER, Staged, pieces, shuffle_width, table
 from weftline.llm.components import connect
-from weftline.llm.simhash import shingle_hashes
+from weftline.llm.simhash import shingle_hashes, simhash
 
 #: Largest l that a text may choose in the join.
 LEVELS = 8
@@ -58,8 +58,8 @@ def _thin_prefix(size: int, percent: int) -> tuple[int, int]:
     return min(size, size - _least(size, percent) + level(size)), min(level(_least(size, percent)), _least(size, percent))
 
 
-def _signed(shingle: int, percent: int):
-    """(id, text) to (id, size, k1, k2, need, prefix). A task gives the prefix of a text that it sees again only once."""
+def _signed(shingle: int, percent: int, extra: list[str], prints: bool):
+    """(id, text, extra) to (id, size, k1, k2, need, fp, prefix, extra). A task gives the prefix of a text that it sees again only once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
@@ -71,11 +71,12 @@ def _signed(shingle: int, percent: int):
                     digest = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
                     key = (int(digest[0]), int(digest[1]))
                     length, need = _thin_prefix(len(h), percent)
-                    rows.append((len(h), *key, need, np.empty(0, np.int64) if key in known else h[:length].view(np.int64)))
+                    rows.append((len(h), *key, need, simhash(h) if prints else 0, np.empty(0, np.int64) if key in known else h[:length].view(np.int64)))
                     if len(known) < 1 << 20:
                         known.add(key)
-                columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]] + [pa.array([r[4] for r in rows], pa.list_(pa.int64()))]
-                yield pa.record_batch([part["id"], *columns], names=["id", "size", "k1", "k2", "need", "prefix"])
+                columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]] + [pa.array([r[5] for r in rows], pa.list_(pa.int64()))]
+                names = ["id", "size", "k1", "k2", "need", "fp", "prefix", *extra]
+                yield pa.record_batch([part["id"], *columns, *[part[c] for c in extra]], names=names)
 
     return sign
 
@@ -113,13 +114,16 @@ def _bit_table(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def thinned(docs: DataFrame, shingle: int, percent: int, staged: Staged) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, sets): id, size, k1, k2 of every row; the distinct sets with a node and their smallest id; and
-    (node, size, hashes) of those that share enough of their prefix with others to be able to link."""
+def thinned(docs: DataFrame, shingle: int, percent: int, staged: Staged, prints: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, sets): id, size, k1, k2 and further long columns of every row; the distinct sets with a node, their
+    smallest id and with ``prints`` their fingerprint; and (node, size, hashes) of those that share enough of their prefix with
+    others to be able to link."""
     spark = docs.sparkSession
-    signed = staged.put(docs.mapInArrow(_signed(shingle, percent), "id long, size long, k1 long, k2 long, need long, prefix array<long>"), "signed")
-    rows = staged.put(signed.select("id", "size", "k1", "k2"), "rows")
-    classes = signed.where("size > 0").groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("need").alias("need"))
+    extra = [c for c in docs.columns if c not in ("id", "text")]
+    schema = ", ".join(f"{c} long" for c in ("id", "size", "k1", "k2", "need", "fp")) + ", prefix array<long>" + "".join(f", {c} long" for c in extra)
+    signed = staged.put(docs.mapInArrow(_signed(shingle, percent, extra, prints), schema), "signed")
+    rows = staged.put(signed.select("id", "size", "k1", "k2", *extra), "rows")
+    classes = signed.where("size > 0").groupBy("k1", "k2").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "need", "fp")])
     classes = staged.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     tokens = signed.select("k1", F.explode("prefix").alias("token"))
@@ -178,8 +182,11 @@ def _can_link(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * most >= percent * (col(a, "size") + col(b, "size"))
 
 
-def linked(sets: DataFrame, percent: int, staged: Staged) -> DataFrame:
-    """(node, root) of the sets (node, size, hashes) that link with another: those of one component share a root."""
+def linked(sets: DataFrame, percent: int, staged: Staged, proposed: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the sets (node, size, hashes) that link with another: those of one component share a root.
+
+    ``proposed`` (a, b) pairs of nodes are verified first, beside those of the shingles' centres.
+    """
     tokens = staged.put(sets.select("node", "size", F.explode("hashes").alias("token")), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     each = F.array_sort(F.collect_list(F.struct("df", "token")))  # a text's own shingles
@@ -211,7 +218,8 @@ def linked(sets: DataFrame, percent: int, staged: Staged) -> DataFrame:
     centre = centre.where("n > 1").select("token", "centre.*")
     a, b = keyed.alias("a"), centre.alias("b")
     star = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _can_link("a", "b", percent))
-    star = star.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    star = star.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    star = (star if proposed is None else star.union(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))).distinct()
     roots = connect(verified(star, "star"), staged)
     staged.drop("star")
 

@@ -10,9 +10,8 @@
    largest difference of coordinates discards it. Survivors are verified bit by bit.
 5. The links' connected components are found by contraction.
 
-For similar texts (``similar_texts``) the same table serves sets of shingles: a text's coordinate for a bit is the number of its
-distinct shingles whose hash has the bit less that of those without, which is the distance to the reference set of all hashes
-with that bit but for terms that two texts share. Its signs are the fingerprint; its differences bound the sets' difference.
+For similar texts (``similar_texts``) the same table proposes pairs by the fingerprints of the texts' sets of shingles; the sets
+decide, and an exact join completes what fingerprints can't find.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Staged, pieces, table
+from weftline.llm.common import Staged, table
 from weftline.llm.components import connect
 
 SEED = 42
@@ -156,199 +155,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bands of smallest shingle hashes that propose pairs by similarity, and the hashes in a band. Of pairs with a similarity of
-#: 0.8 they miss three in a million.
-BANDS, ROWS = 24, 4
-#: Bands up to which a step goes: what earlier steps link needn't be proposed by later ones again, and large buckets propose
-#: in the first step alone, as what that leaves of them in several components is completed without loss.
-AHEAD = (4, BANDS)
-#: Texts in a band's bucket up to which all of its pairs are proposed, and that share a shingle up to which it is rare.
-SMALL = 32
-_ODD = np.array([xxhash.xxh64_intdigest(f"row {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
-
-
-def _signature(h: np.ndarray) -> tuple[int, list[int], list[int]]:
-    """(number, band keys, coordinates of the pivot table) of a text's distinct shingle hashes."""
-    if not len(h):
-        return 0, list(range(BANDS)), [0] * 64
-    least = np.array([((x := h * odd) ^ (x >> np.uint64(32))).min() for odd in _ODD], np.uint64)
-    keys = [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)]
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), _CHUNK):
-        ones += np.unpackbits(h[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return len(h), keys, (2 * ones - len(h)).tolist()
-
-
-def _buckets(members: DataFrame) -> DataFrame:
-    """(band, key, node, n, first): the buckets of two and more among (band, key, node) rows, each with its size and first."""
-    first = F.min(F.struct(F.xxhash64("node").alias("rank"), "node"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("key", "n", F.col("first.node").alias("first"))
-    return members.join(sizes, "key")
-
-
-def _proposed(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(a, b) from buckets: each member with its bucket's first, and all pairs of small buckets.
-
-    With ``roots`` (node, root) only small buckets, and pairs of nodes that these links don't connect already.
-    """
-    known = shared.select("key", "node", "n", "first")
-    if roots is not None:
-        known = known.where(F.col("n") <= SMALL).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        known = known.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").withColumn("first_comp", F.coalesce("root", "first")).drop("root")
-    else:
-        known = known.withColumns({"comp": F.col("node"), "first_comp": F.col("first")})
-    star = known.where("comp <> first_comp").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
-    few = known.where(F.col("n").between(3, SMALL)).select("key", "node", "comp")
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
-    return star.union(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct()
-
-
-def _left_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, comp) of the members of large buckets whose links so far don't make the bucket one component."""
-    large = shared.where(F.col("n") > SMALL).select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = large.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return large.join(open_, "key", "left_semi").select("node", "comp").distinct()
-
-
-def _by_shingles(sets: DataFrame, staged: Staged, similarity: float) -> DataFrame:
-    """(a, b) that complete the links among ``sets`` (node, comp, hashes) between different ``comp``, none by chance.
-
-    A shingle is rare if at most SMALL sets hold it. Similar sets that share a rare shingle share one among the rarest
-    (1 - similarity) of both, so an equi-join on these proposes them. Without a shared rare shingle the similarity depends
-    on the common shingles of both and the two sizes alone. So sets of the same common shingles are a class, stood for by
-    its smallest: if two such sets link, each also links to the smallest of the other's class (or of its own, if it is one
-    class), and these link to each other. Classes meet on their rarest common shingles.
-    """
-    need = lambda size: F.ceil(similarity * F.col(size) - 1e-6).cast("int")
-    tokens = sets.select("node", "comp", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    known = tokens.join(often, "token").groupBy("node", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
-    # Shingles of one set alone would come first: they only shorten the prefix.
-    known = staged.put(known.where(F.size("all") >= need("size")), "ranked")
-
-    rarest = known.select("node", "comp", "size", F.explode(F.slice("all", F.lit(1), F.size("all") - need("size") + 1)).alias("t")).where(F.col("t.df") <= SMALL).select("node", "comp", "size", "t.token")
-    a, b = rarest.alias("a"), rarest.alias("b")
-    fits = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & fits)
-    found = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-    common = known.select("node", "comp", "size", F.transform(F.filter("all", lambda t: t["df"] > SMALL), lambda t: t["token"]).alias("common"))
-    common = common.withColumn("n", F.size("common")).where((F.col("n") > 0) & (F.col("n") >= need("size"))).withColumn("class", F.xxhash64("common"))
-    members = staged.put(common.select("class", "node", "comp", "size", "n"), "members")
-    classes = common.groupBy("class").agg(F.min_by(F.struct("node", "comp", "size", "n", "common"), F.struct("size", "node")).alias("r"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    classes = staged.put(classes.select("class", "r.*", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("whole")), "classes")
-    # Two sets without a shared rare shingle link only if their sizes fit into what they may share.
-    room = lambda x, y: F.col(f"{x}.size") + F.col(f"{y}.size") <= (1 + 1 / similarity) * F.least(f"{x}.n", f"{y}.n") + 1e-6
-    m, r = members.alias("m"), classes.alias("r")
-    pair = [F.least("m.node", "r.node").alias("a"), F.greatest("m.node", "r.node").alias("b")]
-    own = m.join(r, (F.col("m.class") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & room("m", "r")).select(pair)
-
-    keyed = classes.select("class", "whole", "size", "n", F.explode(F.slice("common", F.lit(1), F.col("n") - need("size") + 1)).alias("token"))
-    # Classes within the component that most classes of a shingle are in needn't meet each other.
-    most = keyed.where("whole IS NOT NULL").groupBy("token", "whole").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("whole", F.struct("k", "whole")).alias("most"))
-    keyed = staged.put(keyed.join(most, "token", "left"), "keyed")
-    p, q = keyed.where("whole IS NULL OR whole <> most").alias("p"), keyed.alias("q")
-    differ = (F.col("p.token") == F.col("q.token")) & (F.col("p.class") != F.col("q.class")) & F.coalesce(F.col("p.whole") != F.col("q.whole"), F.lit(True)) & room("p", "q")
-    beside = p.join(q, differ).select(F.least("p.class", "q.class").alias("x"), F.greatest("p.class", "q.class").alias("y")).distinct()
-    # Without a shared rare shingle two sets share what their classes share, so that number decides already here.
-    cx, cy = classes.select(F.col("class").alias("x"), F.col("size").alias("sx"), F.col("common").alias("cx")), classes.select(F.col("class").alias("y"), F.col("size").alias("sy"), F.col("common").alias("cy"))
-    beside = beside.join(cx, "x").join(cy, "y").withColumn("both", F.size(F.array_intersect("cx", "cy")))
-    beside = staged.put(beside.where((1 + similarity) * F.col("both") >= similarity * (F.col("sx") + F.col("sy")) - 1e-6).select("x", "y", "both"), "beside")
-    ways = beside.union(beside.select("y", "x", "both"))
-    enough = (1 + similarity) * F.col("both") >= similarity * (F.col("m.size") + F.col("r.size")) - 1e-6
-    across = m.join(ways, F.col("m.class") == F.col("x")).join(r, (F.col("y") == F.col("r.class")) & (F.col("m.comp") != F.col("r.comp")) & enough).select(pair)
-    out = staged.put(found.union(own).union(across).distinct(), "completing")
-    staged.drop("ranked", "members", "classes", "keyed", "beside")
-    return out
+def _proposed(classes: DataFrame, sets: DataFrame, staged: Staged, distance: int = 2) -> DataFrame:
+    """(a, b) nodes of sets whose fingerprints the pivot table links: each with the first of its own fingerprint, and these firsts."""
+    known = staged.put(classes.join(sets.select("node"), "node", "left_semi").select("fp", "node"), "printed")
+    first = staged.put(known.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    met = links(first.select("fp"), staged, distance)
+    left, right = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    own = known.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return own.union(met.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(k1, k2, root, first_id) for every distinct text: texts of one root are linked by near copies.
 
-    Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (0.8 or more: the
-    bands are made for that). A band of smallest hashes proposes pairs by equi-join; buckets above SMALL propose their
-    members with a first one in the first bands, and what that leaves in several components is completed by joins on
-    shingles, which lose nothing. The pivot table discards pairs: similar sets of sizes m and n differ in at most (m + n) (1 - s) / (1 + s)
-    shingles, and no coordinate differs by more than the sets do. Survivors are compared shingle by shingle. ``k1`` and
-    ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have it.
-
-    The coordinates stand here instead of their signs, the fingerprint, as at this similarity fingerprints differ in about
-    ten bits of 64, as those of unrelated texts do. Null, empty and blank texts have no shingles and are one group.
+    Two texts link if the Jaccard similarity of their sets of word shingles is at least ``similarity`` (0.5 or more, in
+    hundredths). The pivot table of the sets' fingerprints proposes pairs by its equi-joins, and the sets decide. As similar
+    sets may differ in more bits than such a table can find (about ten at 0.8, as many as unrelated texts do), the rest is
+    completed by the exact join on prefixes (``jaccard_join``), which looks for links between the components found so far
+    alone, so that no link is lost. ``k1`` and ``k2`` are the text's hash, ``first_id`` the smallest id of the rows that have
+    it. Null, empty and blank texts have no shingles and are one group. A text of any length is held whole by one task, and
+    with its shingles 30 times its size.
     """
-    if similarity < 0.8:
-        raise ValueError("similarity: at least 0.8")
+    from weftline.llm.jaccard_join import linked, thinned  # that module takes its shingles from this one
+
+    percent = round(similarity * 100)
+    if not 50 <= percent <= 100:
+        raise ValueError("similarity: 0.5 to 1")
     staged = Staged(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                found = [_signature(np.unique(shingle_hashes(t.as_py(), shingle))) for t in part["text"].cast(pa.binary())]
-                size, keys, table_ = zip(*found)
-                columns = [part["id"], part["k1"], part["k2"], pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(table_, pa.list_(pa.int32()))]
-                yield pa.record_batch(columns, names=["id", "k1", "k2", "size", "keys", "pivots"])
-
-    signed = staged.put(texts.mapInArrow(sign, "id long, k1 long, k2 long, size long, keys array<long>, pivots array<int>"), "signed")
-    distinct = signed.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "keys", "pivots")])
-    nodes = staged.put(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    staged.drop("signed")
-    shared = staged.put(_buckets(nodes.select("node", F.posexplode("keys").alias("band", "key"))), "bands")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part["text"].cast(pa.binary())]
-                yield pa.record_batch([part["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    asked = shared.select("node").distinct().join(nodes.select("node", "k1", "k2", "first_id"), "node")
-    source = texts.join(asked, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("first_id")))
-    hashes = staged.put(source.select("node", "text").mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"]), "hashes")
-
-    a, b = (nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("pivots").alias(f"{side}_pivots")) for side in "ab")
-    fits = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-6
-    apart = F.array_max(F.zip_with("a_pivots", "b_pivots", lambda x, y: F.abs(x - y)))
-    near = apart <= (F.col("a_size") + F.col("b_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Discarded by the pivot table, then compared in the JVM, a pair at a time: no batch holds the sets of many."""
-        left = staged.put(pairs.join(a, "a").join(b, "b").where(fits & near).select("a", "b"), "pairs")
-        x, y = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        sizes = F.size("x") + F.size("y")
-        return staged.put(left.join(x, "a").join(y, "b").where(both >= similarity * (sizes - both) - 1e-6).select("a", "b"), "verified")
-
-    def with_links(roots: DataFrame, more: DataFrame) -> DataFrame:
-        """``roots`` (node, root) once ``more`` links are known: components are contracted, so only links between them count."""
-        ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        between = more.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        above = connect(between, staged).withColumnRenamed("root", "top")
-        return staged.put(roots.join(above, F.col("root") == above["node"], "left").select(roots["node"], F.coalesce("top", "root").alias("root")), "roots")
-
-    roots = staged.put(shared.select("node").distinct().withColumn("root", F.col("node")), "roots")
-    for begin, end in zip((0, *AHEAD), AHEAD):
-        some = shared.where((F.col("band") >= begin) & (F.col("band") < end))
-        roots = with_links(roots, verified(_proposed(some, roots if begin else None)))
-    still = staged.put(_left_open(shared, roots), "open")
-    if not still.isEmpty():
-        roots = with_links(roots, verified(_by_shingles(hashes.join(still, "node"), staged, similarity)))
-    staged.drop("bands", "hashes", "pairs", "open", "completing")
-    return nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), "first_id")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
+    rows, classes, sets = thinned(own, shingle, percent, staged, prints=True)
+    joined = linked(sets, percent, staged, _proposed(classes, sets, staged))
+    rooted = classes.join(joined, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    distinct = rows.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "k1", "k2")])
+    out = distinct.join(rooted, ["k1", "k2"], "left")
+    return out.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.when(F.col("size") > 0, F.col("root")).otherwise(-1).alias("root"), "first_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all their columns, that stay when each group of ``similar_texts`` keeps the row of smallest id.
 
     Ties of id between different texts go to the smaller hash of the text; rows that repeat both id and text stay together.
-    Null ids come after all others. An empty table gives an empty result.
+    Null ids come after all others. Columns of any name are carried through. An empty table gives an empty result.
     """
     staged = Staged(docs.sparkSession)
-    groups = staged.put(similar_texts(docs, id_col, text_col, shingle, similarity), "groups")
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # the caller's names can't clash with the keys
+    rows = docs.toDF(*inner)
+    text_at, id_at = inner[names.index(text_col)], inner[names.index(id_col)]
+    groups = staged.put(similar_texts(rows, id_at, text_at, shingle, similarity), "groups")
     order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k1", "k2")
-    stays = groups.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2"), F.col("m.first_id").alias("_id"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    same = (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(F.lit("second"), text) == F.col("_k2")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    return docs.join(stays, same, "left_semi")
+    stays = groups.groupBy("root").agg(F.min(order).alias("m")).select("m.k1", "m.k2", "m.first_id")
+    text = F.coalesce(F.col(text_at), F.lit(""))
+    same = (F.xxhash64(text) == F.col("k1")) & (F.xxhash64(F.lit("second"), text) == F.col("k2")) & F.col(id_at).cast("long").eqNullSafe(F.col("first_id"))
+    return rows.join(stays, same, "left_semi").select(*[F.col(n).alias(name) for n, name in zip(inner, names)])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
