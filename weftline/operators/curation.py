@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.functions.text import similarity
-from weftline.operators.lineage import numbered
+from weftline.operators import hierarchy
+from weftline.operators.lineage import Rounds, numbered, written
 
 # Grade syntax by system.
 GRADES = {
@@ -186,20 +187,27 @@ def key_parts(rows: DataFrame, canonical: list[str]) -> DataFrame:
     return rows.withColumns({"key_country": country, "key_region": found, "notes": notes})
 
 
-def area_prefix(chain: DataFrame) -> DataFrame:
-    """(id, kind, name, distance) of each area's ancestors to its key ``country/region/crag`` and the sector's name.
+def area_prefix(areas: DataFrame) -> DataFrame:
+    """(id, parent_id, kind, name) of areas to each one's key ``country/region/crag`` and the sector's name.
 
-    The crag is the topmost node below the region, whatever its label; without one the region stands for it.
+    The crag is the topmost node below the region, whatever its label; without one the region stands for it. Chains are put
+    together by doubling; areas in or under a cycle have each area of it once, at its smallest distance.
     """
     below = F.col("kind").isin("sector", "crag")
-    first = lambda kind: F.min_by("name", F.when(F.col("kind") == kind, F.col("distance")))
-    found = chain.groupBy("id").agg(
-        first("country").alias("country"),
-        first("region").alias("region"),
-        F.max_by("name", F.when(below, F.col("distance"))).alias("crag"),
-        F.min_by("name", F.when(below, F.col("distance"))).alias("lowest"),
-        F.count_if(below).alias("n"),
-    )
+    of = lambda some: F.when(some, F.col("name"))
+    lower, upper = (lambda a, b, _: F.coalesce(a, b)), (lambda a, b, _: F.coalesce(b, a))
+    own = {"country": of(F.col("kind") == "country"), "region": of(F.col("kind") == "region"), "crag": of(below), "lowest": of(below), "n": F.coalesce(below, F.lit(False)).cast("long")}
+    folded = hierarchy.fold_up(areas, own, {"country": lower, "region": lower, "crag": upper, "lowest": lower, "n": lambda a, b, _: a + b})
+    found = folded.where("NOT circular").drop("circular")
+    loops = written(folded.where("circular").select("id"))
+    if not loops.isEmpty():
+        ring = areas.join(loops, "id", "left_semi").select("id", "parent_id")
+        chain = hierarchy.ancestors(ring).join(areas.select(F.col("id").alias("ancestor"), "name", "kind"), "ancestor")
+        first = lambda kind: F.min_by("name", F.when(F.col("kind") == kind, F.col("distance")))
+        found = found.unionByName(chain.groupBy("id").agg(
+            first("country").alias("country"), first("region").alias("region"), F.max_by("name", F.when(below, F.col("distance"))).alias("crag"),
+            F.min_by("name", F.when(below, F.col("distance"))).alias("lowest"), F.count_if(below).alias("n"),
+        ))
     part = lambda c, default: F.coalesce(text.slug(c), F.lit(default))
     prefix = F.concat_ws("/", part(F.col("country"), "unknown"), part(F.col("region"), "unsorted"), part(F.coalesce("crag", "region"), "unknown"))
     return found.select("id", prefix.alias("prefix"), F.when(F.col("n") > 1, F.col("lowest")).alias("sector"))
@@ -227,11 +235,17 @@ def fuzzy_matches(sheet: DataFrame, venues: DataFrame, least: float = 0.8) -> Da
 
 
 def frontier(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(id, round) of everything reachable from the seeds over (parent, child) in some rounds, each id once."""
-    done = seeds.select("id").distinct().withColumn("round", F.lit(0))
-    last = done
+    """(id, round) of everything reachable from the seeds over (parent, child) in some rounds, each id once.
+
+    Each round is written to the shared folder and read by the next, so that neither its plan nor its work grows with the rounds.
+    """
+    kept = Rounds(seeds.sparkSession)
+    done = last = kept.put(seeds.select("id").distinct().withColumn("round", F.lit(0)), "done0")
     for k in range(1, rounds + 1):
         found = last.join(edges, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
-        last = found.join(done, "id", "left_anti").withColumn("round", F.lit(k))
-        done = done.unionByName(last)
+        last = kept.put(found.join(done, "id", "left_anti").withColumn("round", F.lit(k)), f"last{k}")
+        if last.isEmpty():
+            break
+        done = kept.put(done.unionByName(last), f"done{k}")
+        kept.drop(f"done{k - 2}", f"last{k - 1}")
     return done

@@ -6,7 +6,9 @@ twenty joins. Each round is written to the shared folder; there is no limit on t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.lineage import written
@@ -73,17 +75,49 @@ def ancestors(areas: DataFrame) -> DataFrame:
     return pairs.join(missing, "id", "left_anti")
 
 
+def fold_up(areas: DataFrame, own: dict[str, Column], merge: dict[str, Callable[[Column, Column, Column], Column]]) -> DataFrame:
+    """(id, values..., circular): each value put together along the area's chain, from the area itself to its root.
+
+    ``merge`` gets a value for the lower part of a chain, one for the part right above it, and the number of areas in the
+    lower one. Each round doubles these parts, so there are as many rows as areas, however deep the tree is. A missing parent
+    ends a chain. ``circular`` marks areas in or under a cycle: theirs are put together over at least as many steps as there
+    are areas. Ids must not repeat.
+    """
+    names = list(own)
+    state = written(areas.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("step"), *[c.alias(n) for n, c in own.items()]))
+    for _ in range(_rounds(areas)):
+        if state.where("up IS NOT NULL").isEmpty():
+            break
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("step").alias("_step"), F.lit(True).alias("_there"), *[F.col(n).alias(f"_{n}") for n in names])
+        joined = state.where("up IS NOT NULL").join(above, "up", "left")
+        put = [F.when(F.col("_there"), merge[n](F.col(n), F.col(f"_{n}"), F.col("step"))).otherwise(F.col(n)).alias(n) for n in names]
+        moved = joined.select("id", F.col("_up").alias("up"), (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step"), *put)
+        state = written(state.where("up IS NULL").unionByName(moved))
+    return state.select("id", *names, F.col("up").isNotNull().alias("circular"))
+
+
 def nearest_with(areas: DataFrame, columns: list[str]) -> DataFrame:
     """Each area's values from the nearest area up its chain that has all of them, and whether they are its own."""
     has = F.lit(True)
     for c in columns:
         has &= F.col(c).isNotNull()
-    given = areas.where(has).select(F.col("id").alias("ancestor"), *columns)
-    best = ancestors(areas).join(given, "ancestor").groupBy("id").agg(F.min_by(F.struct("distance", *columns), "distance").alias("b"))
-    return best.select("id", *[F.col(f"b.{c}").alias(c) for c in columns], (F.col("b.distance") > 0).alias("approx"))
+    own = F.when(has, F.struct(F.lit(0).cast("long").alias("distance"), *columns))
+    farther = lambda b, step: F.struct((b["distance"] + step).alias("distance"), *[b[c].alias(c) for c in columns])
+    found = fold_up(areas, {"best": own}, {"best": lambda a, b, step: F.coalesce(a, F.when(b.isNotNull(), farther(b, step)))})
+    return found.where("best IS NOT NULL").select("id", *[F.col(f"best.{c}").alias(c) for c in columns], (F.col("best.distance") > 0).alias("approx"))
 
 
 def published_areas(areas: DataFrame, routes: DataFrame) -> DataFrame:
-    """Areas that have a published route anywhere below them."""
+    """Areas that have a published route anywhere below them, ids that are only someone's parent included.
+
+    A mark goes up by doubling: after k rounds it has reached 2**k levels, with one row an area.
+    """
     live = routes.where("status = 'publish'").select(F.col("area_id").alias("id")).distinct()
-    return ancestors(areas).join(live, "id").select(F.col("ancestor").alias("id")).distinct()
+    marked = written(areas.select("id").join(live, "id", "left_semi"))
+    jump = written(areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up")))
+    for _ in range(_rounds(areas)):
+        if jump.isEmpty():
+            break
+        marked = written(marked.unionByName(jump.join(marked, "id").select(F.col("up").alias("id"))).distinct())
+        jump = written(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")))
+    return marked

@@ -59,3 +59,40 @@ def numbered(rows: DataFrame, order: str, name: str, after: Column | None = None
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     number = F.col("_before") + F.col("_at") + 1 + (F.coalesce(after, F.lit(0)) if after is not None else F.lit(0))
     return placed.join(before, "_part").withColumn(name, number).drop("_part", "_at", "_before")
+
+
+def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` with a number from 1 within each key by ``order``, a key of very many rows spread over several tasks.
+
+    Rows are range-partitioned by key and order. A row's number is its place among its key's in its partition and the sum of
+    that key's sizes in the partitions before, a table of one row for each key and partition that it reaches. Rows of equal
+    order are numbered in any order.
+    """
+    sorts = [F.col(k).asc() for k in keys] + order
+    placed = rows.repartitionByRange(*sorts).sortWithinPartitions(*sorts) if sorts else rows
+    placed = written(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_part")
+    starts = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_part", (F.sum("_n").over(along) - F.col("_n") - F.col("_first") + 1).alias("_start"))
+    same = placed["_part"] == starts["_part"]
+    for i, k in enumerate(keys):
+        same &= placed[k].eqNullSafe(starts[f"_key{i}"])
+    return placed.join(starts, same).withColumn(name, placed["_at"] + F.col("_start")).select(*rows.columns, name)
+
+
+class Rounds:
+    """Tables of an iterative operator by name; what later rounds don't read any more is removed at once, the rest at Python's end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = own_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                _remove(self.spark, self.paths.pop(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.lineage import numbered_within
+
 #: Shares of weather, travel and fit in a composite score. Fixed values.
 WEIGHTS = {"weather": 0.65, "travel": 0.15, "fit": 0.20}
 
@@ -30,11 +32,11 @@ def composite(weather: Column, travel: Column, fit: Column, preferences: dict[st
 def best_first(rows: DataFrame, score: str, priority: str, ordinal: str, within: list[str] | None = None) -> DataFrame:
     """Rank by score, priority, input order; rows without a score (below 0) come last in input order.
 
-    Ranks need one ordered sequence: give ``within`` unless the rows are few, as one rank over all is made in one task.
+    Numbered in many tasks, also within a key of very many rows or over all rows (without ``within``).
     """
     failed = F.col(score) < 0
     order = [failed.asc(), F.when(~failed, F.col(score)).desc(), F.when(~failed, F.col(priority)).asc(), F.col(ordinal).asc()]
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)))
+    return numbered_within(rows, within or [], order, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def movement(history: DataFrame) -> DataFrame:

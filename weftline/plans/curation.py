@@ -299,8 +299,7 @@ _SLUG = lambda e: _ASCII.format(e)
 )
 def prefixes(spark, sf_dir):
     areas = made(spark, sf_dir, "part", AREAS)
-    named = areas.select(F.col("id").alias("ancestor"), "name", F.expr(_KINDS).alias("kind"))
-    return curation.area_prefix(hierarchy.ancestors(areas.select("id", "parent_id")).join(named, "ancestor"))
+    return curation.area_prefix(areas.select("id", "parent_id", "name", F.expr(_KINDS).alias("kind")))
 
 
 _PARTS = {"id": "c_custkey", "country": "CASE WHEN c_custkey % 3 <> 0 THEN 'Italia' END", "region": "CASE WHEN c_custkey % 2 = 0 THEN 'Lazio / Roma' END", "geo_country": "CASE WHEN c_custkey % 5 <> 0 THEN 'Italy' END", "geo_region": "CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 7 = 0 THEN 'Scotland' ELSE 'Lazio' END END"}

@@ -37,18 +37,57 @@ def claim(state: DataFrame, n: int) -> DataFrame:
     return state.where("free").orderBy("id").limit(n)
 
 
-def follow_queue(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, handle) -> StreamingQuery:
+def follow_queue(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, handle, ledger: str | None = None) -> StreamingQuery:
     """Work through a folder of items as they land: each micro-batch goes to ``handle`` (a DataFrame function) and its result to ``target``.
 
-    Items are taken once by id; a restart goes on from the checkpoint, and a repeated batch replaces its own output.
+    An item is handled once by id, however often it lands and in whichever batch: handled ids go to a ``ledger`` (by default
+    beside the checkpoint) with their batch, and a batch leaves out those of earlier ones. Of rows that share an id within a
+    batch, the one of smallest content is taken. A restart goes on from the checkpoint; a batch that was cut off repeats and
+    replaces what it had written, in ``target`` and in the ledger alike, as it ignores its own entries.
     """
+    told = ledger or f"{checkpoint.rstrip('/')}-ledger"
 
     def work(batch: DataFrame, number: int) -> None:
-        handle(batch.dropDuplicates(["id"])).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        own = batch.sparkSession
+        rest = [F.col(c) for c in batch.columns if c != "id"]
+        new = batch.groupBy("id").agg(F.min(F.struct(*rest)).alias("row")).select("id", "row.*") if rest else batch.distinct()
+        if number and _written(own, told):
+            before = own.read.schema("id string, batch long").parquet(told).where(F.col("batch") < number)
+            new = new.join(before, new["id"].cast("string") == before["id"], "left_anti")
+        new = new.persist()  # handled and entered: read from the batch once
+        try:
+            handle(new).write.mode("overwrite").parquet(f"{target}/batch={number}")
+            new.select(F.col("id").cast("string").alias("id")).write.mode("overwrite").parquet(f"{told}/batch={number}")
+        finally:
+            new.unpersist()
 
     return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
+def resumed(runs: DataFrame, caps: DataFrame) -> DataFrame:
+    """Runs (run, source, status, capped, error, max_pages, max_places) ready to go on: capped and failed sources are pending
+    again and lose their marks; a cap given in ``caps`` (run, max_pages, max_places) replaces the run's, a null leaves it."""
+    again = F.col("status").isin("capped", "failed")
+    given = caps.select("run", F.col("max_pages").alias("_pages"), F.col("max_places").alias("_places"))
+    return runs.join(given, "run", "left").select(
+        "run", "source", F.when(again, "pending").otherwise(F.col("status")).alias("status"),
+        F.when(~F.coalesce(again, F.lit(False)), F.col("capped")).alias("capped"), F.when(~F.coalesce(again, F.lit(False)), F.col("error")).alias("error"),
+        F.coalesce("_pages", "max_pages").alias("max_pages"), F.coalesce("_places", "max_places").alias("max_places"),
+    )
+
+
+def over_cap(runs: DataFrame) -> DataFrame:
+    """Runs with ``stop``: why one must pause before its next item (pages first, then places), null if it may go on."""
+    hit = lambda cap, done, name: F.when((F.col(cap) > 0) & (F.col(done) >= F.col(cap)), F.format_string(f"{name}=%d hit with %d item(s) still pending", cap, "pending"))
+    stop = F.coalesce(hit("max_pages", "pages", "max_pages"), hit("max_places", "places", "max_places"))
+    return runs.withColumn("stop", F.when(F.col("pending") > 0, stop))
+
+
 def windowed_counts(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
     """Events and their value by type and tumbling window; works on a stream and on a table alike."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
