@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,21 @@ def pieces(batch: pa.RecordBatch, limit: int = 1 << 24) -> Iterator[pa.RecordBat
         yield batch.slice(at, rows)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function over batches that gives freed memory back to the system when its partition ends.
+
+    Python workers serve one task after another and would keep the most that any of them took.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return each
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Staged, table
+from weftline.llm.common import Staged, table, trimmed
 
 #: Offsets that each mask reads.
 MASKS = [(0, 1, 2, 4, 5), (0, 1, 4, 6, 7)]
@@ -28,7 +28,7 @@ STRETCH, SIMILARITY = 12, 0.8
 #: Bits of the table that tasks filter with: 2**26 is 8 MB, whatever the benchmark's size.
 TABLE_BITS = 26
 #: Distinct words that a task remembers.
-REMEMBER = 500_000
+REMEMBER = 200_000
 _MARKS = ".,;:!?\"'()[]{}#$%&*|-_"
 _FACTORS = [xxhash.xxh64_intdigest(f"place {i}") | 1 for i in range(SPAN)]
 
@@ -207,7 +207,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     near = staged.put(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-            clusters, "row long, id long, start int, words array<long>, hits array<struct<key:long,place:int>>"
+            trimmed(clusters), "row long, id long, start int, words array<long>, hits array<struct<key:long,place:int>>"
         ),
         "clusters",
     )

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, UPPER, Staged, ascii_lower, shuffle_width, table
+from weftline.llm.common import LOWER, UPPER, Staged, ascii_lower, shuffle_width, table, trimmed
 
 #: Characters of the normalised text that open a splitter.
 HEAD = 64
@@ -193,7 +193,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             extra = [pa.array([part] * len(numbers), pa.int32()), pa.array(numbers, pa.int64()), pa.array(found, pa.string())]
             yield pa.record_batch([*blank, *extra], names=[*inner, "part", "run", "edge_text"])
 
-    found = staged.put(_sorted_by_content(rows, F.col(text), id_, last, partitions).mapInArrow(kept, schema), "kept")
+    found = staged.put(_sorted_by_content(rows, F.col(text), id_, last, partitions).mapInArrow(trimmed(kept), schema), "kept")
     # The last (first) partition that a run at an edge reaches gives its row; two rows a partition at most.
     edges = found.where("edge_text IS NOT NULL").select("part", "run", "edge_text")
     best = F.max("part") if last else F.min("part")

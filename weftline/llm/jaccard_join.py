@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, UPPER, Staged, pieces, shuffle_width, table
+from weftline.llm.common import LOWER, UPPER, Staged, pieces, shuffle_width, table, trimmed
 from weftline.llm.components import connect
 from weftline.llm.simhash import shingle_hashes, simhash
 
@@ -121,14 +121,14 @@ def thinned(docs: DataFrame, shingle: int, percent: int, staged: Staged, prints:
     spark = docs.sparkSession
     extra = [c for c in docs.columns if c not in ("id", "text")]
     schema = ", ".join(f"{c} long" for c in ("id", "size", "k1", "k2", "need", "fp")) + ", prefix array<long>" + "".join(f", {c} long" for c in extra)
-    signed = staged.put(docs.mapInArrow(_signed(shingle, percent, extra, prints), schema), "signed")
+    signed = staged.put(docs.mapInArrow(trimmed(_signed(shingle, percent, extra, prints)), schema), "signed")
     rows = staged.put(signed.select("id", "size", "k1", "k2", *extra), "rows")
     classes = signed.where("size > 0").groupBy("k1", "k2").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "need", "fp")])
     classes = staged.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     tokens = signed.select("k1", F.explode("prefix").alias("token"))
     placed = tokens.repartitionByRange(shuffle_width(spark), "token", "k1").sortWithinPartitions("token", "k1")
-    met = staged.put(placed.mapInArrow(_met, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("n")), "met")
+    met = staged.put(placed.mapInArrow(trimmed(_met), "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("n")), "met")
     staged.drop("signed")
     left = staged.put(classes.join(met, "k1").where("n >= need").select("k1", "k2", "node", "size", "first_id"), "left")
 
@@ -144,7 +144,7 @@ def thinned(docs: DataFrame, shingle: int, percent: int, staged: Staged, prints:
                 columns = [pa.array([int(k[j]) for k in keys], pa.int64()) for j in (0, 1)]
                 yield pa.record_batch([*columns, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["k1", "k2", "hashes"])
 
-    whole = docs.select("text", _bit(F.col("id")).alias("bit")).mapInArrow(again, "k1 long, k2 long, hashes array<long>")
+    whole = docs.select("text", _bit(F.col("id")).alias("bit")).mapInArrow(trimmed(again), "k1 long, k2 long, hashes array<long>")
     sets = whole.join(left.select("k1", "k2", "node", "size"), ["k1", "k2"]).dropDuplicates(["node"])
     return rows, classes, staged.put(sets.select("node", "size", "hashes"), "sets")
 
@@ -193,7 +193,7 @@ def linked(sets: DataFrame, percent: int, staged: Staged, proposed: DataFrame |
     ranked = tokens.join(often, "token").groupBy("node", "size").agg(each.alias("r")).where(F.size("r") >= _ceil(F.col("size"), percent))
     ranked = staged.put(ranked.select("node", "size", F.col("r.df").alias("dfs"), F.col("r.token").alias("tokens")), "ranked")
     staged.drop("tokens")
-    chosen = ranked.mapInArrow(_levels(percent), "node long, size long, shared long, level long, tokens array<struct<token:long,from:long,at:long>>")
+    chosen = ranked.mapInArrow(trimmed(_levels(percent)), "node long, size long, shared long, level long, tokens array<struct<token:long,from:long,at:long>>")
     keyed = staged.put(chosen.select("node", "size", "shared", "level", F.inline("tokens")), "keyed")
     known = ranked.select("node", "size", "tokens")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Staged, table
+from weftline.llm.common import Staged, table, trimmed
 from weftline.llm.token_counts import byte_alphabet
 
 CAPACITY = 1024
@@ -289,7 +289,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     described = spark.sparkContext.broadcast((zlib.crc32(text.encode()), text))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
-    pieces = staged.put(rows.mapInArrow(lambda batches: _pieces(batches, described, capacity), schema), "pieces")
+    pieces = staged.put(rows.mapInArrow(trimmed(lambda batches: _pieces(batches, described, capacity)), schema), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = [0] * (capacity + 1)
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows

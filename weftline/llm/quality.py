@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import table, trimmed
 from weftline.llm.toxicity import held_out, training_rows
 
 BUCKETS = 1 << 16
@@ -193,7 +193,7 @@ def keep_good(docs: DataFrame, model: Ordinal, text_col: str = "text", at_least:
             tails = next(score_batches(shared.value, iter([texts])))["tails"].values.to_numpy().reshape(len(texts), -1)
             yield batch.filter(pa.array(tails[:, k] >= SELECT_FROM))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(trimmed(each), docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
