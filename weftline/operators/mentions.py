@@ -35,17 +35,24 @@ def mention_order(host: Column, kind: Column, days_ago: Column, trusted: list[st
 def named_places(docs: DataFrame, places: DataFrame, least: int = 4) -> DataFrame:
     """(doc, place) for names of at least ``least`` letters that occur in a text as whole words, whatever their case.
 
-    Texts become runs of up to as many words as the longest name has, and meet the names in an equi-join, so no text is
-    held against every name.
+    A name meets a text by its rarest word among the names, one row for each of a text's different words, so that no text is
+    held against every name and no run of words is made. Names of several words are then looked for in the texts that they met.
+    Documents that repeat an id are one for each different text.
     """
     words = lambda c: F.filter(F.split(F.lower(fold(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    names = places.where(F.length("name") >= least).select("place", words(F.col("name")).alias("w")).where(F.size("w") > 0).select("place", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n"))
-    longest = names.agg(F.max("n")).collect()[0][0] or 0
-    runs = docs.select("doc", words(F.col("text")).alias("w"))
-    starts = F.sequence(F.lit(1), F.size("w"))
-    phrases = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    each = runs.where((F.size("w") > 0) & F.lit(longest > 0)).select("doc", F.explode(F.array_distinct(phrases)).alias("phrase"))
-    return each.join(names.select("place", "phrase"), "phrase").select("doc", "place").distinct()
+    names = places.where(F.length("name") >= least).select("place", words(F.col("name")).alias("w")).where(F.size("w") > 0)
+    each = names.select("place", "w", F.explode(F.array_distinct("w")).alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("n"))
+    keyed = each.join(often, "word").groupBy("place", "w").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    keyed = keyed.select("place", "word", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("phrase"), (F.size("w") > 1).alias("several"))
+    held = docs.select("doc", F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("text"))
+    seen = held.select("doc", F.xxhash64("text").alias("hash"), F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word"))
+    # The words grow with the texts: merged, unless at run time one side is small enough to be sent around.
+    met = seen.hint("merge").join(keyed, "word")
+    alone = met.where(~F.col("several")).select("doc", "place")
+    asked = met.where("several").select("doc", "hash", "place", "phrase").distinct()
+    whole = held.withColumn("hash", F.xxhash64("text")).hint("merge").join(asked, ["doc", "hash"]).where(F.contains("text", F.col("phrase"))).select("doc", "place")
+    return alone.unionByName(whole).distinct()
 
 
 def common_links(mentions: DataFrame, more_than: int = 1) -> DataFrame:

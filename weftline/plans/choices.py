@@ -81,7 +81,7 @@ def composite(spark, sf_dir):
 def travel_distance(spark, sf_dir):
     homes = load(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation", "CAST(s_suppkey * 7919 % 120000 AS DOUBLE) / 1000 - 60 AS la", "CAST(s_suppkey * 104729 % 360000 AS DOUBLE) / 1000 - 180 AS lo")
     venues = made(spark, sf_dir, "customer", VENUES).where("lat IS NOT NULL")
-    return rounded(venues.join(homes, "nation").groupBy("id").agg(F.min(geo.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo"))).alias("km")))
+    return rounded(proximity.nearest_distance(venues, homes.select("nation", F.col("la").alias("lat"), F.col("lo").alias("lon")), "id", ["nation"], 500.0))
 
 
 @PLANS.plan("ag_13_travel_cost", f"WITH {_F} SELECT venue, greatest(0, least(100, {_EVEN('100 - avg(price) / 4')})) + 0.0 AS cost FROM f GROUP BY venue")
@@ -147,7 +147,7 @@ def grade_range(spark, sf_dir):
 
 @PLANS.plan("ag_22_upper_median", f"WITH {_R} SELECT area_id, list_sort(list(pitches_count))[len(list(pitches_count)) // 2 + 1] AS median FROM r GROUP BY area_id")
 def median(spark, sf_dir):
-    return made(spark, sf_dir, "part", ROUTES).groupBy("area_id").agg(ranking.upper_median(F.col("pitches_count")).alias("median"))
+    return made(spark, sf_dir, "part", ROUTES).groupBy("area_id").agg(ranking.upper_median("pitches_count").cast("int").alias("median"))
 
 
 @PLANS.plan("ag_23_area_facts", f"WITH {_R} SELECT area_id, max(pitches_count) AS most, arg_max(name, (pitches_count, -id)) AS tallest, count(DISTINCT rock) AS rocks FROM r GROUP BY area_id")

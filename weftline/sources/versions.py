@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import curation
 from weftline.operators.lineage import written
+from weftline.sources.sinks import spread
 
 
 def _fs(spark: SparkSession, path: str):
@@ -44,13 +45,7 @@ def prepare(rows: DataFrame, root: str, levels: list[str], heavy: int = 1_000_00
     spark = rows.sparkSession
     version = (current(spark, root) or 0) + 1
     rows = written(rows)
-    named = [F.col(level).alias(f"_level{i}") for i, level in enumerate(levels)]
-    sizes = rows.groupBy(*named).agg(F.ceil(F.count("*") / heavy).cast("int").alias("_parts"))
-    same = F.lit(True)
-    for i, level in enumerate(levels):
-        same &= F.col(level).eqNullSafe(F.col(f"_level{i}"))
-    dealt = rows.join(sizes, same).select(*rows.columns, F.floor(F.rand(1) * F.col("_parts")).alias("_part"))
-    dealt.repartition(*levels, "_part").drop("_part").write.partitionBy(*levels).mode("overwrite").json(f"{root}/v={version}")
+    spread(rows, levels, heavy).write.partitionBy(*levels).mode("overwrite").json(f"{root}/v={version}")
     told = rows.agg(F.count("*").alias("rows")).select(F.lit(version).alias("version"), "rows", F.lit(version - 1).alias("before"))
     told.write.mode("overwrite").json(f"{root}/manifests/{version}")
     return version
