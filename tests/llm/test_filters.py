@@ -263,3 +263,87 @@ def test_very_many_spans_take_linear_time(spark):
     text = " ".join(f"a{i}@mail.example.com" for i in range(20_000))
     got = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert got.n_email == 20_000 and got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(text)).encode()).hexdigest()
+
+
+def plain_score(net, text):
+    """The highest window's probability, window by window, step by step and word by word."""
+    p, s = net.p, toxicity.STATE
+    sig = lambda v: 1 / (1 + np.exp(-np.asarray(v, np.float64)))
+    words = toxicity.tokens(text)
+
+    def vector(word):
+        bucket, grams, _ = toxicity.Lexicon([word]).take(np.array([0]))
+        return p["words"][bucket[0]].astype(np.float64) + np.max([p["grams"][g] for g in grams], axis=0)
+
+    best = -np.inf
+    for a, b in toxicity.windows(len(words)):
+        xs = [vector(w) for w in words[a:b]]
+        states = {}
+        for d, order in (("f", range(b - a)), ("b", range(b - a - 1, -1, -1))):
+            h = np.zeros(s)
+            for t in order:
+                x, u = xs[t] @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+                z, r = sig(x[:s] + u[:s]), sig(x[s : 2 * s] + u[s : 2 * s])
+                h = (1 - z) * np.tanh(x[2 * s :] + r * u[2 * s :]) + z * h
+                states[d, t] = h
+        both = [np.concatenate([states["f", t], states["b", t]]) for t in range(b - a)]
+        if both:
+            e = np.exp([v @ p["attend"] - max(w @ p["attend"] for w in both) for v in both])
+            pooled = sum(k * v for k, v in zip(e / e.sum(), both))
+        else:
+            pooled = np.zeros(2 * s)
+        best = max(best, pooled @ p["out"] + p["bias"][0])
+    return sig(best)
+
+
+def test_scores_match_a_plain_pass_over_each_window(monkeypatch):
+    monkeypatch.setattr(toxicity, "LANES", 5)  # windows of several texts in one pass, long texts over several
+    monkeypatch.setattr(toxicity, "REMEMBER", 30)  # words are forgotten and learnt again
+    r, net = random.Random(4), toxicity.Network(3)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(n)) for n in (1, 2, toxicity.WINDOW - 1, toxicity.WINDOW, toxicity.WINDOW + 1, 150, 3, 90)] + ["", None, " \n", "É!! x" * 3]
+    got = next(toxicity.score_batches(net, iter([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])])))["score"].to_pylist()
+    assert got == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
+def plain_features(text):
+    words = (text or "").split()
+    x = {quality.of_length(len(words)): 1 / quality.SCALE, quality.REPEATS: quality.repeats(words) / max(1, len(words))}
+    for w in words:
+        for b in quality.features(w):
+            x[b] = x.get(b, 0) + 1 / len(words)
+    return {b: v * quality.SCALE for b, v in x.items()}
+
+
+def plain_objective(rows, grades, weights, thresholds):
+    """Mean negative log-likelihood of the grades under the cumulative link, and the ridge."""
+    total = 0.0
+    for text, y in rows:
+        s = sum(v * weights.get(b, 0.0) for b, v in plain_features(text).items())
+        below = [0.0, *(1 / (1 + np.exp(s - c)) for c in thresholds), 1.0]
+        k = grades.index(y)
+        total -= np.log(max(below[k + 1] - below[k], 1e-12))
+    return total / len(rows) + quality.DECAY / 2 * sum(w * w for w in weights.values())
+
+
+def test_training_reaches_the_optimum_of_the_plain_objective(monkeypatch):
+    monkeypatch.setattr(quality, "RATE", 0.002)  # small steps settle; with the usual ones the weights still swing a little
+    r = random.Random(6)
+    words = ["good", "fine", "plain", "bad", "junk"]
+    rows = [(" ".join(r.choices(words, weights=[3 - g + 1, 2, 2, g + 1, g * 2 + 1], k=r.randrange(1, 12))), 3 - g) for g in (0, 1, 2, 3) for _ in range(12)]
+    model = quality.train(rows, steps=8000)
+    used = sorted({b for t, _ in rows for b in plain_features(t)})
+    weights, cuts = {b: float(model.weights[b]) for b in used}, list(model.thresholds)
+    assert model.grades == [0, 1, 2, 3] and cuts == sorted(cuts)
+    base = plain_objective(rows, model.grades, weights, cuts)
+    step = 1e-4
+    slopes = [(plain_objective(rows, model.grades, weights | {b: weights[b] + step}, cuts) - plain_objective(rows, model.grades, weights | {b: weights[b] - step}, cuts)) / (2 * step) for b in used]
+    for k in range(3):
+        more, less = ([c + (d if i == k else 0) for i, c in enumerate(cuts)] for d in (step, -step))
+        slopes.append((plain_objective(rows, model.grades, weights, more) - plain_objective(rows, model.grades, weights, less)) / (2 * step))
+    assert max(map(abs, slopes)) < 5e-3
+    assert base < plain_objective(rows, model.grades, dict.fromkeys(used, 0.0), cuts) - 0.1
+    out = next(quality.score_batches(model, iter([pa.record_batch([pa.array([t for t, _ in rows])], names=["text"])])))
+    for (text, _), expected, tails in zip(rows, out["expected_grade"].to_pylist(), out["tails"].to_pylist()):
+        s = sum(v * weights[b] for b, v in plain_features(text).items())
+        want = [1 / (1 + np.exp(c - s)) for c in cuts]
+        assert tails == pytest.approx(want, abs=1e-4) and expected == pytest.approx(sum(want), abs=1e-3)
