@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import strip_tags
+from weftline.functions.text import norm_name, similarity, strip_tags
+from weftline.operators.lineage import written
+from weftline.operators.proximity import within_km
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], preserve: list[str] = (), guard: Column | None = None, sticky: dict[str, Column] | None = None) -> DataFrame:
@@ -93,17 +95,84 @@ def place_pairs(places: DataFrame, near_m: float = 1000, close_m: float = 500, l
     names at least ``least`` alike, but not equal. Names meet by an equi-join, neighbours through grid cells; similarity is
     computed for neighbours alone.
     """
-    from weftline.functions.geo import haversine
-    from weftline.functions.text import norm_name, similarity
-    from weftline.operators.proximity import within_km
-
     named = places.withColumn("norm", norm_name(F.col("name")))
-    a, b = named.alias("a"), named.alias("b")
-    metres = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"), 6371000.0)
-    same = a.join(b, (F.col("a.norm") == F.col("b.norm")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.source") != F.col("b.source"))).where(metres.isNull() | (metres < near_m))
+    some = named.select("id", "source", "norm", "lat", "lon")
+    met = within_km(some, some, near_m / 1000, 0.05, also=["norm"]).where(f"id < b_id AND source <> b_source AND km * 1000 < {near_m}").select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+    lost = named.where("lat IS NULL OR lon IS NULL").select("id", "source", "norm").alias("m")
+    other = named.select("id", "source", "norm", (F.col("lat").isNull() | F.col("lon").isNull()).alias("lost")).alias("o")
+    once = (F.col("m.norm") == F.col("o.norm")) & (F.col("m.source") != F.col("o.source")) & (~F.col("o.lost") | (F.col("m.id") < F.col("o.id")))
+    unknown = lost.join(other, once).where("m.id <> o.id").select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b"))
     near = within_km(named, named, close_m / 1000, 0.05).where("id < b_id AND source <> b_source AND norm <> b_norm AND km * 1000 < " + str(close_m))
     alike = near.withColumn("sim", similarity("norm", "b_norm")).where((F.col("sim") >= least) & (F.col("sim") < 1))
-    return same.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit("same").alias("verdict")).unionByName(alike.select(F.col("id").alias("a"), F.col("b_id").alias("b"), F.lit("ambiguous").alias("verdict")))
+    same = met.unionByName(unknown)
+    return same.select("a", "b", F.lit("same").alias("verdict")).unionByName(alike.select(F.col("id").alias("a"), F.col("b_id").alias("b"), F.lit("ambiguous").alias("verdict")))
+
+
+def entity_links(places: DataFrame, near_m: float = 1000) -> DataFrame:
+    """(a, b) links whose components are those of ``place_pairs``' same places, in proportion to the places.
+
+    Places of one name, source and point are one spot; spots meet through grid cells and names, and a spot's places link to one of
+    them where it has a neighbour. A place without coordinates is the same as all of other sources with its name: so each name
+    links its places to two such of different sources (or, where all are of one, the places without coordinates to one of
+    another source).
+    """
+    named = places.select("id", "source", norm_name(F.col("name")).alias("norm"), "lat", "lon")
+    spot = ["norm", "source", "lat", "lon"]
+    spots = named.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(*spot).agg(F.min("id").alias("id"))
+    near = within_km(spots, spots, near_m / 1000, 0.05, also=["norm"]).where(f"id < b_id AND source <> b_source AND km * 1000 < {near_m}").select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+    near = written(near)
+    linked = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "first")
+    own = named.join(spots.withColumnRenamed("id", "first"), spot).join(linked, "first", "left_semi").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+
+    lost = F.col("lat").isNull() | F.col("lon").isNull()
+    first = named.where(lost).groupBy("norm").agg(F.min(F.struct("id", "source")).alias("m0"))
+    marked = named.withColumn("lost", lost).join(first, "norm")
+    apart = F.col("source") != F.col("m0.source")
+    second = marked.where(apart).groupBy("norm").agg(F.min(F.when(F.col("lost"), F.col("id"))).alias("m1"), F.min("id").alias("x0"))
+    told = marked.join(second, "norm", "left")
+    to = F.when(apart, F.col("m0.id")).otherwise(F.coalesce("m1", F.when(F.col("lost"), F.col("x0"))))
+    blind = told.select(F.col("id").alias("a"), to.alias("b")).where("b IS NOT NULL AND a <> b")
+    return near.unionByName(own).unionByName(blind)
+
+
+def same_routes(routes: DataFrame, km: float = 2.0) -> DataFrame:
+    """(id, source, external_id): for each route the references of routes of its name on other crags nearer than ``km``.
+
+    ``routes``: id, name, crag, lat, lon (the crag's), refs (array of structs with source and external_id). Only routes whose
+    set of sources differs count, and of theirs only references to sources that the route itself lacks. Without coordinates a
+    route has none. Each reference comes once.
+    """
+    rows = routes.select("id", "crag", "lat", "lon", "refs", norm_name(F.col("name")).alias("norm"), F.array_sort(F.array_distinct("refs.source")).alias("sources"))
+    met = within_km(rows, rows, km, also=["norm"]).where((F.col("crag") != F.col("b_crag")) & (F.col("km") < km) & (F.col("sources") != F.col("b_sources")))
+    each = met.select("id", "sources", F.inline("b_refs"))
+    return each.where(~F.array_contains("sources", F.col("source"))).select("id", "source", "external_id").distinct()
+
+
+def route_detail(routes: DataFrame, areas: DataFrame) -> DataFrame:
+    """Routes with their lists in the order in which they are shown, and their area's path and inherited values.
+
+    Tags and hazard codes by name, parkings by place (none: 0) and id, pitches and references by number, guidebooks by title,
+    months in order; nulls count as 0 or empty. ``areas``: id, path_tokens, eff_rock, eff_aspect.
+    """
+    by = lambda c, key: F.array_sort(F.coalesce(F.col(c), F.array()), lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+    number = lambda x, f: F.coalesce(x[f], F.lit(0))
+    above = areas.select(F.col("id").alias("area_id"), "path_tokens", "eff_rock", "eff_aspect")
+    shown = {
+        "disciplines": F.array_sort(F.coalesce("disciplines", F.array())),
+        "hazards": F.array_sort(F.coalesce(F.transform("hazards", lambda h: h["code"]), F.array())),
+        "parkings": by("parkings", lambda x: F.struct(number(x, "ord"), number(x, "id"))),
+        "pitches": by("pitches", lambda x: number(x, "number")),
+        "guidebooks": by("guidebooks", lambda x: F.coalesce(x["title"], F.lit(""))),
+        "months": F.array_sort(F.coalesce("months", F.array())),
+    }
+    return routes.join(above, "area_id", "left").select(*[shown.get(c, F.col(c)).alias(c) for c in routes.columns], "path_tokens", "eff_rock", "eff_aspect")
+
+
+def neighbourhood(areas: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The ids of ``chosen`` (id) areas and of all areas right under one of them."""
+    own = areas.join(chosen.select("id"), "id", "left_semi").select("id")
+    below = areas.join(chosen.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
+    return own.union(below).distinct()
 
 
 def with_lookups(rows: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from weftline.functions import conditions, text
 from weftline.operators import mentions, ranking
 from weftline.operators.graph import connected
 from weftline.operators.lineage import numbered
-from weftline.operators.records import place_pairs
+from weftline.operators.records import entity_links, place_pairs
 from weftline.operators.search import with_month
 from weftline.plans.choices import _KM as KM_SQL
 from weftline.plans.choices import ROUTES, VENUES
@@ -299,8 +299,7 @@ _DIRECT = f"e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.name = b.na
 def entity_groups(spark, sf_dir):
     """Places of several sources that are the same, directly or by way of others, are one entity: components of JN-17's pairs."""
     places = made(spark, sf_dir, "customer", PLACES)
-    same = place_pairs(places).where("verdict = 'same'").select("a", "b")
-    return connected(same.unionByName(places.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    return connected(entity_links(places).unionByName(places.select(F.col("id").alias("a"), F.col("id").alias("b"))))
 
 
 @PLANS.plan("jn_17_place_pairs", f"WITH {_P}, {_DIRECT} SELECT a, b, 'same' AS verdict FROM e WHERE a < b")
