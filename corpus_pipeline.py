@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, exact_dedup, packing, quality, simhash
-from weftline.llm.common import shared_dir, table
+from weftline.llm.common import Staged, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '-')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over ``documents``; each is written to the shared folder and read again by the next.
+
+    A stage's table goes once the next one is written, the last when Python ends.
+    """
+    docs, staged = table(spark, sf_dir, "documents"), Staged(spark)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = staged.put(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        staged.drop(f"pipeline-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

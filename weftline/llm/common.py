@@ -91,8 +91,19 @@ def trimmed(run: Callable) -> Callable:
     return each
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of the input's files for each partition of an exchange.
+PART_BYTES = 128 << 20
+
+
+def shuffle_width(spark: SparkSession, rows: DataFrame | None = None) -> int:
+    """Partitions for an exchange of ``rows``: the session's number, or more where what they are read from asks for it."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is None:
+        return least
+    leaves, size = rows._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():  # the sizes of files; estimates of what is made of them can be far off
+        size += int(leaves.next().stats().sizeInBytes().toString())
+    return max(least, -(-size // PART_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

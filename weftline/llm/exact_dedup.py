@@ -103,7 +103,7 @@ def _cuts(texts: list[str]) -> list[int]:
 def _sorted_by_content(rows: DataFrame, text: Column, id_name: str, last: bool, partitions: int | None) -> DataFrame:
     """``rows`` with normal, head and hash, partitioned by sampled splitters and sorted by the normalised bytes, then the id."""
     by_id = F.col(id_name).asc_nulls_first() if last else F.col(id_name).asc_nulls_last()
-    n = partitions or shuffle_width(rows.sparkSession)
+    n = partitions or shuffle_width(rows.sparkSession, rows)
     normal = ascii_lower(F.coalesce(text, F.lit("")))
     keyed = rows.withColumns({"head": F.substring(normal, 1, HEAD), "hash": F.xxhash64(normal)})
     # The normalised text is made after the exchange, which carries each text once.

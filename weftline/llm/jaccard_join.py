@@ -127,7 +127,7 @@ def thinned(docs: DataFrame, shingle: int, percent: int, staged: Staged, prints:
     classes = staged.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     tokens = signed.select("k1", F.explode("prefix").alias("token"))
-    placed = tokens.repartitionByRange(shuffle_width(spark), "token", "k1").sortWithinPartitions("token", "k1")
+    placed = tokens.repartitionByRange(shuffle_width(spark, tokens), "token", "k1").sortWithinPartitions("token", "k1")
     met = staged.put(placed.mapInArrow(trimmed(_met), "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("n")), "met")
     staged.drop("signed")
     left = staged.put(classes.join(met, "k1").where("n >= need").select("k1", "k2", "node", "size", "first_id"), "left")

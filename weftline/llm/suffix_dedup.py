@@ -111,7 +111,10 @@ def blocks(text: bytes) -> tuple[np.ndarray, ...]:
         first, last = np.concatenate(([0], change)), np.concatenate((change - 1, [len(anchors) - 1]))
         anchor = anchors[first]
         shape = ((anchor - first) * 4096 + (last - first)).astype(np.uint64)
-        whole = _mix(_hash(prefix, first, last + LENGTH) ^ shape * np.uint64(_BASE))
+        # Of another family than the anchors' hash: blocks of one anchor are one kind only if both agree.
+        held = data.tobytes()
+        own = np.fromiter((xxhash.xxh3_64_intdigest(held[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist())), np.uint64, len(first))
+        whole = _mix(own ^ shape * np.uint64(_BASE))
         found.append((hashed[anchor], whole, first + at, last + at, anchor + at))
     if not found:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
