@@ -91,8 +91,8 @@ def trimmed(run: Callable) -> Callable:
     return each
 
 
-#: Bytes of the input's files for each partition of an exchange.
-PART_BYTES = 128 << 20
+#: Bytes of the input's files for each partition of an exchange, and a size from which Spark means that it doesn't know one.
+PART_BYTES, UNKNOWN = 128 << 20, 1 << 60
 
 
 def shuffle_width(spark: SparkSession, rows: DataFrame | None = None) -> int:
@@ -102,7 +102,8 @@ def shuffle_width(spark: SparkSession, rows: DataFrame | None = None) -> int:
         return least
     leaves, size = rows._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
     while leaves.hasNext():  # the sizes of files; estimates of what is made of them can be far off
-        size += int(leaves.next().stats().sizeInBytes().toString())
+        own = int(str(leaves.next().stats().sizeInBytes()))
+        size += own if own < UNKNOWN else 0
     return max(least, -(-size // PART_BYTES))
 
 
