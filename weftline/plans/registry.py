@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.plans import choices, crawling, curation, curves, editing, landed, rollups, rules
+from weftline.plans import choices, crawling, curation, curves, editing, landed, rollups, rules, sourcing
 from weftline.plans.common import Query
 
 FLAGSHIP = "fn_05_day_score"
-_ALL = [curves.PLANS, rollups.PLANS, choices.PLANS, rules.PLANS, curation.PLANS, landed.PLANS, crawling.PLANS, editing.PLANS]
+_ALL = [curves.PLANS, rollups.PLANS, choices.PLANS, rules.PLANS, curation.PLANS, landed.PLANS, crawling.PLANS, editing.PLANS, sourcing.PLANS]
 
 
 def queries() -> dict[str, Query]:
