@@ -89,3 +89,31 @@ def test_lines_and_pictures(spark):
     after, answers = writeback.put_lines(there, spark.createDataFrame(asked, kind))
     assert {(r.topo, r.route): r.points for r in after.collect()} == {(1, 1): [[0.2, 0.2], [0.3, 0.3]], (1, 9): [[0.0, 0.0], [1.0, 1.0]]}
     assert {r.request for r in answers.collect() if r.problem} == {2, 4, 5}
+
+
+def test_flight_cells_spend_in_order(spark):
+    from weftline.operators.flights import flight_cells
+
+    r = random.Random(4)
+    keys = [(f"o{i}", f"t{j}", "d") for i in range(3) for j in range(4)]
+    cache, brings = {keys[0]: 10, keys[5]: 20}, {k: r.choice([None, n + 30]) for n, k in enumerate(keys)}
+    asked = [(n, n % 9, "w", r.choice(["fly", "fly", "fly", "local", "drive", None]), *r.choice(keys)) for n in range(60)] + [(60, 1, "w", "fly", None, "t1", "d")]
+    columns = "origin string, to string, dates string"
+    for quota in (0, 1, 3, 99):
+        cells, spent = flight_cells(
+            spark.createDataFrame(asked, f"ord int, venue int, traveller string, mode string, {columns}"), spark.createDataFrame([(*k, p) for k, p in cache.items()], f"{columns}, price int"),
+            spark.createDataFrame([(*k, p) for k, p in brings.items()], f"{columns}, price int"), quota,
+        )
+        known, left, want = dict(cache), quota, {}
+        for n, _, _, mode, *key in asked:
+            key = tuple(key)
+            if mode in ("local", "drive"):
+                want[n] = (mode, None)
+            elif mode != "fly":
+                want[n] = ("unknown", None)
+            else:
+                if key not in known and left > 0 and brings.get(key) is not None:
+                    known[key], left = brings[key], left - 1
+                want[n] = ("priced", known[key]) if key in known else ("link", None)
+        assert {c.ord: (c.cell, c.price) for c in cells.collect()} == want
+        assert {(s.origin, s.to, s.dates): s.price for s in spent.collect()} == {k: v for k, v in known.items() if k not in cache}

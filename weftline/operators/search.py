@@ -75,3 +75,16 @@ def search(routes: DataFrame, facets: Facets, climate: DataFrame | None = None)
     found = found.withColumn("distance_km", distance)
     found = with_month(found, climate, facets.month)
     return found.orderBy(*order).limit(min(facets.limit or 10, MOST))
+
+
+def vocabularies(tables: dict[str, DataFrame], fixed: dict[str, list[str]], code: str = "code") -> DataFrame:
+    """(family, pos, code): the codes of each vocabulary table in order, each once, and fixed lists as they stand."""
+    out = None
+    for family, rows in tables.items():
+        codes = rows.where(F.col(code).isNotNull()).agg(F.array_sort(F.collect_set(code)).alias("codes"))  # a vocabulary is small by nature
+        some = codes.select(F.lit(family).alias("family"), F.posexplode("codes").alias("pos", "code"))
+        out = some if out is None else out.unionByName(some)
+    for family, words in fixed.items():
+        some = next(iter(tables.values())).sparkSession.range(1).select(F.lit(family).alias("family"), F.posexplode(F.array(*map(F.lit, words))).alias("pos", "code"))
+        out = some if out is None else out.unionByName(some)
+    return out

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.operators import writeback
+from weftline.operators import flights, writeback
+from weftline.operators.search import vocabularies
 from weftline.plans.choices import _KM
 from weftline.plans.common import Plans, load
-from weftline.sources import payloads
+from weftline.sources import adapters, payloads
 
 PLANS = Plans()
 
@@ -238,3 +239,51 @@ def imported(spark, sf_dir):
     media = load(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(_text("u", F.col("o_orderkey")).alias("uri"))
     first = F.get("points", F.lit(0))
     return writeback.import_topos(found, refs, media)[1].select("uri", "route", (first[0] + 0.0).alias("x"), first[1].alias("y"))
+
+
+# Places without routes, vocabularies, prices
+
+
+@PLANS.plan(
+    "src_21_place_cards",
+    """SELECT page_id, 'Crag ' || page_id AS name, CASE WHEN page_id % 3 <> 0 THEN CAST(page_id % 80 AS DOUBLE) + 0.5 END AS lat, CASE WHEN page_id % 4 = 0 THEN 'limestone' WHEN page_id % 4 = 1 THEN 'sandstone' END AS rock,
+    'A long first paragraph that tells how to get to place number ' || page_id || ' & on.' || chr(10) || chr(10) || 'Another long paragraph, after a short one, that says when sun comes.' AS description FROM pages""",
+)
+def place_cards(spark, sf_dir):
+    """Long paragraphs once, not scripts, cookies or short ones; a rock by its source's name."""
+    n = F.col("page_id")
+    first = _text("A long <b>first</b> paragraph that tells how to get to place number ", n, " &amp; on.")
+    map_ = F.when(n % 3 != 0, _text('<a href="http://maps.google.com/maps?q=', n % 80, '.5,10.25">map</a>')).otherwise("")
+    stone = F.when(n % 4 == 0, "Roccia calcare e tufo<br>").when(n % 4 == 1, "roccia Arenaria<").when(n % 4 == 2, "Roccia strana<").otherwise("")
+    page = _text("<p>", first, "</p><p>short</p>", map_, stone, "<p>Cookie notices are long, too, but they say nothing about the place at all.</p><p>Another long paragraph, <script>var x = 'hidden';</script>after a short one, that says when sun comes.<p>", first, "</p>")
+    items = load(spark, sf_dir, "pages").select(F.lit("crag").alias("kind"), n.cast("string").alias("id"), n.cast("string").alias("url"), _text("Crag ", n).alias("name"), page.alias("payload"))
+    return adapters.parsed(items, "place_card").select(F.col("item").cast("long").alias("page_id"), "name", "lat", "rock", "description")
+
+
+@PLANS.plan("src_14_enums", "SELECT 'rock' AS family, CAST(row_number() OVER (ORDER BY p_type) - 1 AS INT) AS pos, p_type AS code FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT 'feature', CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INT), p_brand FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 'aspect', CAST(i - 1 AS INT), ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][i] FROM range(1, 9) AS t(i)")
+def enums(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    return vocabularies({"rock": part.select(F.col("p_type").alias("code")), "feature": part.select(F.col("p_brand").alias("code"))}, {"aspect": ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]})
+
+
+def _flights(spark, sf_dir):
+    k = F.col("o_orderkey")
+    mode = F.when(k % 5 == 0, "drive").when(k % 5 == 1, "local").when(k % 5 == 2, "boat").otherwise("fly")
+    keys = [_text("A", k % 7).alias("origin"), _text("B", F.col("o_custkey") % 200).alias("to"), F.lit("d").alias("dates")]
+    requests = load(spark, sf_dir, "orders").select(k.alias("ord"), F.col("o_custkey").alias("venue"), F.lit("ann").alias("traveller"), mode.alias("mode"), *keys)
+    every = requests.select("origin", "to", "dates").distinct().withColumn("n", F.substring("to", 2, 9).cast("int") + F.substring("origin", 2, 1).cast("int"))
+    cache = every.where("n % 6 = 0").select("origin", "to", "dates", F.lit(100).alias("price"))
+    answers = every.select("origin", "to", "dates", F.when(F.col("n") % 4 != 0, F.col("n")).alias("price"))
+    return flights.flight_cells(requests, cache, answers, 300)
+
+
+@PLANS.plan(
+    "pj_09_flight_cells",
+    """WITH q AS (SELECT o_orderkey AS ord, o_custkey AS venue, o_orderkey % 5 AS m, o_orderkey % 7 AS a, o_custkey % 200 AS b, o_custkey % 200 + o_orderkey % 7 AS n FROM orders),
+    f AS (SELECT a, b, n, min(ord) AS first FROM q WHERE m > 2 AND n % 6 <> 0 AND n % 4 <> 0 GROUP BY ALL ORDER BY first LIMIT 300),
+    p AS (SELECT q.*, CASE WHEN m > 2 THEN CASE WHEN q.n % 6 = 0 THEN 100 ELSE f.n END END AS price FROM q LEFT JOIN f ON f.a = q.a AND f.b = q.b)
+    SELECT ord, venue, CASE m WHEN 0 THEN 'drive' WHEN 1 THEN 'local' WHEN 2 THEN 'unknown' ELSE CASE WHEN price IS NULL THEN 'link' ELSE 'priced' END END AS cell, CAST(price AS INT) AS price FROM p""",
+)
+def flight_cells(spark, sf_dir):
+    """Prices from the cache, then from searches in order as long as the quota lasts; later requests share an earlier one's price."""
+    return _flights(spark, sf_dir)[0].select("ord", "venue", "cell", "price")

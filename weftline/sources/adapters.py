@@ -33,15 +33,20 @@ ITEM = "kind string, id string, url string, name string"
 LANDED = f"{ITEM}, payload string"
 ROUTE = "source_id: string, name: string, grade: string, grade_system: string, length_m: int, pitches: int, stars: int, disciplines: array<string>, url: string, description: string"
 SCHEMA = (
-    "source string, item string, name string, lat double, lon double, url string, description string, "
+    "source string, item string, name string, lat double, lon double, url string, description string, rock string, "
     f"south double, west double, north double, east double, routes array<struct<{ROUTE}>>, next array<struct<url: string, name: string>>, rejected string"
 )
-_NAMES = "source item name lat lon url description south west north east routes next rejected".split()
+_NAMES = "source item name lat lon url description rock south west north east routes next rejected".split()
 #: Labels of styles and the disciplines that they stand for. Fixed values.
 STYLES = {
     "trad": "trad", "sport": "sport", "boulder": "bouldering", "aid": "aid", "alpine": "alpine", "ice": "ice", "mixed": "mixed",
     "topRope": "tr", "toprope": "tr", "dws": "deepwatersolo",
 }
+#: Rocks as one source names them. Fixed values.
+STONES = {
+    "arenaria": "sandstone", "calcare": "limestone", "granito": "granite", "basalto": "basalt", "gneiss": "gneiss", "conglomerato": "conglomerate",
+    "dolomia": "dolomite", "quarzite": "quartzite", "scisto": "schist", "ardesia": "slate", "porfido": "volcanic", "calcare dolomitico": "dolomite",
+}
 _NUMBER = r"(-?[\d.]+)"
 _BOX = re.compile(rf"bbox:\s*\[\s*\[\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\]\s*,\s*\[\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\]\s*\]")
 _POINT = re.compile(rf'place:location:(latitude|longitude)"\s+content="{_NUMBER}"')
@@ -141,7 +146,27 @@ def _register_page(item: dict, page: str) -> dict:
     return {"name": item.get("name"), "description": before["text"][:700], "routes": routes}
 
 
-REGISTRY = {a.source_id: a for a in (Adapter("area_tree", _tree_page), Adapter("route_table", _table_page), Adapter("route_register", _register_page))}
+_GPS = re.compile(r"maps\.google\.com/maps\?q=(-?\d+\.\d+),(-?\d+\.\d+)")
+_STONE = re.compile(r"[Rr]occia\s+([A-Za-zÀ-ú ]{3,25})")
+
+
+def _card_page(item: dict, page: str) -> dict:
+    """A page that describes a place without its routes: a map link's point and the first four long paragraphs, each once."""
+    gps, prose, parts, depth = _GPS.search(page), [], [], 0
+    for what, tag, value in markup.events(page):
+        if tag == "p" and what in ("open", "close"):
+            paragraph = re.sub(r"\s+", " ", "".join(parts)).strip()
+            if depth and len(paragraph) > 60 and not paragraph.lower().startswith(("cookie", "questo sito")):
+                prose.append(paragraph)
+            parts, depth = [], int(what == "open")
+        elif what == "text" and depth and tag not in ("script", "style"):
+            parts.append(value)
+    stone = _STONE.search(page)
+    point = (float(gps[1]), float(gps[2])) if gps else (None, None)
+    return {"name": item.get("name"), "lat": point[0], "lon": point[1], "description": "\n\n".join(dict.fromkeys(prose[:4])), "rock": STONES.get(stone[1].strip().lower().split(" e ")[0]) if stone else None}
+
+
+REGISTRY = {a.source_id: a for a in (Adapter("area_tree", _tree_page), Adapter("route_table", _table_page), Adapter("route_register", _register_page), Adapter("place_card", _card_page))}
 
 
 def problems(place: dict) -> list[str]:
