@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.lineage import written
+from weftline.operators.lineage import Rounds
 
 
 def _rounds(areas: DataFrame) -> int:
@@ -21,13 +21,14 @@ def _rounds(areas: DataFrame) -> int:
 
 def rooted(areas: DataFrame) -> DataFrame:
     """(id) of the areas whose chain ends at a root: neither in or under a cycle nor under a missing parent."""
-    jump = written(areas.select("id", F.col("parent_id").alias("up"), F.lit(True).alias("proper")))
+    kept = Rounds(areas.sparkSession)
+    jump = kept.put(areas.select("id", F.col("parent_id").alias("up"), F.lit(True).alias("proper")), "rooted")
     for _ in range(_rounds(areas)):
         if jump.where("up IS NOT NULL").isEmpty():
             break
         to = jump.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("proper").alias("_proper"), F.lit(True).alias("_there"))
         moved = jump.where("up IS NOT NULL").join(to, "up", "left").select("id", F.col("_up").alias("up"), (F.col("proper") & F.coalesce("_proper", F.lit(False)) & F.col("_there").isNotNull()).alias("proper"))
-        jump = written(jump.where("up IS NULL").unionByName(moved))
+        jump = kept.put(jump.where("up IS NULL").unionByName(moved), "rooted")
     return jump.where("up IS NULL AND proper").select("id")
 
 
@@ -37,7 +38,8 @@ def resolve(areas: DataFrame, inherited: list[str], keep_detached: bool = False)
     Areas in or under a cycle or under a missing parent are left out, or with ``keep_detached`` stand for themselves. Ids
     must not repeat.
     """
-    proper = written(areas.join(rooted(areas), "id", "left_semi"))
+    kept = Rounds(areas.sparkSession)
+    proper = kept.put(areas.join(rooted(areas), "id", "left_semi"), "proper")
     effective = [f"eff_{c}" for c in inherited]
     state = proper.select("id", "parent_id", "name", F.array("name").alias("path_tokens"), F.lit(0).alias("depth"), *[F.col(c).alias(e) for c, e in zip(inherited, effective)], F.col("parent_id").alias("up"))
     for _ in range(_rounds(proper)):
@@ -47,7 +49,7 @@ def resolve(areas: DataFrame, inherited: list[str], keep_detached: bool = False)
         moved = state.where("up IS NOT NULL").join(to, "up").select(
             "id", "parent_id", "name", F.concat("_path", "path_tokens").alias("path_tokens"), (F.col("depth") + F.col("_depth") + 1).alias("depth"), *[F.coalesce(e, f"_{e}").alias(e) for e in effective], F.col("_up").alias("up")
         )
-        state = written(state.where("up IS NULL").unionByName(moved))
+        state = kept.put(state.where("up IS NULL").unionByName(moved), "resolved")
     found = state.drop("up")
     if keep_detached:
         lone = areas.join(found.select("id"), "id", "left_anti")
@@ -63,13 +65,14 @@ def ancestors(areas: DataFrame) -> DataFrame:
     ids = areas.select("id")
     missing = areas.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct().join(ids, "id", "left_anti")
     jump = areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up"))
+    kept = Rounds(areas.sparkSession)
     pairs = ids.unionByName(missing).select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     for k in range(_rounds(areas)):
         if jump.isEmpty():
             break
         beyond = pairs.select(F.col("id").alias("up"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
-        pairs = written(pairs.unionByName(jump.join(beyond, "up").select("id", "ancestor", "distance")))
-        jump = written(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")))
+        pairs = kept.put(pairs.unionByName(jump.join(beyond, "up").select("id", "ancestor", "distance")), "pairs")
+        jump = kept.put(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")), "jump")
     if not jump.isEmpty():  # only a cycle has an ancestor so far away
         pairs = pairs.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
     return pairs.join(missing, "id", "left_anti")
@@ -84,7 +87,8 @@ def fold_up(areas: DataFrame, own: dict[str, Column], merge: dict[str, Callable[
     are areas. Ids must not repeat.
     """
     names = list(own)
-    state = written(areas.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("step"), *[c.alias(n) for n, c in own.items()]))
+    kept = Rounds(areas.sparkSession)
+    state = kept.put(areas.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("step"), *[c.alias(n) for n, c in own.items()]), "folded")
     for _ in range(_rounds(areas)):
         if state.where("up IS NOT NULL").isEmpty():
             break
@@ -92,7 +96,7 @@ def fold_up(areas: DataFrame, own: dict[str, Column], merge: dict[str, Callable[
         joined = state.where("up IS NOT NULL").join(above, "up", "left")
         put = [F.when(F.col("_there"), merge[n](F.col(n), F.col(f"_{n}"), F.col("step"))).otherwise(F.col(n)).alias(n) for n in names]
         moved = joined.select("id", F.col("_up").alias("up"), (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step"), *put)
-        state = written(state.where("up IS NULL").unionByName(moved))
+        state = kept.put(state.where("up IS NULL").unionByName(moved), "folded")
     return state.select("id", *names, F.col("up").isNotNull().alias("circular"))
 
 
@@ -113,11 +117,12 @@ def published_areas(areas: DataFrame, routes: DataFrame) -> DataFrame:
     A mark goes up by doubling: after k rounds it has reached 2**k levels, with one row an area.
     """
     live = routes.where("status = 'publish'").select(F.col("area_id").alias("id")).distinct()
-    marked = written(areas.select("id").join(live, "id", "left_semi"))
-    jump = written(areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up")))
+    kept = Rounds(areas.sparkSession)
+    marked = kept.put(areas.select("id").join(live, "id", "left_semi"), "marked")
+    jump = kept.put(areas.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up")), "jump")
     for _ in range(_rounds(areas)):
         if jump.isEmpty():
             break
-        marked = written(marked.unionByName(jump.join(marked, "id").select(F.col("up").alias("id"))).distinct())
-        jump = written(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")))
+        marked = kept.put(marked.unionByName(jump.join(marked, "id").select(F.col("up").alias("id"))).distinct(), "marked")
+        jump = kept.put(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")), "jump")
     return marked

@@ -81,7 +81,10 @@ def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], name:
 
 
 class Rounds:
-    """Tables of an iterative operator by name; what later rounds don't read any more is removed at once, the rest at Python's end."""
+    """Tables of an iterative operator by name: what a new one of a name was made from is removed once it is written.
+
+    The last ones stay until Python ends, as results are read from them.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
@@ -89,6 +92,7 @@ class Rounds:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = own_path(self.spark, name)
         df.write.parquet(path)
+        self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
