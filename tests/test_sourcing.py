@@ -117,3 +117,19 @@ def test_flight_cells_spend_in_order(spark):
                 want[n] = ("priced", known[key]) if key in known else ("link", None)
         assert {c.ord: (c.cell, c.price) for c in cells.collect()} == want
         assert {(s.origin, s.to, s.dates): s.price for s in spent.collect()} == {k: v for k, v in known.items() if k not in cache}
+
+
+def test_mentions_and_their_dates(spark):
+    import datetime as dt
+
+    today = dt.date(2026, 3, 1)
+    said = ["3 days ago", "1 week ago", "2 months ago", " 50 minutes ago", "Jul 15, 2026", "5 Jan 2026", "2026-02-28", "yesterday", "", None, "x days ago"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    got = [r.d for r in rows.orderBy("i").select(payloads.published(F.col("s"), F.lit(today)).alias("d")).collect()]
+    assert got == [dt.date(2026, 2, 26), dt.date(2026, 2, 22), dt.date(2025, 12, 31), today, dt.date(2026, 7, 15), dt.date(2026, 1, 5), dt.date(2026, 2, 28), None, None, None, None]
+    answers = spark.createDataFrame([("s", "l", "q", t) for t in (None, "", "{}", '{"organic_results": [{"link": "https://a.b:1/c?d"}, {"title": "no link"}, {"link": ""}]}')], "seed string, lens string, query string, payload string")
+    docs = [tuple(r) for r in payloads.mention_docs(answers, F.lit(today)).collect()]
+    assert docs == [("s", "l", "q", None, "", "https://a.b:1/c?d", "a.b:1", "", None, None)]
+    asked = payloads.search_queries(spark.createDataFrame([("A",), ("B",)], "seed string"), {"x": "{seed} and {seed}", "y": "z"})
+    assert sorted(map(tuple, asked.collect())) == [("A", "x", "A and A"), ("A", "y", "z"), ("B", "x", "B and B"), ("B", "y", "z")]
+    assert payloads.route_database(answers.select("payload")).count() == 0

@@ -287,3 +287,44 @@ def _flights(spark, sf_dir):
 def flight_cells(spark, sf_dir):
     """Prices from the cache, then from searches in order as long as the quota lasts; later requests share an earlier one's price."""
     return _flights(spark, sf_dir)[0].select("ord", "venue", "cell", "price")
+
+
+LENSES = {"news": '"{seed}" climbing news', "access": '"{seed}" access OR closed', "pdf": '"{seed}" filetype:pdf'}
+
+
+def _answers(spark, sf_dir):
+    """Each supplier's searches with its part's pages as results: the links are those of the pages."""
+    seeds = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("seed"))
+    queries = payloads.search_queries(seeds, LENSES)
+    n = F.col("page_id")
+    date = F.when(n % 6 == 0, _text(n % 20, " days ago")).when(n % 6 == 1, "2 weeks ago").when(n % 6 == 2, "1 month ago").when(n % 6 == 3, "Jul 5, 2026").when(n % 6 == 4, "5 hours ago").otherwise("soon")
+    result = F.struct((n % 9 + 1).cast("int").alias("position"), F.when(n % 4 != 0, _text("T", n)).alias("title"), F.when(n % 10 != 0, F.col("url")).alias("link"), F.when(n % 7 != 6, date).alias("date"))
+    pages = load(spark, sf_dir, "pages").groupBy((n % 100).alias("k")).agg(F.to_json(F.struct(F.collect_list(result).alias("organic_results"))).alias("payload"))
+    return queries.join(seeds, "seed").join(pages, "k", "left").select("seed", "lens", "query", F.when(F.col("lens") == "pdf", F.lit("{}")).otherwise(F.coalesce("payload", F.lit("no answer"))).alias("payload")), queries
+
+
+_FOUND = "f AS (SELECT s_name AS seed, page_id, url FROM supplier JOIN pages ON page_id % 100 = s_suppkey WHERE page_id % 10 <> 0 AND url <> '')"
+
+
+@PLANS.plan(
+    "src_28_mentions",
+    f"""WITH {_FOUND} SELECT seed, lens, page_id % 9 + 1 AS position, CASE WHEN page_id % 4 <> 0 THEN 'T' || page_id ELSE '' END AS title, url, regexp_extract(url, '^[^/?#]*//([^/?#]*)', 1) AS site,
+    CASE WHEN page_id % 7 = 6 THEN NULL ELSE CASE page_id % 6 WHEN 0 THEN DATE '2026-07-20' - CAST(page_id % 20 AS INT) WHEN 1 THEN DATE '2026-07-06' WHEN 2 THEN DATE '2026-06-20' WHEN 3 THEN DATE '2026-07-05' WHEN 4 THEN DATE '2026-07-20' END END AS published_at FROM f, (VALUES ('news'), ('access')) AS t(lens)""",
+)
+def mention_docs(spark, sf_dir):
+    docs = payloads.mention_docs(_answers(spark, sf_dir)[0], F.lit("2026-07-20").cast("date"))
+    return docs.select("seed", "lens", F.col("position").cast("long").alias("position"), "title", "url", "site", "published_at")
+
+
+@PLANS.plan("src_28_search_counts", f"""WITH {_FOUND} SELECT s_name AS seed, lens, '"' || s_name || '"' || CASE lens WHEN 'news' THEN ' climbing news' WHEN 'access' THEN ' access OR closed' ELSE ' filetype:pdf' END AS query, CASE WHEN lens = 'pdf' THEN 0 ELSE (SELECT count(*) FROM f WHERE f.seed = s_name) END AS docs FROM supplier, (VALUES ('news'), ('access'), ('pdf')) AS t(lens)""")
+def search_counts(spark, sf_dir):
+    answers, queries = _answers(spark, sf_dir)
+    return payloads.doc_counts(payloads.mention_docs(answers, F.lit("2026-07-20").cast("date")), queries)
+
+
+@PLANS.plan("src_13_route_database", "SELECT p_partkey AS id, p_name AS name, CAST(p_size AS DOUBLE) + 0.5 AS lat, CASE WHEN p_partkey % 4 <> 0 THEN -6.25::DOUBLE END AS lon, CASE WHEN p_size % 3 <> 0 THEN 'E' || p_size END AS grade, CAST(p_size AS INT) AS length_m FROM part")
+def route_database(spark, sf_dir):
+    n = F.col("p_partkey")
+    climb = F.struct(n.alias("id"), F.col("p_name").alias("climbName"), _text(F.col("p_size"), ".5,", F.when(n % 4 != 0, "-6.25").otherwise("")).alias("geoLocation"), F.when(F.col("p_size") % 3 != 0, _text("E", F.col("p_size"))).otherwise("").alias("originalGrade"), F.col("p_size").alias("length"))
+    landed = load(spark, sf_dir, "part").groupBy(F.col("p_brand")).agg(F.to_json(F.struct(F.collect_list(climb).alias("climbs"))).alias("payload"))
+    return payloads.route_database(landed.select("payload").unionByName(spark.range(1).select(F.lit("{}").alias("payload")))).select("id", "name", "lat", "lon", "grade", "length_m")

@@ -186,3 +186,49 @@ def lodgings(landed: DataFrame, venues: DataFrame, km: float = LODGING_KM) -> Da
     near = near.withColumn("km", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo")), 1)).where(F.col("km") <= km)
     listed = near.groupBy("venue").agg(F.array_sort(F.collect_list(F.struct("km", "ord", "name", "kind", "web"))).alias("l"))  # an answer has 80 at most
     return listed.select("venue", F.posexplode("l").alias("pos", "s")).select("venue", "s.name", "s.kind", "s.km", "s.web", (F.col("pos") + 1).alias("pos"))
+
+
+_FOUND = "organic_results array<struct<position: int, title: string, link: string, snippet: string, date: string>>"
+#: How long ago units are, in days. Fixed values.
+UNITS = {"minute": 0, "hour": 0, "day": 1, "week": 7, "month": 30}
+
+
+def published(raw: Column, today: Column) -> Column:
+    """The date that a search states: so many minutes, hours, days, weeks or months (of 30 days) ago, or a date; null if neither."""
+    ago = r"^(\d+)\s+(minute|hour|day|week|month)s?\s+ago"
+    said = F.trim(raw)
+    days = F.regexp_extract(said, ago, 1).try_cast("int") * _mapped(F.regexp_extract(said, ago, 2), UNITS)
+    written = [F.try_to_timestamp(said, F.lit(f)).cast("date") for f in ("MMM d, yyyy", "d MMM yyyy", "yyyy-MM-dd")]
+    return F.when(said.rlike(ago), F.date_sub(today, days)).otherwise(F.coalesce(*written))
+
+
+def search_queries(seeds: DataFrame, lenses: dict[str, str]) -> DataFrame:
+    """(seed, lens, query) of the searches for each seed: one for each lens, whose text names the seed as ``{seed}``."""
+    each = F.array(*[F.struct(F.lit(k).alias("lens"), F.lit(q).alias("q")) for k, q in lenses.items()])
+    return seeds.select("seed", F.explode(each).alias("l")).select("seed", "l.lens", F.replace(F.col("l.q"), F.lit("{seed}"), F.col("seed")).alias("query"))
+
+
+def mention_docs(landed: DataFrame, today: Column) -> DataFrame:
+    """(seed, lens, query, position, title, url, site, snippet, published_at, published_raw) of landed answers (seed, lens, query, payload).
+
+    Results without a link are left out; texts that are missing are empty; the site is the link's host as it stands.
+    """
+    r = landed.select("seed", "lens", "query", F.explode(F.from_json("payload", _FOUND)["organic_results"]).alias("r")).where("r.link <> ''")
+    return r.select(
+        "seed", "lens", "query", "r.position", F.coalesce("r.title", F.lit("")).alias("title"), F.col("r.link").alias("url"), F.regexp_extract("r.link", r"^[^/?#]*//([^/?#]*)", 1).alias("site"),
+        F.coalesce("r.snippet", F.lit("")).alias("snippet"), published(F.col("r.date"), today).alias("published_at"), F.col("r.date").alias("published_raw"),
+    )
+
+
+def doc_counts(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """How many documents each search gave, those without any included."""
+    found = docs.groupBy("seed", "lens").agg(F.count("*").alias("_n"))
+    return queries.join(found, ["seed", "lens"], "left").select("seed", "lens", "query", F.coalesce("_n", F.lit(0)).alias("docs"))
+
+
+def route_database(landed: DataFrame) -> DataFrame:
+    """(id, name, lat, lon, grade, length_m, pitches) of the climbs of landed databases (payload); a payload without any gives none."""
+    schema = "climbs array<struct<id: bigint, climbName: string, geoLocation: string, originalGrade: string, length: int, pitches: int>>"
+    c = landed.select(F.explode(F.from_json("payload", schema)["climbs"]).alias("c"))
+    at = lambda i: F.get(F.split("c.geoLocation", ","), F.lit(i)).try_cast("double")
+    return c.select("c.id", F.col("c.climbName").alias("name"), at(0).alias("lat"), at(1).alias("lon"), F.nullif("c.originalGrade", F.lit("")).alias("grade"), F.col("c.length").alias("length_m"), "c.pitches")
