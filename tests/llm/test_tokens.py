@@ -204,6 +204,18 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
 
 
+def test_pipeline_without_labels_or_benchmark(spark, tmp_path):
+    """Without labels nobody is rejected, without a benchmark nobody is contaminated; empty documents give an empty result."""
+    rows = [(1, "one two three four five six"), (2, "ONE two three four five six"), (3, ""), (4, None), (None, "seven eight nine ten eleven twelve")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, some, want in (("all", docs, {2, 4, None}), ("none", docs.limit(0), set())):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {x.doc_id for x in got} == want
+
+
 def test_stages_take_nulls_and_empty_tables(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a " * 20_000, "en", "s", 40_000)], "doc_id long, text string, lang string, source string, n_chars long")
     bench = spark.createDataFrame([(None, None)], "item_id long, text string")

@@ -186,7 +186,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     Items of 1 to 7 words must occur in full, those without words (null and empty ones, too) never match; in items of 8 to 11
     words one word may differ. Null or empty documents match nothing. Repeated ids are judged together, null ids are
-    one group. Extra columns are ignored. Empty tables give an empty result.
+    one group. A text of any length is held whole by one task, with its words' hashes; what is shuffled of it are the words around
+    hits. Extra columns are ignored. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     staged = Staged(spark)

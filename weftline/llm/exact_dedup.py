@@ -123,8 +123,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ("min" or "max") says which identifier of a group stays.
 
     Null texts count as empty, and all empty texts are one group. Null ids sort before all others and are a keep_id only
-    if the group has no other. Of rows that repeat id and text, exactly one is kept. Extra columns are ignored. An empty
-    table gives an empty result.
+    if the group has no other. Of rows that repeat id and text, exactly one is kept; rows of one text and one id (many null ids,
+    say) lie in one partition, as no key can part them. A text of any length is one row of the sort and is held whole beside
+    its neighbour. Extra columns are ignored. An empty table gives an empty result.
     """
     last = _check(keep)
     spark = docs.sparkSession

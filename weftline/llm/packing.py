@@ -279,8 +279,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     Texts are tokenised whole, END is appended, and only what is longer than ``capacity`` is cut. Null and empty texts are
     one piece of END alone. Repeated rows and null ids are packed like any other. Extra columns are ignored. An empty table
-    gives an empty result. The driver sees one count for each length and returns at most a few places for each, whatever
-    the number of documents.
+    gives an empty result. A text of any length is tokenised by one task, which holds it and its ids. The driver sees one count
+    for each length and returns at most a few places for each, whatever the number of documents.
     """
     spark = docs.sparkSession
     staged = Staged(spark)

@@ -286,7 +286,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The counts and base_sha256 are of the base spans (``kind:start:end``, in code points, comma-joined by kind, then
     start); ``spans`` lists the base spans and those that the classifier adds, kinds with base rules first.
 
-    Null and empty texts have no spans. Repeated rows and null ids give a result each; extra columns are ignored; an empty
+    Null and empty texts have no spans. A text of any length is searched whole by one task, in time that grows with it and its
+    spans; a row holds all of a text's spans. Repeated rows and null ids give a result each; extra columns are ignored; an empty
     table gives an empty result. The driver sees one count for each vote pattern and kind and one weight for each feature
     bucket, both bounded by parameters.
     """

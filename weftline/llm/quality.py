@@ -159,8 +159,9 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     """Score every whole text: id, expected_grade, tail_probability, kept.
 
     ``tail_probability`` is that of reaching ``at_least`` (default: the second lowest grade); from SELECT_FROM a text is
-    kept. Null, empty and blank texts score by their length alone. Repeated rows give repeated results; extra columns are
-    ignored; an empty table gives an empty result. A model of one grade gives everyone that grade and keeps them.
+    kept. Null, empty and blank texts score by their length alone. Null ids are scored like others. A text of any length is split
+    into words by one task, which holds them. Repeated rows give repeated results; extra columns are ignored; an empty table gives an
+    empty result. A model of one grade gives everyone that grade and keeps them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -177,7 +178,10 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: Ordinal, text_col: str = "text", at_least: int | None = None) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose text is kept; decided row by row, so repeated ids don't mix."""
+    """The rows of ``docs``, all their columns, whose text is kept; decided row by row, so repeated and null ids don't mix.
+
+    Texts of any length: as in ``grade``. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     k = 0 if at_least is None else sum(g < at_least for g in model.grades) - 1

@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows link if their fingerprints differ in at most ``distance`` bits. Null, empty and blank texts have fingerprint
     zero and link like any other. Repeated rows give repeated results. A component whose ids are all null has a null
-    component_id. Extra columns are ignored. An empty table gives an empty result.
+    component_id. A text of any length is read whole by one task, which holds it and 20 times its size while it counts bits.
+    Extra columns are ignored. An empty table gives an empty result.
     """
     staged = Staged(docs.sparkSession)
     rows = staged.put(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

@@ -506,7 +506,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every byte is removed that lies in LENGTH bytes which also start anywhere else, in the same text or another, judged on
     the texts as given; matches don't cross texts. Null texts count as empty, and texts shorter than LENGTH lose nothing.
     Repeated rows count as different texts, so texts of LENGTH bytes and more that occur twice are removed in full. Null
-    ids are allowed; extra columns are ignored; an empty table gives an empty result.
+    ids are allowed; extra columns are ignored; an empty table gives an empty result. A text of any length is read by one task,
+    whose windows are handled CHUNK at a time; the text itself is held whole, as is the list of its removed runs.
     """
     staged = Staged(docs.sparkSession)
     spans = repeated_windows(docs, staged, id_col, text_col).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))

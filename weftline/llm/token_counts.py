@@ -131,7 +131,8 @@ def count_tokens(docs: DataFrame, first: list[bytes], inner: list[bytes], id_col
 
     Words are the runs between ASCII white space of the whole text; each is read as ``prefix`` and its UTF-8 bytes. Null,
     empty and blank texts count zero. A word that the vocabulary can't cut counts one token and one unknown. Repeated rows
-    give repeated results; extra columns are ignored; an empty table gives an empty result. The vocabulary's automaton is
+    give repeated results, null ids results of their own; extra columns are ignored; an empty table gives an empty result. A text
+    of any length is split into words by one task, which holds them. The vocabulary's automaton is
     sent to the tasks: its size is the vocabulary's, not the data's.
     """
     matcher = docs.sparkSession.sparkContext.broadcast(LinearMatcher(first, inner))
