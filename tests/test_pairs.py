@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.operators import records
+import pytest
+from weftline.operators import proximity, records
 
 
 def watched(monkeypatch, module):
@@ -29,3 +30,15 @@ def test_same_routes_meet_as_kinds(spark, monkeypatch):
     want = {(a.id, r.source, r.external_id) for a in all_rows for b in all_rows for r in b.refs if a.crag != b.crag and r.source not in [x.source for x in a.refs]}
     assert got == sorted(want)
     assert asked == [4]
+
+
+@pytest.mark.parametrize("km", [40, 300])
+def test_nearest_makes_few_pairs(spark, monkeypatch, km):
+    points = spark.range(3000).selectExpr("id", "CASE WHEN id % 31 = 0 THEN NULL ELSE CAST(id % 1000 * 7919 % 120000 AS DOUBLE) / 6000 - 10 END AS lat", "CAST(id % 1000 * 104729 % 360000 AS DOUBLE) / 18000 - 10 AS lon", "id % 3 = 0 AS tidal").cache()
+    every = proximity.within_km(points, points, km).cache()
+    want = sorted((r.id, r.pos, r.b_id, r.b_tidal) for r in proximity.nearest(every, "id", "b_id").collect())
+    asked, met = watched(monkeypatch, proximity)
+    got = sorted((r.id, r.pos, r.b_id, r.b_tidal) for r in proximity.nearest_within(points, points, "id", "id", km).collect())
+    assert got == want
+    assert asked[0] == 1000
+    assert sum(met) < every.count() / 2
