@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from weftline.operators import proximity, records
+from weftline.plans import choices
 
 
 def watched(monkeypatch, module):
@@ -42,3 +43,12 @@ def test_nearest_makes_few_pairs(spark, monkeypatch, km):
     assert got == want
     assert asked[0] == 1000
     assert sum(met) < every.count() / 2
+
+
+@pytest.mark.parametrize("query", [choices.cards, choices.tidal])
+def test_nearest_queries_make_few_pairs(spark, monkeypatch, tmp_path, query):
+    spark.range(400).selectExpr("id * 360000 + 1 AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id * 360000 + 1 AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "1 AS p_size", "'t' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    _, met = watched(monkeypatch, proximity)
+    query(spark, str(tmp_path)).collect()
+    assert sum(met) == 6

@@ -289,8 +289,7 @@ def _nearest(spark, sf_dir):
 
 @PLANS.plan("jn_09_tidal", f"WITH {_V}, {_R}, {_NEAR} SELECT venue, bool_or(tidal) AS tidal FROM n WHERE pos <= 6 GROUP BY venue")
 def tidal(spark, sf_dir):
-    pairs = proximity.within_km(made(spark, sf_dir, "customer", VENUES), made(spark, sf_dir, "part", ROUTES), 300)
-    return proximity.tidal_near(pairs, "id", "b_id", 300).withColumnRenamed("id", "venue")
+    return _nearest(spark, sf_dir).groupBy(F.col("id").alias("venue")).agg(F.bool_or("b_tidal").alias("tidal"))
 
 
 @PLANS.plan("jn_15_last_before", "SELECT o_orderkey, e.ts AS last_ts FROM orders ASOF LEFT JOIN (SELECT user_id, ts FROM events) e ON o_custkey = e.user_id AND o_orderdate + INTERVAL 10950 DAY > e.ts")
