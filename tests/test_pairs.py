@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
+
 from weftline.operators import proximity, records
 from weftline.plans import choices
 
@@ -52,3 +54,13 @@ def test_nearest_queries_make_few_pairs(spark, monkeypatch, tmp_path, query):
     _, met = watched(monkeypatch, proximity)
     query(spark, str(tmp_path)).collect()
     assert sum(met) == 6
+
+
+def test_pairs_of_one_name_are_many_tasks_work(spark):
+    rows = spark.range(2500).selectExpr("id", "IF(id % 5 = 0, 'other', 'one') AS name", "IF(id % 7 = 0, NULL, id % 4) AS kind").coalesce(1)
+    found = records.name_pairs(rows, "id", "name", "kind").withColumn("part", F.spark_partition_id()).cache()
+    plain = [(r.id, r.name, r.kind) for r in rows.collect() if r.kind is not None]
+    want = sum(1 for a in plain for b in plain if a[0] < b[0] and a[1] == b[1] and a[2] != b[2])
+    assert found.where("a < b").count() == found.select("a", "b").distinct().count() == want
+    most = found.groupBy("part").count().agg(F.max("count")).first()[0]
+    assert most < want / 2

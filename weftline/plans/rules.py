@@ -9,7 +9,7 @@ from weftline.functions import conditions, text
 from weftline.operators import mentions, ranking
 from weftline.operators.graph import connected
 from weftline.operators.lineage import numbered
-from weftline.operators.records import entity_links, place_pairs
+from weftline.operators.records import entity_links, name_pairs, place_pairs
 from weftline.operators.search import with_month
 from weftline.plans.choices import _KM as KM_SQL
 from weftline.plans.choices import ROUTES, VENUES
@@ -139,9 +139,7 @@ def last_price(spark, sf_dir):
 
 @PLANS.plan("jn_18_same_name", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand")
 def same_name(spark, sf_dir):
-    p = load(spark, sf_dir, "part")
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("a.p_brand") != F.col("b.p_brand"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    return name_pairs(load(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand")
 
 
 @PLANS.plan("jn_20_seed_class", "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey) THEN 'in-corpus' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'scraped-only' ELSE 'not-ingested' END AS class FROM customer")
