@@ -56,6 +56,16 @@ def test_nearest_queries_make_few_pairs(spark, monkeypatch, tmp_path, query):
     assert sum(met) == 6
 
 
+def test_within_measures_each_pair_of_points_once(spark, monkeypatch, tmp_path):
+    spark.range(400).selectExpr("id * 360000 + 1 AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id * 360000 + 1 AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "1 AS p_size", "'t' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    _, met = watched(monkeypatch, proximity)
+    got = choices.within(spark, str(tmp_path))
+    there = sum(1 for i in range(400) if (i * 360000 + 1) % 31)
+    assert got.count() == got.distinct().count() == there * 400
+    assert met == [1]
+
+
 def test_pairs_of_one_name_are_many_tasks_work(spark):
     rows = spark.range(2500).selectExpr("id", "IF(id % 5 = 0, 'other', 'one') AS name", "IF(id % 7 = 0, NULL, id % 4) AS kind").coalesce(1)
     found = records.name_pairs(rows, "id", "name", "kind").withColumn("part", F.spark_partition_id()).cache()

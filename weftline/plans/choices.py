@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import dates, geo, text
 from weftline.operators import hierarchy, proximity, ranking, records
+from weftline.operators.lineage import listed
 from weftline.operators.search import Facets, search
 from weftline.plans.common import Plans, load, six
 from weftline.plans.rollups import cte, made, rounded
@@ -271,8 +272,10 @@ def nearest_coordinates(spark, sf_dir):
 
 @PLANS.plan("jn_07_within_km", f"WITH {_V}, {_R} SELECT v.id AS venue, r.id AS route, {_Z(_KM('v.lat', 'v.lon', 'r.lat', 'r.lon'))} AS km FROM v JOIN r ON {_KM('v.lat', 'v.lon', 'r.lat', 'r.lon')} <= 150")
 def within(spark, sf_dir):
-    pairs = proximity.within_km(made(spark, sf_dir, "customer", VENUES), made(spark, sf_dir, "part", ROUTES), 150)
-    return pairs.select(F.col("id").alias("venue"), F.col("b_id").alias("route"), six(F.col("km")).alias("km"))
+    # Each pair of points is measured once; rows come from the points' lists last.
+    points = lambda table, columns: listed(made(spark, sf_dir, table, columns).where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon"), ["lat", "lon"], "id")
+    pairs = proximity.within_km(points("customer", VENUES), points("part", ROUTES), 150).select("id", "b_id", six(F.col("km")).alias("km"))
+    return pairs.select(F.explode("id").alias("venue"), "b_id", "km").select("venue", F.explode("b_id").alias("route"), "km")
 
 
 _NEAR = f"p AS (SELECT v.id AS venue, r.id AS route, r.tidal, {_KM('v.lat', 'v.lon', 'r.lat', 'r.lon')} AS km FROM v JOIN r ON {_KM('v.lat', 'v.lon', 'r.lat', 'r.lon')} <= 300), n AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY round_even(km, 0), route) AS pos FROM p)"
