@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import proximity, records
+from weftline.operators import crawl, curation, proximity, records
 from weftline.plans import choices
 
 
@@ -23,6 +23,24 @@ def watched(monkeypatch, module):
     return asked, met
 
 
+def most_joined(df):
+    """The most rows that a join of the query has made."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        if "Join" in name and rows.isDefined():
+            most = max(most, rows.get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
 def test_same_routes_meet_as_kinds(spark, monkeypatch):
     asked, _ = watched(monkeypatch, records)
     rows = spark.range(200).selectExpr("id", "'Line' AS name", "id % 2 AS crag", "10.0D AS lat", "20.0D + 0.001D * (id % 2) AS lon", "array(struct(CAST(id % 2 AS STRING) AS source, concat('e', id % 60) AS external_id)) AS refs")
@@ -74,3 +92,21 @@ def test_pairs_of_one_name_are_many_tasks_work(spark):
     assert found.where("a < b").count() == found.select("a", "b").distinct().count() == want
     most = found.groupBy("part").count().agg(F.max("count")).first()[0]
     assert most < want / 2
+
+
+def test_best_matches_of_different_names_alone(spark):
+    places = spark.range(600).selectExpr("id", "IF(id % 2 = 0, 'North Wall', ' wall') AS name", "IF(id % 3 = 0, 'Wales', 'Union') AS country")
+    candidates = spark.range(300).selectExpr("concat('u', id) AS uuid", "IF(id % 3 = 0, 'Wall', 'the north wall') AS name", "'Union' AS country", "id % 50 AS climbs")
+    found = crawl.best_matches(places, candidates, {"Wales": "Union"})
+    assert most_joined(found) <= 600
+    # Most climbs, then the smallest uuid; 'wall' prefers the equal name.
+    assert {(r.id % 2, r.uuid, r.climbs) for r in found.collect()} == {(0, "u149", 49), (1, "u249", 49)}
+    assert found.count() == 600
+
+
+def test_fuzzy_matches_of_different_names_alone(spark):
+    sheet = spark.range(60).selectExpr("id AS row", "concat('wal', chr(97 + id % 20), ' north') AS name")
+    venues = spark.range(3000).selectExpr("id AS venue", "IF(id % 2 = 0, 'walla north', 'nothing') AS name")
+    found = curation.fuzzy_matches(sheet, venues)
+    assert most_joined(found) <= 3000
+    assert {(r.venue % 2, r.row) for r in found.collect()} == {(0, 0)} and found.count() == 1500

@@ -72,20 +72,25 @@ def best_matches(places: DataFrame, candidates: DataFrame, aliases: dict[str, st
     A candidate counts if it has climbs, lies in the place's country (whose aliases are resolved) and its name has every word of
     the place's. An equal name goes before all others, then most climbs, then the smallest uuid. Places and candidates meet by
     the country and the place's rarest word among the candidates' names, so that a common word makes no pairs of its own.
-    Places without a word or without a candidate are left out.
+    Places without a word or without a candidate are left out. Places of one name and country ask once, and of the candidates of
+    one name and country the first answers for all: pairs are made of different names alone.
     """
     low = lambda c: F.lower(F.trim(c))
-    words = lambda c: F.array_distinct(F.filter(F.split(low(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.col(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     given = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.col("country")] if aliases else F.lit(None)
-    wanted = places.select("id", low(F.col("name")).alias("_name"), F.coalesce(given, "country").alias("_country"), words(F.col("name")).alias("_words"))
-    offered = candidates.where("climbs > 0").select("uuid", "climbs", low(F.col("name")).alias("_offered"), F.col("country").alias("_country"), words(F.col("name")).alias("_has"))
-    offered = offered.withColumn("_word", F.explode("_has"))
+    sought = places.select("id", low(F.col("name")).alias("_name"), F.coalesce(given, "country").alias("_country"))
+    wanted = sought.select("_name", "_country").distinct().withColumn("_words", words("_name"))
+    first = F.struct((-F.col("climbs")).alias("fewer"), "uuid")
+    offered = candidates.where("climbs > 0").groupBy(low(F.col("name")).alias("_offered"), F.col("country").alias("_country")).agg(F.min(first).alias("_first"), F.min_by("climbs", first).alias("climbs"))
+    offered = offered.withColumn("_has", words("_offered")).withColumn("_word", F.explode("_has"))
     often = offered.groupBy("_country", "_word").agg(F.count("*").alias("_n"))
+    name = ["_name", "_country"]
     each = wanted.withColumn("_word", F.explode("_words")).join(often, ["_country", "_word"])  # a word that no candidate has: no match
-    rarest = each.groupBy("id").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
-    met = wanted.join(rarest, "id").join(offered, ["_country", "_word"]).where(F.size(F.array_except("_words", "_has")) == 0)
-    order = F.struct((F.col("_offered") != F.col("_name")).alias("other"), (-F.col("climbs")).alias("fewer"), "uuid")
-    return met.groupBy("id").agg(F.min(order).alias("b"), F.min_by("climbs", order).alias("climbs")).select("id", "b.uuid", "climbs")
+    rarest = each.groupBy(*name).agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    met = wanted.join(rarest, name).join(offered, ["_country", "_word"]).where(F.size(F.array_except("_words", "_has")) == 0)
+    order = F.struct((F.col("_offered") != F.col("_name")).alias("other"), "_first.fewer", "_first.uuid")
+    best = met.groupBy(*name).agg(F.min(order).alias("b"), F.min_by("climbs", order).alias("climbs"))
+    return sought.join(best, name).groupBy("id").agg(F.min("b").alias("b"), F.min_by("climbs", "b").alias("climbs")).select("id", "b.uuid", "climbs")
 
 
 def seed(frontier: DataFrame, matches: DataFrame, source: str) -> DataFrame:
