@@ -219,19 +219,20 @@ def fuzzy_matches(sheet: DataFrame, venues: DataFrame, least: float = 0.8) -> Da
     Words resemble each other from a similarity of ``least`` (0.8 or more) on. Such words are equal, share two neighbouring
     letters, or are two letters and the same with one between them; so an equi-join on these, the first and last of three
     letters among them, proposes every pair of different words, and each is compared once. Rows of one name count as their
-    first.
+    first, and venues of one name ask once.
     """
     if least < 0.8:
         raise ValueError("least: at least 0.8, as shared letters propose the pairs")
-    words = lambda df, key: df.select(key, F.explode(text.tokens(F.col("name"))).alias("word"))
-    s, v = words(sheet.groupBy("name").agg(F.min("row").alias("row")), "row"), words(venues, "venue")
+    words = lambda df, key: df.select(F.col(key), F.explode(text.tokens(F.col("name"))).alias("word"))
+    s, v = words(sheet.groupBy("name").agg(F.min("row").alias("row")), "row"), words(venues.select("name").distinct(), "name")
     pieces = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: w.substr(i, F.lit(2))))
     ends = lambda w: F.when(F.length(w) == 3, F.array(F.concat(w.substr(1, 1), w.substr(3, 1)))).otherwise(F.array().cast("array<string>"))
     keyed = lambda df, name: df.select(F.col("word").alias(name)).distinct().withColumn("piece", F.explode(F.array_union(pieces(F.col(name)), ends(F.col(name)))))
     close = keyed(s, "a").join(keyed(v, "b"), "piece").select("a", "b").distinct().where(similarity(F.col("a"), F.col("b")) >= least)
-    hits = s.join(close, F.col("word") == F.col("a")).select("row", "a", "b").join(v, F.col("b") == F.col("word")).groupBy("row", "venue").agg(F.count_distinct("a").alias("n"))
+    hits = s.join(close, F.col("word") == F.col("a")).select("row", "a", "b").join(v, F.col("b") == F.col("word")).groupBy("row", "name").agg(F.count_distinct("a").alias("n"))
     sizes = s.groupBy("row").agg(F.count("*").alias("all"))
-    return hits.join(sizes, "row").where("n = all").groupBy("venue").agg(F.min("row").alias("row"))
+    named = hits.join(sizes, "row").where("n = all").groupBy("name").agg(F.min("row").alias("row"))
+    return venues.select("venue", "name").join(named, "name").groupBy("venue").agg(F.min("row").alias("row"))
 
 
 def frontier(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
