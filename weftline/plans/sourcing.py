@@ -29,7 +29,9 @@ def _areas(spark, sf_dir):
         k.cast("string").alias("uuid"), _text("c", k).alias("name"), F.when(k % 4 == 0, -1).otherwise((k % 50).cast("int")).alias("length"), (k % 7 - 1).cast("int").alias("boltsCount"), F.when(k % 5 == 0, "pg13").otherwise("none").alias("safety"),
         grades.alias("grades"), F.create_map(F.lit("trad"), k % 2 == 0, F.lit("sport"), k % 3 == 0, F.lit("odd"), F.lit(True)).alias("type"),
     )
-    climbs = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.to_json(F.collect_list(climb)).alias("climbs"))
+    # As many tasks as there are cores to read the answers: orders are few bytes, what is made of them is many.
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(8 * spark.sparkContext.defaultParallelism, "o_custkey")
+    climbs = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.to_json(F.collect_list(climb)).alias("climbs"))
     customer = load(spark, sf_dir, "customer").join(climbs, "c_custkey", "left")
     child = _text('{"uuid": "u', n, '", "areaName": "below", "totalClimbs": ', n % 3, "}")
     payload = _text('{"uuid": "', n, '", "areaName": "A', n, '", "gradeContext": ', F.when(n % 3 == 0, '"FR"').when(n % 3 == 1, '"xx"').otherwise("null"), ', "pathTokens": ["Land", "Middle", "Low", "A"], "metadata": {"lat": 1.5, "lng": ', n % 90, '}, "children": [', child, '], "climbs": ', F.coalesce("climbs", F.lit("null")), "}")

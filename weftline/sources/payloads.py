@@ -50,9 +50,13 @@ def _mapped(value: Column, words: dict[str, str]) -> Column:
 
 
 def _read(landed: DataFrame, schema: str) -> DataFrame:
-    parsed = F.from_json("payload", schema)
+    """``p``, a payload by its schema, null (with ``rejected``) where it isn't a JSON object.
+
+    It comes out of a generator of one row, which filters and projections aren't moved through: else each would parse it again.
+    """
     whole = F.coalesce(F.get_json_object("payload", "$").startswith("{"), F.lit(False))
-    return landed.withColumn("p", F.when(whole, parsed)).withColumn("rejected", F.when(~whole, "not a JSON object"))
+    once = landed.withColumn("p", F.explode(F.array(F.when(whole, F.from_json("payload", schema)))))
+    return once.withColumn("rejected", F.when(F.col("p").isNull(), "not a JSON object"))
 
 
 def graph_areas(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +68,9 @@ def graph_areas(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     p = _read(landed, _AREA)
     known = F.upper(F.coalesce("p.gradeContext", F.lit("")))
-    key = F.coalesce(_mapped(known, {k: v[0] for k, v in GRADE_FIELDS.items()}), F.lit("yds"))
-    system = F.coalesce(_mapped(known, {k: v[1] for k, v in GRADE_FIELDS.items()}), F.lit("yds"))
+    fields = [F.coalesce(_mapped(known, {k: v[i] for k, v in GRADE_FIELDS.items()}), F.lit("yds")) for i in (0, 1)]
+    p = p.withColumn("c", F.explode(F.array(F.struct(fields[0].alias("key"), fields[1].alias("system")))))  # once for an area, not for each climb
+    key, system = F.col("c.key"), F.col("c.system")
 
     def route(c: Column) -> Column:
         grade = F.nullif(c["grades"][key], F.lit(""))
@@ -79,12 +84,12 @@ def graph_areas(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     path = F.coalesce("p.pathTokens", F.array().cast("array<string>"))
     region = F.nullif(F.array_join(F.slice(path, F.lit(2), F.greatest(F.size(path) - 2, F.lit(0))), " / "), F.lit(""))
-    places = p.select(
+    places = p.where("size(coalesce(p.climbs, array())) > 0 OR rejected IS NOT NULL").select(
         F.lit("graph").alias("source"), "item", F.col("p.areaName").alias("name"), F.col("p.metadata.lat").alias("lat"), F.col("p.metadata.lng").alias("lon"),
         F.get(path, F.lit(0)).alias("country"), region.alias("region"), F.transform(F.coalesce("p.climbs", F.array()), route).alias("routes"), "rejected",
     )
-    child = p.select("item", F.explode("p.children").alias("c")).where("c.totalClimbs > 0")
-    return places.where("size(routes) > 0 OR rejected IS NOT NULL"), child.select(F.col("item").alias("parent"), F.col("c.uuid").alias("id"), F.col("c.areaName").alias("name"))
+    child = p.drop("c").select("item", F.explode("p.children").alias("c")).where("c.totalClimbs > 0")
+    return places, child.select(F.col("item").alias("parent"), F.col("c.uuid").alias("id"), F.col("c.areaName").alias("name"))
 
 
 def search_radius_km(south: Column, west: Column, north: Column, east: Column) -> Column:
