@@ -76,7 +76,9 @@ def route_register(spark, sf_dir):
     n = F.col("p_size")
     said = _text(F.when(n % 3 != 0, _text("E", n, " 6a")).otherwise(""), " ", F.when(n % 2 == 0, _text(n, "m")).otherwise("to the top"))
     page = _text("<p>About <i>", F.col("p_brand"), "</i></p><b>Approach</b> walk <script>E1 5m</script>up<p><b>", F.col("p_name"), F.repeat(F.lit("*"), (n % 4).cast("int")), "</b>", said, ". Then &amp; on.</p>")
-    items = load(spark, sf_dir, "part").select(F.lit("crag").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.lit("https://register.example").alias("url"), F.col("p_brand").alias("name"), page.alias("payload"))
+    # The keys are dealt out before the pages are made: reading a page is the work, and a file of keys is few tasks.
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition(8 * spark.sparkContext.defaultParallelism, "p_partkey")
+    items = parts.select(F.lit("crag").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.lit("https://register.example").alias("url"), F.col("p_brand").alias("name"), page.alias("payload"))
     read = adapters.parsed(items, "route_register")
     each = read.select(F.regexp_replace("description", "^About ", "").alias("found_under"), F.explode("routes").alias("r"))
     return each.select(F.substring_index("r.source_id", "#", 1).cast("long").alias("p_partkey"), "r.name", "r.grade", "r.length_m", "r.stars", "found_under")
