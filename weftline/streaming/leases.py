@@ -7,10 +7,10 @@ read its whole log again. Needs RocksDB as the state store's provider (``STORE``
 from __future__ import annotations
 
 import contextlib
+import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,14 +20,11 @@ from weftline.streaming.queues import ATTEMPTS, LEASE_MINUTES
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 CHANGES = "id long, seq long, at timestamp, attempts long, status string, dead boolean"
 _NEVER = -1
-
-
-def _micros(at) -> int:
-    return _NEVER if at is None or pd.isna(at) else pd.Timestamp(at).value // 1000
+_EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)
 
 
 class LeaseProcessor(StatefulProcessor):
-    """Log rows of an item (ts, what: claim, done, error, any other) to a row for each change of its state.
+    """Log rows of an item (micros, what: claim, done, error, any other) to a row for each change of its state.
 
     Rows may come in any order within a batch and from batch to batch: what counts are the number of claims, whether any row
     says done, and the latest claim and error. A claim sets a timer for the end of its lease.
@@ -44,32 +41,32 @@ class LeaseProcessor(StatefulProcessor):
             return "claimed"
         return "failed" if attempts >= ATTEMPTS else "pending"
 
-    def _told(self, key, state: tuple, at: int) -> Iterator[pd.DataFrame]:
+    def _told(self, key, state: tuple, at: int) -> Iterator[Row]:
         attempts, done, claimed, failed, seq, before = state
         status = self._status(attempts, done, claimed, failed, at)
         self.state.update((attempts, done, claimed, failed, seq + 1, status))
-        yield pd.DataFrame({"id": [key[0]], "seq": [seq + 1], "at": [pd.Timestamp(at, unit="us")], "attempts": [attempts], "status": [status], "dead": [status == "failed"]})
+        yield Row(id=key[0], seq=seq + 1, at=_EPOCH + datetime.timedelta(microseconds=at), attempts=attempts, status=status, dead=status == "failed")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         found = self.state.get()
         attempts, done, claimed, failed, seq, status = found if found is not None else (0, False, _NEVER, _NEVER, 0, "")
-        latest = max(claimed, failed)
-        for some in rows:
-            ts = some["ts"].map(_micros)
-            is_claim, is_error = some["what"] == "claim", some["what"] == "error"
-            attempts += int(is_claim.sum())
-            done = bool(done or (some["what"] == "done").any())
-            before = claimed
-            claimed = max([claimed, *ts[is_claim]])
-            failed = max([failed, *ts[is_error]])
-            latest = max([latest, *ts])
-            if claimed != before:
-                if before != _NEVER:
-                    self.handle.deleteTimer(self._ends(before))
-                self.handle.registerTimer(self._ends(claimed))
+        latest, before = max(claimed, failed), claimed
+        for row in rows:
+            ts, what = _NEVER if row["micros"] is None else row["micros"], row["what"]
+            latest = max(latest, ts)
+            if what == "claim":
+                attempts, claimed = attempts + 1, max(claimed, ts)
+            elif what == "done":
+                done = True
+            elif what == "error":
+                failed = max(failed, ts)
+        if claimed != before:
+            if before != _NEVER:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(claimed))
         yield from self._told(key, (attempts, done, claimed, failed, seq, status), latest)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         attempts, done, claimed, failed, seq, before = self.state.get()
         now = claimed + LEASE_MINUTES * 60_000_000
         if self._status(attempts, done, claimed, failed, now) != before:
@@ -101,8 +98,9 @@ def lease_changes(log: DataFrame, late: str = "0 seconds") -> DataFrame:
 
     ``late`` is how long after the latest row another may come and still end or prolong a lease in time; later ones are dropped.
     """
-    timed = log.select("id", "ts", "what").withWatermark("ts", late)
-    return timed.groupBy("id").transformWithStateInPandas(LeaseProcessor(), CHANGES, "append", "EventTime")
+    timed = log.select("id", "ts", "what", F.unix_micros("ts").alias("micros")).withWatermark("ts", late)
+    # By rows: an item has few, for which a data frame of each item would be most of the work.
+    return timed.groupBy("id").transformWithState(LeaseProcessor(), CHANGES, "append", "EventTime")
 
 
 def dead_letters(changes: DataFrame) -> DataFrame:
