@@ -6,8 +6,10 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from weftline.operators import hierarchy
 from weftline.streaming.leases import LeaseProcessor
 
 TABLES = Path("/root/testdata/sf0.001")
@@ -52,3 +54,17 @@ def test_leases_go_by_rows():
     assert lease.handle == [30 * 60_000 + 9]
     (told,) = lease.handleInputRows((7,), iter([Row(what="done", micros=10_000)]), None)
     assert (told.seq, told.attempts, told.status) == (2, 2, "done") and lease.handle == [30 * 60_000 + 9]
+
+
+def test_a_tree_does_not_go_through_the_driver(spark, monkeypatch):
+    plans, own = [], hierarchy.Rounds.put
+
+    def put(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(self, df, name)
+
+    monkeypatch.setattr(hierarchy.Rounds, "put", put)
+    areas = spark.range(1, 9).selectExpr("id", "IF(id = 1, NULL, id - 1) AS parent_id")
+    found = hierarchy.fold_up(areas, {"n": F.lit(1)}, {"n": lambda a, b, _: a + b})
+    assert {(r.id, r.n) for r in found.collect()} == {(i, i) for i in range(1, 9)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)

@@ -27,7 +27,7 @@ def rooted(areas: DataFrame) -> DataFrame:
         if jump.where("up IS NOT NULL").isEmpty():
             break
         to = jump.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("proper").alias("_proper"), F.lit(True).alias("_there"))
-        moved = jump.where("up IS NOT NULL").join(to, "up", "left").select("id", F.col("_up").alias("up"), (F.col("proper") & F.coalesce("_proper", F.lit(False)) & F.col("_there").isNotNull()).alias("proper"))
+        moved = jump.where("up IS NOT NULL").hint("merge").join(to, "up", "left").select("id", F.col("_up").alias("up"), (F.col("proper") & F.coalesce("_proper", F.lit(False)) & F.col("_there").isNotNull()).alias("proper"))
         jump = kept.put(jump.where("up IS NULL").unionByName(moved), "rooted")
     return jump.where("up IS NULL AND proper").select("id")
 
@@ -39,14 +39,14 @@ def resolve(areas: DataFrame, inherited: list[str], keep_detached: bool = False)
     must not repeat.
     """
     kept = Rounds(areas.sparkSession)
-    proper = kept.put(areas.join(rooted(areas), "id", "left_semi"), "proper")
+    proper = kept.put(areas.hint("merge").join(rooted(areas), "id", "left_semi"), "proper")
     effective = [f"eff_{c}" for c in inherited]
     state = proper.select("id", "parent_id", "name", F.array("name").alias("path_tokens"), F.lit(0).alias("depth"), *[F.col(c).alias(e) for c, e in zip(inherited, effective)], F.col("parent_id").alias("up"))
     for _ in range(_rounds(proper)):
         if state.where("up IS NOT NULL").isEmpty():
             break
         to = state.select(F.col("id").alias("up"), F.col("path_tokens").alias("_path"), F.col("depth").alias("_depth"), *[F.col(e).alias(f"_{e}") for e in effective], F.col("up").alias("_up"))
-        moved = state.where("up IS NOT NULL").join(to, "up").select(
+        moved = state.where("up IS NOT NULL").hint("merge").join(to, "up").select(
             "id", "parent_id", "name", F.concat("_path", "path_tokens").alias("path_tokens"), (F.col("depth") + F.col("_depth") + 1).alias("depth"), *[F.coalesce(e, f"_{e}").alias(e) for e in effective], F.col("_up").alias("up")
         )
         state = kept.put(state.where("up IS NULL").unionByName(moved), "resolved")
@@ -71,8 +71,8 @@ def ancestors(areas: DataFrame) -> DataFrame:
         if jump.isEmpty():
             break
         beyond = pairs.select(F.col("id").alias("up"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
-        pairs = kept.put(pairs.unionByName(jump.join(beyond, "up").select("id", "ancestor", "distance")), "pairs")
-        jump = kept.put(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")), "jump")
+        pairs = kept.put(pairs.unionByName(jump.hint("merge").join(beyond, "up").select("id", "ancestor", "distance")), "pairs")
+        jump = kept.put(jump.hint("merge").join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")), "jump")
     if not jump.isEmpty():  # only a cycle has an ancestor so far away
         pairs = pairs.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
     return pairs.join(missing, "id", "left_anti")
@@ -93,7 +93,7 @@ def fold_up(areas: DataFrame, own: dict[str, Column], merge: dict[str, Callable[
         if state.where("up IS NOT NULL").isEmpty():
             break
         above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("step").alias("_step"), F.lit(True).alias("_there"), *[F.col(n).alias(f"_{n}") for n in names])
-        joined = state.where("up IS NOT NULL").join(above, "up", "left")
+        joined = state.where("up IS NOT NULL").hint("merge").join(above, "up", "left")  # both grow with the tree: none is to go through the driver
         put = [F.when(F.col("_there"), merge[n](F.col(n), F.col(f"_{n}"), F.col("step"))).otherwise(F.col(n)).alias(n) for n in names]
         moved = joined.select("id", F.col("_up").alias("up"), (F.col("step") + F.coalesce("_step", F.lit(0))).alias("step"), *put)
         state = kept.put(state.where("up IS NULL").unionByName(moved), "folded")
@@ -123,6 +123,6 @@ def published_areas(areas: DataFrame, routes: DataFrame) -> DataFrame:
     for _ in range(_rounds(areas)):
         if jump.isEmpty():
             break
-        marked = kept.put(marked.unionByName(jump.join(marked, "id").select(F.col("up").alias("id"))).distinct(), "marked")
-        jump = kept.put(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")), "jump")
+        marked = kept.put(marked.unionByName(jump.hint("merge").join(marked, "id").select(F.col("up").alias("id"))).distinct(), "marked")
+        jump = kept.put(jump.hint("merge").join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")), "jump")
     return marked

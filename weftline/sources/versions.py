@@ -74,7 +74,8 @@ def canonical(routes: DataFrame, areas: DataFrame) -> DataFrame:
     from weftline.functions.text import slug
 
     prefixes = curation.area_prefix(areas)
-    placed = routes.join(prefixes.select(F.col("id").alias("area_id"), "prefix", F.col("sector").alias("_sector")), "area_id", "left")
+    # Areas and keys grow with the input: merged, as what their files take on the disk says little of their rows.
+    placed = routes.hint("merge").join(prefixes.select(F.col("id").alias("area_id"), "prefix", F.col("sector").alias("_sector")), "area_id", "left")
     part = lambda i, other: F.coalesce(F.get(F.split("prefix", "/"), F.lit(i)), F.lit(other))
     keyed = placed.select(
         *[placed[c] for c in routes.columns if c != "sector"], F.coalesce(F.nullif(F.trim("sector"), F.lit("")), "_sector").alias("sector"),
@@ -83,7 +84,7 @@ def canonical(routes: DataFrame, areas: DataFrame) -> DataFrame:
     key = ["country", "region", "crag", "_slug"]
     first = keyed.groupBy(*key).agg(F.min("id").alias("_first"))
     name: Column = F.when(F.col("id") == F.col("_first"), F.col("_slug")).otherwise(F.concat_ws("-", "_slug", F.col("id").cast("string")))
-    return keyed.join(first, key).withColumn("file", F.concat(name, F.lit(".json"))).drop("_slug", "_first")
+    return keyed.hint("merge").join(first, key).withColumn("file", F.concat(name, F.lit(".json"))).drop("_slug", "_first")
 
 
 def relocate(spark: SparkSession, source: DataFrame, areas: DataFrame, root: str) -> int:
