@@ -94,6 +94,17 @@ def test_pairs_of_one_name_are_many_tasks_work(spark):
     assert most < want / 2
 
 
+def test_pairs_of_lists_are_dealt_evenly(spark):
+    rows = spark.range(4000).selectExpr("id", "'one' AS name", "id % 8 AS kind")
+    found = records.name_pairs(rows, "id", "name", "kind")
+    want = 28 * 500 * 500
+    n, once, most = found.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).agg(F.sum("n"), F.bit_xor("x"), F.max("n")).first()
+    every = spark.range(4000).alias("a").join(spark.range(4000).alias("b"), F.expr("a.id < b.id AND a.id % 8 <> b.id % 8"))
+    assert (n, once) == (want, every.agg(F.bit_xor(F.xxhash64("a.id", "b.id"))).first()[0])
+    # The first of eight kinds alone makes a quarter of all pairs.
+    assert most < want / 8
+
+
 def test_best_matches_of_different_names_alone(spark):
     places = spark.range(600).selectExpr("id", "IF(id % 2 = 0, 'North Wall', ' wall') AS name", "IF(id % 3 = 0, 'Wales', 'Union') AS country")
     candidates = spark.range(300).selectExpr("concat('u', id) AS uuid", "IF(id % 3 = 0, 'Wall', 'the north wall') AS name", "'Union' AS country", "id % 50 AS climbs")

@@ -68,14 +68,15 @@ def keep_first(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 def name_pairs(rows: DataFrame, key: str, name: str, other: str, salts: int = 32) -> DataFrame:
     """(a, b), smaller first: all pairs of keys of rows that have one name and differ in ``other``; rows with a null have none.
 
-    Lists of the keys of one name and ``other`` meet, dealt out so that a name of very many rows is the work of many tasks,
-    and pairs are made from two lists as they are read. Their number is the result's.
+    Lists of the keys of one name and ``other`` meet, dealt out so that a name of very many rows is the work of many tasks.
+    Pairs of lists, not of keys, are shuffled once more: that spreads them evenly, and what a task holds at a time are the pairs of
+    two short lists, not of a list and all others of its name. The pairs' number is the result's.
     """
-    lists = listed(rows.where(F.col(name).isNotNull() & F.col(other).isNotNull()).select(key, name, other), [name, other], key)
+    lists = listed(rows.where(F.col(name).isNotNull() & F.col(other).isNotNull()).select(key, name, other), [name, other], key, 250)
     width = 8 * rows.sparkSession.sparkContext.defaultParallelism
     one = lists.select(F.col(name).alias("n"), F.col(other).alias("o"), F.col(key).alias("a"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).alias("salt"))
     two = lists.select(F.col(name).alias("n"), F.col(other).alias("p"), F.col(key).alias("b")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = one.repartition(width, "n", "salt").hint("merge").join(two.repartition(width, "n", "salt"), ["n", "salt"]).where("o < p").select("a", "b")
+    met = one.repartition(width, "n", "salt").hint("merge").join(two.repartition(width, "n", "salt"), ["n", "salt"]).where("o < p").select("a", "b").repartition(width)
     each = met.select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y")).where("x <> y")
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
