@@ -53,6 +53,20 @@ def test_same_routes_meet_as_kinds(spark, monkeypatch):
     assert asked == [4]
 
 
+def test_routes_of_one_kind_are_many_tasks_work(spark, monkeypatch):
+    asked, _ = watched(monkeypatch, records)
+    spelt, crag = "IF(id % 2 = 0, 'Line', 'LÍNE!') AS name", "IF(id < 5000, 0, id % 8 + 1)"
+    rows = spark.range(5040).selectExpr("id", spelt, f"{crag} AS crag", "10.0D AS lat", f"20.0D + 0.001D * {crag} AS lon", f"array(struct(CAST({crag} AS STRING) AS source, concat('e', id) AS external_id)) AS refs")
+    found = records.same_routes(rows).withColumn("part", F.spark_partition_id()).cache()
+    want = 2 * 5000 * 40 + 40 * 35
+    assert found.count() == found.select("id", "source", "external_id").distinct().count() == want
+    of = {r.id: r.crag for r in rows.collect()}
+    assert all(of[r.id] != int(r.source) == of[int(r.external_id[1:])] for r in found.sample(0.02, 1).collect())
+    assert asked == [9]
+    # Half of all rows are the large kind's.
+    assert found.groupBy("part").count().agg(F.max("count")).first()[0] < want / 2
+
+
 @pytest.mark.parametrize("km", [40, 300])
 def test_nearest_makes_few_pairs(spark, monkeypatch, km):
     points = spark.range(3000).selectExpr("id", "CASE WHEN id % 31 = 0 THEN NULL ELSE CAST(id % 1000 * 7919 % 120000 AS DOUBLE) / 6000 - 10 END AS lat", "CAST(id % 1000 * 104729 % 360000 AS DOUBLE) / 18000 - 10 AS lon", "id % 3 = 0 AS tidal").cache()
